@@ -7,81 +7,136 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from assayer.functions.types import normalize_spark
-from assayer.sources.sampling import comparable_text, long_form
 from assayer.vocab import CARDINALITY_LIMITS
 
 # Values longer than this are grouped by a SHA-256 of the whole value, so that
 # counting distinct documents does not shuffle the documents.
 DIGEST_ABOVE = 128
 
-
-def value_key(value: Column) -> Column:
-    return F.when(F.length(value) > DIGEST_ABOVE, F.sha2(value, 256)).otherwise(value)
+# Types grouped as they are; every other type is grouped by its text.
+FAMILIES = ["bigint", "double", "date", "timestamp", "timestamp_ntz", "string"]
 
 
 def _name(column: str) -> Column:
     return F.col(f"`{column}`")
 
 
-def column_stats(df: DataFrame) -> DataFrame:
-    """(column_name, normalized_type, ordinal_position, n_rows, n_nulls, min_value, max_value).
+def _family(data_type: T.DataType) -> str:
+    if isinstance(data_type, T.IntegralType):
+        return "bigint"
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        return "double"
+    for kind, name in [(T.DateType, "date"), (T.TimestampType, "timestamp"), (T.TimestampNTZType, "timestamp_ntz")]:
+        if isinstance(data_type, kind):
+            return name
+    return "string"
 
-    One pass, one output row per task before the merge; values keep their own
-    type while compared and become text only at the end.
-    """
-    fields = df.schema.fields
-    comparable = {f.name for f in fields if normalize_spark(f.dataType) not in ("json", "unknown")}
-    aggregates = [F.count("*").alias("n_rows")]
-    for i, f in enumerate(fields):
-        aggregates.append(F.count(_name(f.name)).alias(f"c{i}"))
-        if f.name in comparable:
-            aggregates += [F.min(_name(f.name)).alias(f"l{i}"), F.max(_name(f.name)).alias(f"h{i}")]
-    rows = [
-        F.struct(
-            F.lit(f.name).alias("column_name"),
-            F.lit(normalize_spark(f.dataType)).alias("normalized_type"),
-            F.lit(i + 1).alias("ordinal_position"),
-            F.col("n_rows").alias("n_rows"),
-            (F.col("n_rows") - F.col(f"c{i}")).alias("n_nulls"),
-            (F.col(f"l{i}") if f.name in comparable else F.lit(None)).cast("string").alias("min_value"),
-            (F.col(f"h{i}") if f.name in comparable else F.lit(None)).cast("string").alias("max_value"),
-        )
-        for i, f in enumerate(fields)
-    ]
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
 
+def _text(column: str, data_type: T.DataType) -> str:
+    """SQL text that tells two values apart; nested values by their JSON form."""
+    if isinstance(data_type, (T.StructType, T.ArrayType, T.MapType, T.VariantType)):
+        return f"to_json(`{column}`)"
+    return f"hex(`{column}`)" if isinstance(data_type, T.BinaryType) else f"cast(`{column}` as string)"
 
-def all_cells(tables: dict[str, DataFrame], columns: dict[str, list[str]] | None = None) -> DataFrame:
-    """(table_name, column_name, normalized_type, value) of every cell of every table."""
-    parts = [
-        long_form(df, (columns or {}).get(name)).select(F.lit(name).alias("table_name"), "*")
-        for name, df in tables.items()
-        if columns is None or columns.get(name)
-    ]
-    return reduce(DataFrame.unionByName, parts)
 
+class Columns:
+    """The columns of several tables, numbered. Cells carry the number instead of three names."""
 
-def value_counts(tables: dict[str, DataFrame], columns: dict[str, list[str]] | None = None) -> DataFrame:
-    """(table_name, column_name, normalized_type, value, n) for non-null values; long values by digest.
+    def __init__(self, tables: dict[str, DataFrame], chosen: dict[str, list[str]] | None = None):
+        self.tables = tables
+        self.entries = [
+            (table, f.name, f.dataType, position)
+            for table, df in tables.items()
+            for position, f in enumerate(df.schema.fields, start=1)
+            if chosen is None or f.name in chosen.get(table, [])
+        ]
 
-    Counted before the shuffle, so a value holding most rows arrives as one row per task.
-    """
-    cells = all_cells(tables, columns).where("value is not null")
-    return cells.groupBy("table_name", "column_name", "normalized_type", value_key(F.col("value")).alias("value")).agg(
-        F.count("*").alias("n")
+    def listing(self) -> str:
+        """SQL array of (table_name, column_name, normalized_type, ordinal_position)."""
+        return "array({})".format(", ".join(
+            f"named_struct('table_name', '{t}', 'column_name', '{c}', 'normalized_type', '{normalize_spark(k)}', 'ordinal_position', {p})"
+            for t, c, k, p in self.entries
+        ))
+
+    def named(self, df: DataFrame, *others: str) -> DataFrame:
+        """Replaces `column_id` by the names it stands for."""
+        looked_up = df.withColumn("place", F.expr(f"element_at({self.listing()}, column_id + 1)"))
+        return looked_up.select("place.table_name", "place.column_name", "place.normalized_type", "place.ordinal_position", *others)
+
+    def cells(self, family: str, digest: bool = True) -> DataFrame | None:
+        """(column_id, value) of all columns of one family. Each column of each table is read by one family only."""
+        parts = []
+        for table, df in self.tables.items():
+            structs = []
+            for number, (t, c, kind, _) in enumerate(self.entries):
+                if t != table or _family(kind) != family:
+                    continue
+                value = f"cast(`{c}` as {family})" if family != "string" else _text(c, kind)
+                if family == "string" and digest:
+                    value = f"if(length({value}) > {DIGEST_ABOVE}, sha2({value}, 256), {value})"
+                structs.append(f"struct({number} as column_id, {value} as value)")
+            if structs:
+                parts.append(df.selectExpr(f"inline(array({', '.join(structs)}))"))
+        return reduce(DataFrame.union, parts) if parts else None
+
+    def counts(self, family: str, digest: bool = True) -> DataFrame | None:
+        """(column_id, value, n), NULL being a value. Counted before the shuffle, so a value that
+        holds most rows arrives as one row per task."""
+        cells = self.cells(family, digest)
+        return None if cells is None else cells.groupBy("column_id", "value").agg(F.count("*").alias("n"))
+
+    def text_bounds(self) -> list[DataFrame]:
+        """(column_id, low, high) of text columns: one pass per table over these columns, nothing grouped."""
+        parts = []
+        for table, df in self.tables.items():
+            numbered = [
+                (number, c) for number, (t, c, kind, _) in enumerate(self.entries)
+                if t == table and _family(kind) == "string" and normalize_spark(kind) not in ("json", "unknown")
+            ]
+            if numbered:
+                bounds = df.selectExpr(*[f"min(`{c}`) as l{n}" for n, c in numbered], *[f"max(`{c}`) as h{n}" for n, c in numbered])
+                rows = ", ".join(f"struct({n} as column_id, cast(l{n} as string) as low, cast(h{n} as string) as high)" for n, _ in numbered)
+                parts.append(bounds.selectExpr(f"inline(array({rows}))"))
+        return parts
+
+
+def value_counts(tables: dict[str, DataFrame], columns: dict[str, list[str]] | None = None, digest: bool = True) -> DataFrame:
+    """(table_name, column_name, normalized_type, value, n) for non-null values as text; long values by digest."""
+    chosen = Columns(tables, columns)
+    counted = [chosen.counts(f, digest) for f in FAMILIES]
+    texts = [
+        c.where("value is not null").select("column_id", F.col("value").cast("string").alias("value"), "n")
+        for c in counted if c is not None
+    ]
+    return chosen.named(reduce(DataFrame.unionByName, texts), "value", "n").drop("ordinal_position")
+
+
+def _per_column(counts: DataFrame, family: str) -> DataFrame:
+    low, high = (F.lit(None), F.lit(None)) if family == "string" else (F.min("value"), F.max("value"))
+    return counts.groupBy("column_id").agg(
+        F.sum("n").alias("n_rows"), F.count("value").alias("n_distinct"),
+        F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("n_nulls"),
+        low.cast("string").alias("low"), high.cast("string").alias("high"),
     )
 
 
-def distinct_counts(tables: dict[str, DataFrame], exact: bool = True) -> DataFrame:
-    """(table_name, column_name, n_distinct). Inexact counting needs no value shuffle, for very wide tables."""
-    if exact:
-        return value_counts(tables).groupBy("table_name", "column_name").agg(F.count("*").alias("n_distinct"))
+def _sketched(columns: Columns) -> list[DataFrame]:
+    """The same figures with distinct counts from sketches: one pass per table, no values shuffled."""
     parts = []
-    for name, df in tables.items():
-        counted = df.agg(*[F.approx_count_distinct(comparable_text(df, c)).alias(f"d{i}") for i, c in enumerate(df.columns)])
-        rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"d{i}").alias("n_distinct")) for i, c in enumerate(df.columns)]
-        parts.append(counted.select(F.lit(name).alias("table_name"), F.inline(F.array(*rows))))
-    return reduce(DataFrame.unionByName, parts)
+    for table, df in columns.tables.items():
+        numbered = [(n, c, k) for n, (t, c, k, _) in enumerate(columns.entries) if t == table]
+        plain = [n for n, _, k in numbered if normalize_spark(k) not in ("json", "unknown")]
+        aggregates = ["count(*) as n_rows"]
+        for n, c, k in numbered:
+            aggregates += [f"count(`{c}`) as c{n}", f"approx_count_distinct({_text(c, k)}) as d{n}"]
+            aggregates += [f"min(`{c}`) as l{n}", f"max(`{c}`) as h{n}"] if n in plain else []
+        rows = ", ".join(
+            f"struct({n} as column_id, n_rows, d{n} as n_distinct, n_rows - c{n} as n_nulls, "
+            + (f"cast(l{n} as string) as low, cast(h{n} as string) as high)" if n in plain else "cast(null as string) as low, cast(null as string) as high)")
+            for n, _, _ in numbered
+        )
+        parts.append(df.selectExpr(*aggregates).selectExpr(f"inline(array({rows}))"))
+    return parts
 
 
 def cardinality(n_distinct: Column, is_key: Column) -> Column:
@@ -94,43 +149,43 @@ def cardinality(n_distinct: Column, is_key: Column) -> Column:
 def profile(tables: dict[str, DataFrame], exact: bool = True) -> DataFrame:
     """The full profile, one row per column of every table.
 
-    With `exact=False` distinct counts are sketches, except where a sketch is near
-    the row count and so decides on a key: those columns are counted exactly.
+    Values are grouped in their own type and turned into text last. With
+    `exact=False` distinct counts are sketches, except where a sketch is near the
+    row count and so decides on a key: those columns are counted exactly.
     """
-    stats = reduce(
-        DataFrame.unionByName,
-        [column_stats(df).select(F.lit(name).alias("table_name"), "*") for name, df in tables.items()],
+    columns = Columns(tables)
+    spark = next(iter(tables.values())).sparkSession
+    if exact:
+        counted = [(f, columns.counts(f)) for f in FAMILIES]
+        parts = [_per_column(c, f) for f, c in counted if c is not None] + columns.text_bounds()
+    else:
+        parts = _sketched(columns)
+        sketches = columns.named(reduce(DataFrame.unionByName, parts), "n_rows", "n_distinct")
+        near: dict[str, list[str]] = {}
+        for row in sketches.where("n_rows > 0 and n_distinct >= 0.7 * n_rows").collect():  # column names only
+            near.setdefault(row.table_name, []).append(row.column_name)
+        if near:
+            numbers = {(t, c): n for n, (t, c, _, _) in enumerate(columns.entries)}
+            decisive = Columns(tables, near)
+            back = "array({})".format(", ".join(str(numbers[t, c]) for t, c, _, _ in decisive.entries))
+            sure = [
+                c.groupBy("column_id").agg(F.count("value").alias("n_exact"))
+                for c in (decisive.counts(f) for f in FAMILIES) if c is not None
+            ]
+            parts += [df.withColumn("column_id", F.expr(f"element_at({back}, column_id + 1)")) for df in sure]
+    listed = spark.sql(f"select posexplode({columns.listing()}) as (column_id, place)").select("column_id")
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [listed, *parts])
+    n_exact = F.max("n_exact") if "n_exact" in stacked.columns else F.lit(None)
+    merged = stacked.groupBy("column_id").agg(
+        F.coalesce(F.max("n_rows"), F.lit(0)).alias("n_rows"), F.coalesce(F.max("n_nulls"), F.lit(0)).alias("n_nulls"),
+        F.coalesce(n_exact, F.max("n_distinct"), F.lit(0)).alias("n_distinct"),
+        F.max("low").alias("min_value"), F.max("high").alias("max_value"),
     )
-    counts = distinct_counts(tables, exact)
-    if not exact:
-        near = stats.join(counts, ["table_name", "column_name"]).where("n_rows > 0 and n_distinct >= 0.7 * n_rows")
-        chosen: dict[str, list[str]] = {}
-        for row in near.select("table_name", "column_name").collect():  # column names only
-            chosen.setdefault(row.table_name, []).append(row.column_name)
-        if chosen:
-            sure = value_counts(tables, chosen).groupBy("table_name", "column_name").agg(F.count("*").alias("n_exact"))
-            counts = counts.join(sure, ["table_name", "column_name"], "left").select(
-                "table_name", "column_name", F.coalesce("n_exact", "n_distinct").alias("n_distinct")
-            )
-    return finish_profile(stats.join(counts, ["table_name", "column_name"], "left"))
-
-
-def finish_profile(joined: DataFrame) -> DataFrame:
-    n_distinct = F.coalesce(F.col("n_distinct"), F.lit(0))
-    is_key = (F.col("n_rows") > 0) & (F.col("n_nulls") == 0) & (n_distinct == F.col("n_rows"))
-    return joined.select(
-        "table_name",
-        "column_name",
-        "normalized_type",
-        "ordinal_position",
-        "n_rows",
-        "n_nulls",
-        F.round(F.try_divide(F.col("n_nulls"), F.col("n_rows")), 6).alias("null_rate"),
-        n_distinct.alias("n_distinct"),
-        "min_value",
-        "max_value",
-        is_key.alias("is_key"),
-        cardinality(n_distinct, is_key).alias("cardinality"),
+    n_rows, n_nulls, n_distinct = F.col("n_rows"), F.col("n_nulls"), F.col("n_distinct")
+    is_key = (n_rows > 0) & (n_nulls == 0) & (n_distinct == n_rows)
+    return columns.named(
+        merged, n_rows, n_nulls, F.round(F.try_divide(n_nulls, n_rows), 6).alias("null_rate"), n_distinct,
+        "min_value", "max_value", is_key.alias("is_key"), cardinality(n_distinct, is_key).alias("cardinality"),
     )
 
 
@@ -140,10 +195,7 @@ def top_values(tables: dict[str, DataFrame], columns: dict[str, list[str]] | Non
     Spark keeps only k rows per column and task before the shuffle, so columns
     with billions of values do not meet in one task.
     """
-    counts = (
-        all_cells(tables, columns).where("value is not null")
-        .groupBy("table_name", "column_name", "value").agg(F.count("*").alias("n"))
-    )
+    counts = value_counts(tables, columns, digest=False).drop("normalized_type")
     order = Window.partitionBy("table_name", "column_name").orderBy(F.desc("n"), "value")
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

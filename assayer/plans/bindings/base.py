@@ -176,15 +176,15 @@ def decision_log(events: DataFrame) -> DataFrame:
 
 
 LOG_SQL = """log as (
-  select cast(user_id as varchar) as definition_id, ts as at, event_id as seq, props as actor,
+  select cast(user_id as varchar) as definition_id, ts as happened, event_id as seq, props as actor,
          case when value > 10 then props end as reason, value,
          case event_type when 'purchase' then 'approve' when 'error' then 'reject' when 'view' then 'reopen'
               when 'signup' then 'edit' else case when event_id % 40 = 0 then 'supersede' else 'edit' end end as action
   from events),
 epochs as (
   select *, sum(case when action = 'reopen' then 1 else 0 end)
-            over (partition by definition_id order by at, seq rows unbounded preceding) as epoch,
-         row_number() over (partition by definition_id order by at, seq) as pos
+            over (partition by definition_id order by happened, seq rows unbounded preceding) as epoch,
+         row_number() over (partition by definition_id order by happened, seq) as pos
   from log),
 firsts as (
   select *, min(case when action in ('approve', 'reject') then pos end) over (partition by definition_id, epoch) as first_pos

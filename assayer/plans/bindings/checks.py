@@ -259,7 +259,7 @@ def settlement(spark, sf_dir):
 @query("rec_5", """with f as (select cast(cast(date_trunc('month', o_orderdate) as date) as varchar) as month, o_orderstatus as segment,
   sum(cast(o_totalprice as decimal(18,2))) as forecast from orders group by 1, 2),
 a as (select cast(cast(date_trunc('month', l_shipdate) as date) as varchar) as month, l_linestatus as segment,
-  sum(cast(l_extendedprice * (1 - l_discount) as decimal(18,2))) as actual from lineitem group by 1, 2)
+  sum(cast(cast(l_extendedprice as decimal(12,2)) * (1 - cast(l_discount as decimal(3,2))) as decimal(18,2))) as actual from lineitem group by 1, 2)
 select coalesce(f.month, a.month) as month, coalesce(f.segment, a.segment) as segment, cast(forecast as double) as forecast, cast(actual as double) as actual,
   round((cast(forecast as double) - cast(actual as double)) / nullif(cast(actual as double), 0), 6) as miss
 from f full join a on f.month = a.month and f.segment = a.segment""")
@@ -301,7 +301,7 @@ def plans(spark, sf_dir):
     return drift.withColumns({c: F.col(c).cast("double") for c in ("forecast", "planned")})
 
 
-@query("rec_7", """with net as (select l_orderkey, sum(cast(l_extendedprice * (1 - l_discount) as decimal(18,2))) as net from lineitem group by 1),
+@query("rec_7", """with net as (select l_orderkey, sum(cast(cast(l_extendedprice as decimal(12,2)) * (1 - cast(l_discount as decimal(3,2))) as decimal(18,2))) as net from lineitem group by 1),
 s as (select o_custkey as entity, year(o_orderdate) || '-Q' || quarter(o_orderdate) as quarter, 'sales' as system, sum(cast(o_totalprice as decimal(18,2))) as amount from orders group by 1, 2
   union all select o_custkey, year(o_orderdate) || '-Q' || quarter(o_orderdate), 'billing', sum(net) from orders join net on l_orderkey = o_orderkey group by 1, 2
   union all select user_id, year(ts) || '-Q' || quarter(ts), 'usage', sum(cast(value as decimal(18,2))) from events group by 1, 2)

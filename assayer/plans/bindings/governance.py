@@ -211,11 +211,11 @@ FOLD_SQL = f"""with {LOG_SQL},
 last as (select definition_id,
   max_by(action, pos) filter (where outcome = 'applied' and action <> 'edit') as final, count(*) as n_actions,
   max_by(actor, pos) filter (where outcome = 'applied' and action = 'approve') as approved_by,
-  max(at) filter (where outcome = 'applied' and action = 'approve') as approved_at,
+  max(happened) filter (where outcome = 'applied' and action = 'approve') as approved_at,
   max_by(actor, pos) filter (where outcome = 'applied' and action = 'reject') as rejected_by,
-  max(at) filter (where outcome = 'applied' and action = 'reject') as rejected_at,
+  max(happened) filter (where outcome = 'applied' and action = 'reject') as rejected_at,
   max(pos) filter (where outcome = 'applied' and action = 'reject') as reject_pos,
-  max(at) filter (where outcome = 'applied' and action = 'reopen') as reopened_at from outcomes group by 1)
+  max(happened) filter (where outcome = 'applied' and action = 'reopen') as reopened_at from outcomes group by 1)
 select l.definition_id, case final when 'approve' then 'approved' when 'reject' then 'rejected' when 'supersede' then 'superseded' else 'proposed' end as status,
   approved_by, cast(approved_at as varchar) as approved_at, rejected_by, cast(rejected_at as varchar) as rejected_at, o.reason as rejected_reason,
   cast(reopened_at as varchar) as reopened_at, n_actions

@@ -271,7 +271,7 @@ def dump(spark, sf_dir):
 
 # ---- projections and filters ----
 
-NATIVE_CASE = """case l_linenumber when 1 then 'INTEGER' when 2 then 'varchar(' || cast(cast(l_quantity as int) as varchar) || ')'
+NATIVE_CASE = """case l_linenumber when 1 then 'INTEGER' when 2 then 'varchar(' || cast(cast(l_quantity as int) as varchar(20)) || ')'
   when 3 then 'Timestamp with time zone' when 4 then ' numeric(12,2) ' when 5 then 'jsonb' when 6 then 'BOOL' else 'geometry' end"""
 
 

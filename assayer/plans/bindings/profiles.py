@@ -8,6 +8,7 @@ from assayer.functions.dates import quarter_label
 from assayer.operators import measures, profile
 from assayer.plans import propose
 from assayer.plans.bindings.base import TABLES, fields, load, load_all, profile_sql, query, union_sql
+from assayer.session import cut
 
 
 def full_profile(spark: SparkSession, sf_dir: str, tables: list[str] | None = None) -> DataFrame:
@@ -48,7 +49,8 @@ def cardinalities(spark, sf_dir):
     return full_profile(spark, sf_dir).select("table_name", "column_name", "n_distinct", "cardinality")
 
 
-NET = "CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,2))"
+# money in exact decimals: the product of doubles would leave the last cent to chance
+NET = "CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(3,2))) AS DECIMAL(18,2))"
 
 
 @query("agg_7", """select l_linestatus, count(*) as n, count(distinct l_partkey) as n_parts,
@@ -89,7 +91,7 @@ def returned_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("agg_8", """select c_mktsegment, cast(cast(date_trunc('month', o_orderdate) as date) as varchar) as month,
-  cast(sum(cast(l_extendedprice * (1 - l_discount) as decimal(18,2))) as double) as revenue, count(*) as n_lines
+  cast(sum(cast(cast(l_extendedprice as decimal(12,2)) * (1 - cast(l_discount as decimal(3,2))) as decimal(18,2))) as double) as revenue, count(*) as n_lines
 from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
 where l_returnflag = 'R' group by 1, 2""")
 def revenue_by_segment(spark, sf_dir):
@@ -102,7 +104,7 @@ def net_by_order(spark, sf_dir):
     return load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(net).alias("net"))
 
 
-@query("agg_9", """with net as (select l_orderkey, sum(cast(l_extendedprice * (1 - l_discount) as decimal(18,2))) as net from lineitem group by 1),
+@query("agg_9", """with net as (select l_orderkey, sum(cast(cast(l_extendedprice as decimal(12,2)) * (1 - cast(l_discount as decimal(3,2))) as decimal(18,2))) as net from lineitem group by 1),
 v as (select o_custkey, year(o_orderdate) || '-Q' || quarter(o_orderdate) as quarter,
   cast(sum(cast(o_totalprice as decimal(18,2))) as double) as declared, cast(sum(net) as double) as billed
   from orders left join net on l_orderkey = o_orderkey group by 1, 2)
@@ -159,7 +161,7 @@ def top_values(spark, sf_dir):
   union all select distinct table_name, null, 'count', 'COUNT(*)' from prof)
 select table_name, column_name, aggregation, sql_expression, table_name || '_' || coalesce(column_name, 'rows') || '_' || aggregation as name from m""")
 def measure_proposals(spark, sf_dir):
-    return propose.measures(full_profile(spark, sf_dir))
+    return propose.measures(cut(full_profile(spark, sf_dir)))
 
 
 DIMENSION_FILTER = """not is_key and n_distinct > 0 and normalized_type in ('string', 'boolean', 'integer') and cardinality in ('low', 'medium')"""
@@ -211,7 +213,7 @@ def time_proposals(spark, sf_dir):
 select kind, cast(n as bigint) as n from k
 union all select 'total', cast(sum(n) as bigint) from k where kind in ('measures', 'dimensions', 'time_dimensions')""")
 def run_summary(spark, sf_dir):
-    profiles = full_profile(spark, sf_dir)
+    profiles = cut(full_profile(spark, sf_dir))
     proposals = propose.summary({
         "measures": propose.measures(profiles), "dimensions": propose.dimensions(profiles),
         "time_dimensions": profiles.where("normalized_type in ('date', 'timestamp')"),
@@ -228,7 +230,7 @@ union all select 'measure', table_name, column_name, null, a.aggregation
 union all select 'measure', table_name, column_name, null, 'count_distinct' from prof where is_key and normalized_type in ('integer', 'string')
 union all select distinct 'measure', table_name, null, null, 'count' from prof""")
 def categories(spark, sf_dir):
-    profiles = full_profile(spark, sf_dir)
+    profiles = cut(full_profile(spark, sf_dir))
     dims = propose.dimensions(profiles).select(F.lit("dimension").alias("kind"), "table_name", "column_name", "cardinality_hint")
     found = propose.measures(profiles).select(F.lit("measure").alias("kind"), "table_name", "column_name", "aggregation")
     return dims.unionByName(found, allowMissingColumns=True)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from assayer.operators import profile, relations
 from assayer.plans import propose
 from assayer.plans.bindings.base import TABLES, fields, load, load_all, profile_sql, query, union_sql, values_sql
+from assayer.session import cut
 
 LINK_TYPES = ("integer", "string", "date", "timestamp")
 
@@ -17,7 +18,8 @@ def link_inputs(spark, sf_dir):
     """Profile and distinct values of every linkable column, whole tables and whole texts."""
     tables = load_all(spark, sf_dir)
     columns = {t: [c for c, k in fields(t) if k in LINK_TYPES] for t in TABLES}
-    return profile.value_counts(tables, columns), profile.profile(tables)
+    # both are used several times over
+    return cut(profile.value_counts(tables, columns)), cut(profile.profile(tables))
 
 
 def inclusions_sql(minimum: float) -> str:

@@ -51,8 +51,8 @@ def compare(spark, con, name: str, sf_dir: str) -> tuple[bool, str]:
         return False, f"columns {sorted(df.columns)} against {sorted(columns)}"
     odd = {c: k for c, k in kinds.items() if "HUGEINT" in k or "DECIMAL" in k}
     if got != want:
-        extra = [r for r in got if r not in set(want)][:3] if len(got) < 200000 else []
-        lost = [r for r in want if r not in set(got)][:3] if len(want) < 200000 else []
+        here, there = set(got), set(want)
+        extra, lost = [r for r in got if r not in there][:3], [r for r in want if r not in here][:3]
         return False, f"{len(got)} against {len(want)} rows\n   {sorted(columns)}\n   only here  {extra}\n   only there {lost}"
     return True, f"{len(got)} rows" + (f" (types {odd})" if odd else "")
 

@@ -100,12 +100,13 @@ class Columns:
         return parts
 
 
-def value_counts(tables: dict[str, DataFrame], columns: dict[str, list[str]] | None = None, digest: bool = True) -> DataFrame:
-    """(table_name, column_name, normalized_type, value, n) for non-null values as text; long values by digest."""
+def value_counts(tables: dict[str, DataFrame], columns: dict[str, list[str]] | None = None, digest: bool = True,
+                 nulls: bool = False) -> DataFrame:
+    """(table_name, column_name, normalized_type, value, n), values as text, long ones by digest; NULLs on request."""
     chosen = Columns(tables, columns)
     counted = [chosen.counts(f, digest) for f in FAMILIES]
     texts = [
-        c.where("value is not null").select("column_id", F.col("value").cast("string").alias("value"), "n")
+        (c if nulls else c.where("value is not null")).select("column_id", F.col("value").cast("string").alias("value"), "n")
         for c in counted if c is not None
     ]
     return chosen.named(reduce(DataFrame.unionByName, texts), "value", "n").drop("ordinal_position")
@@ -189,6 +190,21 @@ def profile(tables: dict[str, DataFrame], exact: bool = True) -> DataFrame:
     )
 
 
+def value_profile(values: DataFrame) -> DataFrame:
+    """The part of a profile that value counts (with NULLs) tell by themselves; bounds for integers only."""
+    number = F.when(F.col("normalized_type") == "integer", F.col("value").try_cast("decimal(20,0)"))
+    counted = values.groupBy("table_name", "column_name", "normalized_type").agg(
+        F.sum("n").alias("n_rows"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("n_nulls"),
+        F.count("value").alias("n_distinct"), F.min(number).alias("low"), F.max(number).alias("high"),
+    )
+    is_key = (F.col("n_nulls") == 0) & (F.col("n_distinct") == F.col("n_rows"))
+    return counted.select(
+        "table_name", "column_name", "normalized_type", "n_rows", "n_nulls", "n_distinct",
+        F.col("low").cast("string").alias("min_value"), F.col("high").cast("string").alias("max_value"),
+        is_key.alias("is_key"), cardinality(F.col("n_distinct"), is_key).alias("cardinality"),
+    )
+
+
 def top_values(tables: dict[str, DataFrame], columns: dict[str, list[str]] | None, k: int) -> DataFrame:
     """The k most frequent non-null values of each column, ties by value.
 

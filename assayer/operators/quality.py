@@ -105,22 +105,16 @@ def quartiles(df: DataFrame, column: str) -> DataFrame:
     """
     x = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
     margin = 0.00002
-    bounds = x.agg(
-        F.count("*").alias("n_rows"),
-        *[
-            F.approx_percentile("x", p + d, 200000).alias(f"{name}_{side}")
-            for name, p in QUARTILES.items()
-            for side, d in (("lo", -margin), ("hi", margin))
-        ],
-    )
+    shares = [p + d for p in QUARTILES.values() for d in (-margin, margin)]
+    bounds = x.agg(F.count("*").alias("n_rows"), F.approx_percentile("x", shares, 200000).alias("cut"))
     bracket = F.inline(
         F.array(
             *[
                 F.struct(
                     F.lit(name).alias("name"), F.ceil(F.lit(p) * F.col("n_rows")).alias("position"),
-                    F.col(f"{name}_lo").alias("lo"), F.col(f"{name}_hi").alias("hi"),
+                    F.col("cut")[2 * i].alias("lo"), F.col("cut")[2 * i + 1].alias("hi"),
                 )
-                for name, p in QUARTILES.items()
+                for i, (name, p) in enumerate(QUARTILES.items())
             ]
         )
     )

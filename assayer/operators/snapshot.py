@@ -3,8 +3,9 @@
 Inputs are long tables. `by` names the columns that tell snapshots apart, such as
 `snapshot_id`; every function works on all snapshots in one plan.
 columns: by…, database_name, schema_name, table_name, column_name, normalized_type,
-         native_type, is_nullable, ordinal_position
-keys:    by…, database_name, schema_name, table_name, column_name   (primary-key columns)
+         native_type, is_nullable, ordinal_position [, is_key]
+keys:    by…, database_name, schema_name, table_name, column_name   (primary-key columns,
+         where `is_key` is not a column already)
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ def signatures(columns: DataFrame, keys: DataFrame | None, by: list[str], tables
     Samples, row counts and comments play no part, nor does the order of rows.
     """
     table = F.concat_ws(".", *TABLE)
-    parts = columns.select(
-        *by,
-        F.concat_ws(
-            "|", F.lit("column"), table, "column_name", "normalized_type", "native_type",
-            F.col("is_nullable").cast("int").cast("string"), F.col("ordinal_position").cast("string"),
-        ).alias("signature"),
+    line = F.concat_ws(
+        "|", F.lit("column"), table, "column_name", "normalized_type", "native_type",
+        F.col("is_nullable").cast("int").cast("string"), F.col("ordinal_position").cast("string"),
     )
+    if "is_key" in columns.columns:
+        key_line = F.when(F.col("is_key"), F.concat_ws("|", F.lit("key"), table, "column_name"))
+        parts = columns.select(*by, F.explode(F.array_compact(F.array(line, key_line))).alias("signature"))
+    else:
+        parts = columns.select(*by, line.alias("signature"))
     if keys is not None:
         parts = parts.unionByName(keys.select(*by, F.concat_ws("|", F.lit("key"), table, "column_name").alias("signature")))
     if tables is not None:
@@ -66,66 +69,58 @@ def are_equivalent(a: DataFrame, b: DataFrame, database_a: str, database_b: str)
     return database_a == database_b and structural_difference(a, b, []).isEmpty()
 
 
-def _side(columns: DataFrame, keys: DataFrame | None, by: list[str], side: str) -> DataFrame:
-    place = by + ["schema_name", "table_name", "column_name"]
-    described = columns.select(
-        *place, F.lit(side).alias("side"), "normalized_type", "native_type", "is_nullable", "ordinal_position",
-        F.lit(0).alias("is_key"),
-    )
-    if keys is None:
-        return described
-    none = F.lit(None)
-    return described.unionByName(
-        keys.select(
-            *place, F.lit(side).alias("side"), none.cast("string").alias("normalized_type"),
-            none.cast("string").alias("native_type"), none.cast("boolean").alias("is_nullable"),
-            none.cast("int").alias("ordinal_position"), F.lit(1).alias("is_key"),
-        )
-    )
+ATTRIBUTES = ["normalized_type", "native_type", "is_nullable", "ordinal_position", "is_key"]
+
 
+def with_keys(columns: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
+    """Marks key columns with `is_key`."""
+    place = by + TABLE + ["column_name"]
+    marked = keys.select(*place, F.lit(True).alias("is_key")).distinct()
+    return columns.join(marked, place, "left").withColumn("is_key", F.coalesce("is_key", F.lit(False)))
 
-def schema_diff(old: DataFrame, new: DataFrame, by: list[str], old_keys: DataFrame | None = None,
-                new_keys: DataFrame | None = None) -> DataFrame:
+
+def schema_diff(old: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
     """(by…, schema_name, table_name, column_name, change): what happened from `old` to `new`.
 
-    A table on one side only gives one row without a column. Both sides meet in
-    one grouping instead of a join.
+    A table on one side only gives one row without a column. Both sides move once,
+    by table: the columns of a table are matched, and its presence judged, in place.
     """
-    sides = _side(old, old_keys, by, "old").unionByName(_side(new, new_keys, by, "new"))
     place = by + ["schema_name", "table_name"]
 
-    def of(side: str, value: str) -> Column:
-        return F.max(F.when(F.col("side") == side, F.col(value))).alias(f"{side}_{value}")
+    def side(df: DataFrame, name: str) -> DataFrame:
+        full = df if "is_key" in df.columns else df.withColumn("is_key", F.lit(False))
+        return full.select(*place, "column_name", F.lit(name).alias("side"), *ATTRIBUTES)
 
-    attributes = ["normalized_type", "native_type", "is_nullable", "ordinal_position", "is_key"]
-    cells = sides.groupBy(*place, "column_name").agg(*[of(s, v) for s in ("old", "new") for v in attributes])
-    present = sides.groupBy(*place).agg(
-        F.max(F.when(F.col("side") == "old", 1).otherwise(0)).alias("table_in_old"),
-        F.max(F.when(F.col("side") == "new", 1).otherwise(0)).alias("table_in_new"),
-    )
-    whole = present.where("table_in_old + table_in_new = 1").select(
-        *place, F.lit(None).cast("string").alias("column_name"),
-        F.when(F.col("table_in_new") == 1, "table_added").otherwise("table_removed").alias("change"),
-    )
-    shared = present.where("table_in_old + table_in_new = 2").select(*place)
+    def of(name: str, value: str) -> Column:
+        return F.max(F.when(F.col("side") == name, F.col(value))).alias(f"{name}_{value}")
+
+    both = side(old, "old").unionByName(side(new, "new")).repartition(*place)
+    cells = both.groupBy(*place, "column_name").agg(*[of(s, v) for s in ("old", "new") for v in ATTRIBUTES])
     in_old, in_new = F.col("old_ordinal_position").isNotNull(), F.col("new_ordinal_position").isNotNull()
-    kept = in_old & in_new
+    table = Window.partitionBy(*place)  # as many rows as the table has columns
+    judged = cells.withColumns({
+        "table_in_old": F.max(in_old).over(table), "table_in_new": F.max(in_new).over(table),
+        "first_column": F.min("column_name").over(table),
+    })
+    shared, kept = F.col("table_in_old") & F.col("table_in_new"), in_old & in_new
+    speaks = F.col("column_name") == F.col("first_column")
 
     def differs(value: str) -> Column:
-        return ~F.col(f"old_{value}").eqNullSafe(F.col(f"new_{value}"))
+        return kept & ~F.col(f"old_{value}").eqNullSafe(F.col(f"new_{value}"))
 
     changes = F.array_compact(
         F.array(
-            F.when(~in_old & in_new, "column_added"),
-            F.when(in_old & ~in_new, "column_removed"),
-            F.when(kept & (differs("normalized_type") | differs("native_type")), "type_changed"),
-            F.when(kept & differs("is_nullable"), "nullability_changed"),
-            F.when(kept & differs("ordinal_position"), "moved"),
-            F.when(kept & (F.col("old_is_key") != F.col("new_is_key")), "key_changed"),
+            F.when(~shared & speaks, F.when(F.col("table_in_new"), "table_added").otherwise("table_removed")),
+            F.when(shared & ~in_old, "column_added"),
+            F.when(shared & ~in_new, "column_removed"),
+            F.when(differs("normalized_type") | differs("native_type"), "type_changed"),
+            F.when(differs("is_nullable"), "nullability_changed"),
+            F.when(differs("ordinal_position"), "moved"),
+            F.when(differs("is_key"), "key_changed"),
         )
     )
-    changed = cells.select(*place, "column_name", F.explode(changes).alias("change"))
-    return changed.join(shared, [*place], "left_semi").unionByName(whole)
+    found = judged.select(*place, "column_name", F.explode(changes).alias("change"))
+    return found.withColumn("column_name", F.when(~F.col("change").startswith("table_"), F.col("column_name")))
 
 
 def latest(snapshots: DataFrame, partition: str = "source_database", at: str = "captured_at", id_column: str = "id",

@@ -91,8 +91,9 @@ def parse_responses(responses: DataFrame, id_column: str = "id", text: str = "te
     """(id, kind, item_index, item, error): every item of every response, with what is wrong with it.
 
     A response that is no object, or has an unknown or non-array key, gives one row
-    with kind and item NULL. Wrapping the body in brackets first makes trailing
-    junk a parse error.
+    with kind and item NULL; one without any items gives such a row with no error.
+    Wrapping the body in brackets first makes trailing junk a parse error. Every
+    text is parsed once.
     """
     body = json_body(F.col(text))
     whole = F.expr("try_variant_get(try_parse_json(concat('[', __body, ']')), '$', 'array<map<string,variant>>')")
@@ -106,31 +107,25 @@ def parse_responses(responses: DataFrame, id_column: str = "id", text: str = "te
         .when(F.expr(f"size(array_except(map_keys(set), array({kinds}))) > 0"), "unknown field")
         .when(F.expr(not_arrays), "kind is not an array")
     )
-    excerpt = F.concat(broken, F.lit(": "), F.substring("__body", 1, ERROR_EXCERPT))
-    parsed = parsed.withColumn("broken", excerpt)
-    failed = parsed.where("broken is not null").select(
-        "id", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("item_index"),
-        F.lit(None).cast("map<string,variant>").alias("item"), F.col("broken").alias("error"),
-    )
-    items = parsed.where("broken is null").select("id", F.explode("set").alias("kind", "list")).select(
-        "id", "kind", F.posexplode(F.expr("try_variant_get(list, '$', 'array<variant>')")).alias("item_index", "raw")
-    ).select("id", "kind", "item_index", F.expr("try_variant_get(raw, '$', 'map<string,variant>')").alias("item"))
-    error = F.when(F.lit(False), F.lit(None).cast("string"))
+    judged = parsed.select("id", "set", F.concat(broken, F.lit(": "), F.substring("__body", 1, ERROR_EXCERPT)).alias("broken"))
+    # kinds without items are dropped, so that an empty response keeps exactly one row
+    filled = F.expr("map_filter(set, (k, v) -> schema_of_variant(v) <> 'ARRAY<VOID>')")
+    lists = judged.select("id", "broken", F.explode_outer(F.when(F.col("broken").isNull(), filled)).alias("kind", "list"))
+    items = lists.select(
+        "id", "broken", "kind", F.posexplode_outer(F.expr("try_variant_get(list, '$', 'array<variant>')")).alias("item_index", "raw")
+    ).select("id", "broken", "kind", "item_index", F.expr("try_variant_get(raw, '$', 'map<string,variant>')").alias("item"))
+    error = F.when(F.col("broken").isNotNull(), F.col("broken"))
     for kind in CONTRACT:
         error = error.when(F.col("kind") == kind, _item_error(kind))
-    return items.withColumn("error", error).unionByName(failed)
+    return items.select("id", "kind", "item_index", "item", error.alias("error"))
 
 
-def response_summary(responses: DataFrame, items: DataFrame, id_column: str = "id") -> DataFrame:
+def response_summary(items: DataFrame) -> DataFrame:
     """(id, valid, first_error, n_items and one count per kind). One bad item rejects its whole response."""
-    counted = items.groupBy("id").agg(
-        F.count("kind").alias("n_items"),
-        F.min("error").alias("first_error"),
+    return items.groupBy("id").agg(
+        (F.count("error") == 0).alias("valid"), F.min("error").alias("first_error"), F.count("kind").alias("n_items"),
         *[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in CONTRACT],
     )
-    all_ids = responses.select(F.col(id_column).alias("id"))
-    counts = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ["n_items", *CONTRACT]]
-    return all_ids.join(counted, "id", "left").select("id", F.col("first_error").isNull().alias("valid"), "first_error", *counts)
 
 
 # ---- checks on proposals that are already columns ----

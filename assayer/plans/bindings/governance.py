@@ -27,8 +27,7 @@ PRINTS_SQL = f"""prints as (select snapshot_id, concat_ws('-', cast(count(*) as
 
 
 def signed(spark, sf_dir) -> DataFrame:
-    columns = order_columns(spark, sf_dir)
-    return snapshot.signatures(columns, columns.where("is_key"), ["snapshot_id"])
+    return snapshot.signatures(order_columns(spark, sf_dir), None, ["snapshot_id"])
 
 
 def prints(spark, sf_dir) -> DataFrame:
@@ -100,7 +99,7 @@ union all select source_database, table_name, null, 'table_removed' from t where
 def differences(spark, sf_dir):
     pairs, columns = newest_two(spark, sf_dir), order_columns(spark, sf_dir)
     old, new = of_age(columns, pairs, 2), of_age(columns, pairs, 1)
-    changed = snapshot.schema_diff(old, new, ["source_database"], old.where("is_key"), new.where("is_key"))
+    changed = snapshot.schema_diff(old, new, ["source_database"])
     return changed.select("source_database", "table_name", "column_name", "change")
 
 
@@ -289,5 +288,5 @@ JSN2_ERROR = """case when event_type = 'purchase' then 'unknown field: ' || prop
 select id, first_error is null as valid, first_error, case when event_type = 'purchase' then 0 else 1 end as n_items from p""")
 def strict(spark, sf_dir):
     responses = load(spark, sf_dir, "events").selectExpr("*", HINT).select(F.col("event_id").alias("id"), F.expr(RESPONSE).alias("text"))
-    read = validate.response_summary(responses, validate.parse_responses(responses))
+    read = validate.response_summary(validate.parse_responses(responses))
     return read.select("id", "valid", "first_error", F.col("n_items").cast("int").alias("n_items"))

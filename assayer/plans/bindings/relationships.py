@@ -15,11 +15,12 @@ LINK_TYPES = ("integer", "string", "date", "timestamp")
 
 
 def link_inputs(spark, sf_dir):
-    """Profile and distinct values of every linkable column, whole tables and whole texts."""
+    """Distinct values of every linkable column, whole tables and whole texts, and what they tell of it."""
     tables = load_all(spark, sf_dir)
     columns = {t: [c for c, k in fields(t) if k in LINK_TYPES] for t in TABLES}
     # both are used several times over
-    return cut(profile.value_counts(tables, columns)), cut(profile.profile(tables))
+    counted = cut(profile.value_counts(tables, columns, nulls=True))
+    return counted.where("value is not null"), cut(profile.value_profile(counted))
 
 
 def inclusions_sql(minimum: float) -> str:

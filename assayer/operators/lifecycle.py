@@ -35,10 +35,11 @@ def _verb() -> Column:
 
 
 def _windowed(log: DataFrame, group: list[str]) -> DataFrame:
-    """Adds `epoch` and `verb_before` (deciding verb of the epoch so far), counted inside each group."""
+    """Adds `epoch` (reopens before the action) and `verb_before` (deciding verb of the epoch so far)."""
     ordered = Window.partitionBy(*group).orderBy(*ORDER)
     in_epoch = Window.partitionBy(*group, "epoch").orderBy(*ORDER)
-    return log.withColumn("epoch", F.sum(_is("reopen").cast("int")).over(ordered.rowsBetween(*UP_TO))).withColumn(
+    reopens = F.sum(_is("reopen").cast("int")).over(ordered.rowsBetween(*BEFORE))
+    return log.withColumn("epoch", F.coalesce(reopens, F.lit(0))).withColumn(
         "verb_before", F.first(_verb(), ignorenulls=True).over(in_epoch.rowsBetween(*BEFORE))
     )
 
@@ -54,7 +55,8 @@ def _spread(log: DataFrame) -> DataFrame:
     pieces = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
     placed = cut(log.repartitionByRange(pieces, "definition_id", *ORDER).withColumn("piece", F.spark_partition_id()))
     local = _windowed(placed, ["definition_id", "piece"])
-    per_epoch = local.groupBy("definition_id", "piece", "epoch").agg(
+    left_in = F.col("epoch") + _is("reopen").cast("int")  # the epoch the action leaves behind
+    per_epoch = local.groupBy("definition_id", "piece", left_in.alias("epoch")).agg(
         F.min_by(_verb(), F.when(_verb().isNotNull(), F.struct(*ORDER))).alias("verb")
     )
     summary = per_epoch.groupBy("definition_id", "piece").agg(

@@ -190,8 +190,8 @@ LOG_SQL = """log as (
               when 'signup' then 'edit' else case when event_id % 40 = 0 then 'supersede' else 'edit' end end as action
   from events),
 epochs as (
-  select *, sum(case when action = 'reopen' then 1 else 0 end)
-            over (partition by definition_id order by happened, seq rows unbounded preceding) as epoch,
+  select *, coalesce(sum(case when action = 'reopen' then 1 else 0 end)
+            over (partition by definition_id order by happened, seq rows between unbounded preceding and 1 preceding), 0) as epoch,
          row_number() over (partition by definition_id order by happened, seq) as pos
   from log),
 firsts as (

@@ -4,6 +4,7 @@ severity, title, table_name, column_name, evidence, measured, threshold.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -97,56 +98,62 @@ def rule_violations(df: DataFrame, rule: str) -> DataFrame:
 QUARTILES = {"q1": 0.25, "q3": 0.75}
 
 
-def quartiles(df: DataFrame, column: str) -> DataFrame:
-    """Exact q1 and q3 as one row: the smallest values with at least that share of rows up to them.
+def quartiles(df: DataFrame, column: str) -> dict[str, float | None]:
+    """Exact q1 and q3: the smallest values with at least that share of rows up to them.
 
     A sketch brackets each position. Rows below a bracket are only counted, and
-    just the values inside it, about one in 25,000, are put in order.
+    just the values inside it, about one in 25,000, are put in order. A handful
+    of numbers reaches the driver.
     """
     x = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
     margin = 0.00002
     shares = [p + d for p in QUARTILES.values() for d in (-margin, margin)]
-    bounds = x.agg(F.count("*").alias("n_rows"), F.approx_percentile("x", shares, 200000).alias("cut"))
-    bracket = F.inline(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("name"), F.ceil(F.lit(p) * F.col("n_rows")).alias("position"),
-                    F.col("cut")[2 * i].alias("lo"), F.col("cut")[2 * i + 1].alias("hi"),
-                )
-                for i, (name, p) in enumerate(QUARTILES.items())
-            ]
-        )
-    )
-    brackets = F.broadcast(bounds.select(bracket))  # two rows
-    # one count for everything below, one per value inside
-    spot = F.when(F.col("x") >= F.col("lo"), F.col("x"))
-    counted = x.join(brackets, F.col("x") <= F.col("hi")).groupBy("name", "position", spot.alias("spot")).agg(
-        F.count("*").alias("n")
-    )
+    bounds = x.agg(F.count("*").alias("n_rows"), F.approx_percentile("x", shares, 200000).alias("cut")).first()
+    if bounds["n_rows"] == 0:
+        return dict.fromkeys(QUARTILES)
+    positions = {name: math.ceil(p * bounds["n_rows"]) for name, p in QUARTILES.items()}
+    spots = []
+    for i, name in enumerate(QUARTILES):
+        low, high = bounds["cut"][2 * i], bounds["cut"][2 * i + 1]
+        spot = F.struct(F.lit(name).alias("name"), F.when(F.col("x") >= low, F.col("x")).alias("spot"))
+        spots.append(F.when(F.col("x") <= high, spot))
+    # one count for everything below a bracket, one per value inside it
+    counted = x.select(F.inline(F.array_compact(F.array(*spots)))).groupBy("name", "spot").agg(F.count("*").alias("n"))
     running = Window.partitionBy("name").orderBy("spot").rowsBetween(Window.unboundedPreceding, 0)
-    found = counted.withColumn("upto", F.sum("n").over(running)).where("upto >= position")
-    return found.agg(*[F.min(F.when(F.col("name") == name, F.col("spot"))).alias(name) for name in QUARTILES])
+    reached = counted.withColumn("upto", F.sum("n").over(running))
+    found = reached.agg(*[
+        F.min(F.when((F.col("name") == name) & (F.col("upto") >= position), F.col("spot"))).alias(name)
+        for name, position in positions.items()
+    ])
+    return found.first().asDict()
+
+
+def _outside(column: str, low: float | None, high: float | None) -> list[Column]:
+    x = F.col(column).cast("double")
+    return [
+        F.count(x).alias("n_rows"), F.count(F.when((x < F.lit(low)) | (x > F.lit(high)), 1)).alias("n_outliers"),
+    ]
 
 
 def iqr_outliers(df: DataFrame, column: str, factor: float = 1.5) -> DataFrame:
     """One row: quartiles, fences and the rows outside, all exact."""
-    fences = quartiles(df, column).withColumn("low_fence", F.col("q1") - F.lit(factor) * (F.col("q3") - F.col("q1"))).withColumn(
-        "high_fence", F.col("q3") + F.lit(factor) * (F.col("q3") - F.col("q1"))
+    q = quartiles(df, column)
+    reach = None if q["q1"] is None else factor * (q["q3"] - q["q1"])
+    low, high = (None, None) if reach is None else (q["q1"] - reach, q["q3"] + reach)
+    known = {**q, "low_fence": low, "high_fence": high}
+    return df.agg(*_outside(column, low, high)).select(
+        *[F.lit(v).cast("double").alias(k) for k, v in known.items()], "n_rows", "n_outliers"
     )
-    x = F.col(column).cast("double")
-    return df.select(x.alias("x")).where("x is not null").join(F.broadcast(fences)).groupBy(
-        "q1", "q3", "low_fence", "high_fence"
-    ).agg(F.count("*").alias("n_rows"), F.count(F.when((F.col("x") < F.col("low_fence")) | (F.col("x") > F.col("high_fence")), 1)).alias("n_outliers"))
 
 
 def zscore_outliers(df: DataFrame, column: str, limit: float = 3.0) -> DataFrame:
+    """One row: rows, and rows further than `limit` standard deviations from the mean."""
     x = F.col(column).cast("double")
-    stats = df.agg(F.avg(x).alias("mean"), F.stddev(x).alias("sd"))
-    far = F.abs(x - F.col("mean")) > F.lit(limit) * F.col("sd")
-    return df.join(F.broadcast(stats)).agg(
-        F.count(x).alias("n_rows"), F.count(F.when(far, 1)).alias("n_outliers"),
-    )
+    stats = df.agg(F.avg(x).alias("mean"), F.stddev(x).alias("sd")).first()
+    if stats["sd"] is None:
+        return df.agg(*_outside(column, None, None))
+    far = F.abs(x - F.lit(stats["mean"])) > F.lit(limit * stats["sd"])
+    return df.agg(F.count(x).alias("n_rows"), F.count(F.when(far, 1)).alias("n_outliers"))
 
 
 def empty_tables(counts: DataFrame) -> DataFrame:

@@ -54,7 +54,10 @@ def unattributed(transactions: DataFrame, reference: Column, amount: str, docume
     if exclude is not None:
         negative = negative.where(~F.coalesce(exclude, F.lit(False)))
     known = documents.select(F.col(key).alias("reference")).distinct()
-    return negative.withColumn("reference", reference).join(known, "reference", "left_anti")
+    keyed = negative.withColumn("reference", reference)
+    # rows without a reference need no lookup, and would all meet in one task
+    lost = keyed.where("reference is not null").join(known, "reference", "left_anti")
+    return keyed.where("reference is null").unionByName(lost)
 
 
 def by_period(df: DataFrame, groups: list[Column], amount: Column, alias: str) -> DataFrame:

@@ -181,7 +181,12 @@ def resolve_columns(references: DataFrame, snapshot_columns: DataFrame) -> DataF
     schema, name = split_qualified(F.col("table"))
     placed = references.withColumn("schema_name", schema).withColumn("table_name", name)
     known = snapshot_columns.select("snapshot_id", "schema_name", "table_name", "column_name", "column_id")
-    return placed.join(known, ["snapshot_id", "schema_name", "table_name", "column_name"], "left")
+    found = placed.where("table_name is not null").join(
+        known, ["snapshot_id", "schema_name", "table_name", "column_name"], "left"
+    )
+    # names of another shape cannot resolve, and would all meet in one task
+    shapeless = placed.where("table_name is null").withColumn("column_id", F.lit(None).cast(known.schema["column_id"].dataType))
+    return found.unionByName(shapeless)
 
 
 def ground(references: DataFrame, snapshot_columns: DataFrame, mode: str = "raise") -> tuple[DataFrame, DataFrame]:

@@ -32,12 +32,11 @@ class Outcome:
     n_columns: int
 
 
-def _sampled(ref: TableRef, df: DataFrame, limit: int, key: Column | None) -> DataFrame:
-    """Samples of one table. The sample is `limit` rows, so ordering it needs no cluster."""
-    rows = sampling.sample_rows(df, limit, key)
-    placed = rows.withColumn("__pos", F.monotonically_increasing_id())
-    cells = sampling.long_form(placed, keep=["__pos"])
-    return sampling.column_samples(cells, "__pos", limit).withColumn("table_name", F.lit(ref.name)).withColumn("schema_name", F.lit(ref.schema))
+def _sampled_cells(ref: TableRef, df: DataFrame, limit: int, key: Column | None) -> DataFrame:
+    """Cells of a sample of one table, numbered in sample order: the sample leaves one task sorted."""
+    placed = sampling.sample_rows(df, limit, key).withColumn("__pos", F.monotonically_increasing_id())
+    names = [F.lit(ref.schema).alias("schema_name"), F.lit(ref.name).alias("table_name")]
+    return sampling.long_form(placed, keep=["__pos"]).select(*names, "column_name", "value", "__pos")
 
 
 def capture(spark: SparkSession, source: Source, sample_limit: int = DEFAULT_SAMPLE_ROWS,
@@ -57,9 +56,10 @@ def capture(spark: SparkSession, source: Source, sample_limit: int = DEFAULT_SAM
         empty = spark.createDataFrame([], "column_name string, sample_values array<string>, distinct_sample_count bigint, table_name string, schema_name string")
         sampled = empty
     else:
-        sampled = reduce(DataFrame.unionByName, [
-            _sampled(t, source.read(t), sample_limit, sample_key(t) if sample_key else None) for t in source.tables
+        cells = reduce(DataFrame.unionByName, [
+            _sampled_cells(t, source.read(t), sample_limit, sample_key(t) if sample_key else None) for t in source.tables
         ])
+        sampled = sampling.column_samples(cells, "__pos", sample_limit, ["schema_name", "table_name", "column_name"])
     described = columns.join(sampled, ["schema_name", "table_name", "column_name"], "left").withColumn(
         "distinct_sample_count", F.coalesce("distinct_sample_count", F.lit(0))
     ).withColumn("sample_values", F.coalesce("sample_values", F.array().cast("array<string>")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from assayer.functions.types import normalize_spark
 from assayer.vocab import DEFAULT_SAMPLE_ROWS
@@ -55,20 +55,17 @@ def long_form(df: DataFrame, columns: list[str] | None = None, keep: list[str] |
     return df.select(*(keep or []), F.inline(cells))
 
 
-def column_samples(cells: DataFrame, position: str, max_values: int = DEFAULT_SAMPLE_ROWS) -> DataFrame:
+def column_samples(cells: DataFrame, position: str, max_values: int = DEFAULT_SAMPLE_ROWS,
+                   by: list[str] = ("column_name",)) -> DataFrame:
     """First values per column in row order with NULLs kept, and the distinct count over all given rows.
 
-    `cells` is the long form of a sample. NULL counts as one value of its own.
+    `cells` is the long form of a sample, so a column has no more rows than the
+    sample. NULL counts as one value of its own.
     """
-    ranked = cells.withColumn("rn", F.row_number().over(Window.partitionBy("column_name").orderBy(position)))
-    first = ranked.where(F.col("rn") <= max_values).groupBy("column_name").agg(
-        F.array_sort(F.collect_list(F.struct("rn", "value"))).alias("kept")
-    )
-    counts = cells.groupBy("column_name").agg(distinct_with_null(F.col("value")).alias("distinct_sample_count"))
-    return first.join(counts, "column_name").select(
-        "column_name",
-        F.transform("kept", lambda k: k["value"]).alias("sample_values"),
-        "distinct_sample_count",
+    pairs = F.array_sort(F.collect_list(F.struct(position, "value")))
+    grouped = cells.groupBy(*by).agg(pairs.alias("pairs"), distinct_with_null(F.col("value")).alias("distinct_sample_count"))
+    return grouped.select(
+        *by, F.transform(F.slice("pairs", 1, max_values), lambda p: p["value"]).alias("sample_values"), "distinct_sample_count"
     )
 
 

@@ -83,6 +83,13 @@ def test_numbers_are_compared_as_numbers(frame):
     assert (row.min_value, row.max_value) == ("9", str(2**60 + 1))
 
 
+def test_awkward_column_names(frame):
+    df = frame("a int", [(1,), (2,)]).toDF("it's a `name`.x\\\\")
+    for exact in (True, False):
+        row = profile.profile({"odd 'table'": df}, exact).first()
+        assert (row.table_name, row.column_name, row.n_distinct) == ("odd 'table'", df.columns[0], 2)
+
+
 def test_cardinality_edges(spark):
     buckets = spark.createDataFrame([(10,), (11,), (100,), (101,), (10000,), (10001,)], "n bigint").select(
         profile.cardinality(F.col("n"), F.lit(False))

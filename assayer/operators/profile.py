@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from assayer.functions.cells import comparable_text, literal, quoted
 from assayer.functions.types import normalize_spark
 from assayer.vocab import CARDINALITY_LIMITS
 
@@ -17,16 +18,8 @@ DIGEST_ABOVE = 128
 FAMILIES = ["bigint", "double", "date", "timestamp", "timestamp_ntz", "string"]
 
 
-def _quoted(column: str) -> str:
-    return "`" + column.replace("`", "``") + "`"
-
-
-def _literal(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _name(column: str) -> Column:
-    return F.col(_quoted(column))
+    return F.col(quoted(column))
 
 
 def _family(data_type: T.DataType) -> str:
@@ -40,13 +33,6 @@ def _family(data_type: T.DataType) -> str:
     return "string"
 
 
-def _text(column: str, data_type: T.DataType) -> str:
-    """SQL text that tells two values apart; nested values by their JSON form."""
-    if isinstance(data_type, (T.StructType, T.ArrayType, T.MapType, T.VariantType)):
-        return f"to_json({_quoted(column)})"
-    return f"hex({_quoted(column)})" if isinstance(data_type, T.BinaryType) else f"cast({_quoted(column)} as string)"
-
-
 class Columns:
     """The columns of several tables, numbered. Cells carry the number instead of three names."""
 
@@ -62,7 +48,7 @@ class Columns:
     def listing(self) -> str:
         """SQL array of (table_name, column_name, normalized_type, ordinal_position)."""
         return "array({})".format(", ".join(
-            f"named_struct('table_name', {_literal(t)}, 'column_name', {_literal(c)}, 'normalized_type', '{normalize_spark(k)}', 'ordinal_position', {p})"
+            f"named_struct('table_name', {literal(t)}, 'column_name', {literal(c)}, 'normalized_type', '{normalize_spark(k)}', 'ordinal_position', {p})"
             for t, c, k, p in self.entries
         ))
 
@@ -79,7 +65,7 @@ class Columns:
             for number, (t, c, kind, _) in enumerate(self.entries):
                 if t != table or _family(kind) != family:
                     continue
-                value = f"cast({_quoted(c)} as {family})" if family != "string" else _text(c, kind)
+                value = f"cast({quoted(c)} as {family})" if family != "string" else comparable_text(c, kind)
                 if family == "string" and digest:
                     value = f"if(length({value}) > {DIGEST_ABOVE}, sha2({value}, 256), {value})"
                 structs.append(f"struct({number} as column_id, {value} as value)")
@@ -102,7 +88,7 @@ class Columns:
                 if t == table and _family(kind) == "string" and normalize_spark(kind) not in ("json", "unknown")
             ]
             if numbered:
-                bounds = df.selectExpr(*[f"min({_quoted(c)}) as l{n}" for n, c in numbered], *[f"max({_quoted(c)}) as h{n}" for n, c in numbered])
+                bounds = df.selectExpr(*[f"min({quoted(c)}) as l{n}" for n, c in numbered], *[f"max({quoted(c)}) as h{n}" for n, c in numbered])
                 rows = ", ".join(f"struct({n} as column_id, cast(l{n} as string) as low, cast(h{n} as string) as high)" for n, _ in numbered)
                 parts.append(bounds.selectExpr(f"inline(array({rows}))"))
         return parts
@@ -137,8 +123,8 @@ def _sketched(columns: Columns) -> list[DataFrame]:
         plain = [n for n, _, k in numbered if normalize_spark(k) not in ("json", "unknown")]
         aggregates = ["count(*) as n_rows"]
         for n, c, k in numbered:
-            aggregates += [f"count({_quoted(c)}) as c{n}", f"approx_count_distinct({_text(c, k)}) as d{n}"]
-            aggregates += [f"min({_quoted(c)}) as l{n}", f"max({_quoted(c)}) as h{n}"] if n in plain else []
+            aggregates += [f"count({quoted(c)}) as c{n}", f"approx_count_distinct({comparable_text(c, k)}) as d{n}"]
+            aggregates += [f"min({quoted(c)}) as l{n}", f"max({quoted(c)}) as h{n}"] if n in plain else []
         rows = ", ".join(
             f"struct({n} as column_id, n_rows, d{n} as n_distinct, n_rows - c{n} as n_nulls, "
             + (f"cast(l{n} as string) as low, cast(h{n} as string) as high)" if n in plain else "cast(null as string) as low, cast(null as string) as high)")

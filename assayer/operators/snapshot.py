@@ -53,20 +53,27 @@ def fingerprints(signed: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def structural_difference(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
-    """(by…, signature, only_in): lines of one side missing on the other; empty means equivalent."""
-    both = a.select(*by, "signature", F.lit(1).alias("in_a"), F.lit(0).alias("in_b")).unionByName(
-        b.select(*by, "signature", F.lit(0).alias("in_a"), F.lit(1).alias("in_b"))
+def sides(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Two relations as one, told apart by `side`."""
+    return old.withColumn("side", F.lit("old")).unionByName(new.withColumn("side", F.lit("new")))
+
+
+def structural_difference(both: DataFrame, by: list[str]) -> DataFrame:
+    """(by…, signature, only_in): lines of one side missing on the other; empty means equivalent.
+
+    both: by…, signature, side
+    """
+    merged = both.groupBy(*by, "signature").agg(
+        F.bool_or(F.col("side") == "old").alias("in_old"), F.bool_or(F.col("side") == "new").alias("in_new")
     )
-    merged = both.groupBy(*by, "signature").agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"))
-    return merged.where("in_a + in_b = 1").select(
-        *by, "signature", F.when(F.col("in_a") == 1, "a").otherwise("b").alias("only_in")
+    return merged.where("in_old <> in_new").select(
+        *by, "signature", F.when(F.col("in_old"), "old").otherwise("new").alias("only_in")
     )
 
 
 def are_equivalent(a: DataFrame, b: DataFrame, database_a: str, database_b: str) -> bool:
     """Whole-snapshot check for two inventories' signatures."""
-    return database_a == database_b and structural_difference(a, b, []).isEmpty()
+    return database_a == database_b and structural_difference(sides(a, b), []).isEmpty()
 
 
 ATTRIBUTES = ["normalized_type", "native_type", "is_nullable", "ordinal_position", "is_key"]
@@ -79,23 +86,21 @@ def with_keys(columns: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
     return columns.join(marked, place, "left").withColumn("is_key", F.coalesce("is_key", F.lit(False)))
 
 
-def schema_diff(old: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
-    """(by…, schema_name, table_name, column_name, change): what happened from `old` to `new`.
+def schema_diff(both: DataFrame, by: list[str]) -> DataFrame:
+    """(by…, schema_name, table_name, column_name, change): what happened from side `old` to side `new`.
 
-    A table on one side only gives one row without a column. Both sides move once,
-    by table: the columns of a table are matched, and its presence judged, in place.
+    both: columns of both snapshots with `side`. A table on one side only gives one
+    row without a column. All rows move once, by table: the columns of a table are
+    matched, and its presence judged, in place.
     """
     place = by + ["schema_name", "table_name"]
-
-    def side(df: DataFrame, name: str) -> DataFrame:
-        full = df if "is_key" in df.columns else df.withColumn("is_key", F.lit(False))
-        return full.select(*place, "column_name", F.lit(name).alias("side"), *ATTRIBUTES)
+    full = both if "is_key" in both.columns else both.withColumn("is_key", F.lit(False))
+    moved = full.select(*place, "column_name", "side", *ATTRIBUTES).repartition(*place)
 
     def of(name: str, value: str) -> Column:
         return F.max(F.when(F.col("side") == name, F.col(value))).alias(f"{name}_{value}")
 
-    both = side(old, "old").unionByName(side(new, "new")).repartition(*place)
-    cells = both.groupBy(*place, "column_name").agg(*[of(s, v) for s in ("old", "new") for v in ATTRIBUTES])
+    cells = moved.groupBy(*place, "column_name").agg(*[of(s, v) for s in ("old", "new") for v in ATTRIBUTES])
     in_old, in_new = F.col("old_ordinal_position").isNotNull(), F.col("new_ordinal_position").isNotNull()
     table = Window.partitionBy(*place)  # as many rows as the table has columns
     judged = cells.withColumns({

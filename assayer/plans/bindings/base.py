@@ -117,7 +117,7 @@ NATIVE_TYPES = {"F": "character varying", "O": "numeric(12,2)"}
 
 def order_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = load(spark, sf_dir, "lineitem")
-    native = F.when(F.min("l_linestatus") == "F", NATIVE_TYPES["F"]).otherwise(NATIVE_TYPES["O"])
+    native = F.when(F.bool_or(F.col("l_linestatus") == "F"), NATIVE_TYPES["F"]).otherwise(NATIVE_TYPES["O"])
     grouped = lines.groupBy("l_orderkey", "l_returnflag", "l_linenumber").agg(
         native.alias("native_type"),
         (F.max("l_tax") >= 0.05).alias("is_nullable"),

@@ -9,7 +9,7 @@ from assayer.plans.bindings.base import (
     DEFINITIONS_SQL, LOG_SQL, ORDER_COLUMNS_SQL, ORDER_SNAPSHOTS_SQL, day, decision_log, load, order_columns,
     order_definitions, order_snapshots, query,
 )
-from assayer.session import scratch_path
+from assayer.session import cut, scratch_path
 from assayer.streaming import decisions
 
 SIGNATURES_SQL = """sig as (
@@ -64,6 +64,12 @@ def of_age(df: DataFrame, pairs: DataFrame, rank: int) -> DataFrame:
     return df.join(chosen, "snapshot_id").drop("snapshot_id")
 
 
+def two_sided(df: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of the newest and the previous snapshot of every source, in one pass."""
+    side = F.when(F.col("age_rank") == 1, "new").otherwise("old").alias("side")
+    return df.join(pairs.select("snapshot_id", "source_database", side), "snapshot_id").drop("snapshot_id")
+
+
 @query("set_1", f"""with {PAIR_SQL},
 s as (select distinct source_database, age_rank, signature from sig join snaps on snaps.id = snapshot_id where age_rank <= 2),
 d as (select source_database, signature from s group by 1, 2 having count(*) = 1),
@@ -71,8 +77,8 @@ n as (select source_database, count(*) as n from d group by 1)
 select distinct snaps.source_database, coalesce(n, 0) as n_differences, coalesce(n, 0) = 0 as equivalent
 from snaps left join n on n.source_database = snaps.source_database""")
 def equivalence(spark, sf_dir):
-    pairs, lines = newest_two(spark, sf_dir), signed(spark, sf_dir)
-    difference = snapshot.structural_difference(of_age(lines, pairs, 1), of_age(lines, pairs, 2), ["source_database"])
+    pairs = newest_two(spark, sf_dir)
+    difference = snapshot.structural_difference(two_sided(signed(spark, sf_dir), pairs), ["source_database"])
     counted = difference.groupBy("source_database").agg(F.count("*").alias("n"))
     n = F.coalesce(F.col("n"), F.lit(0))
     return pairs.where("age_rank = 1").select("source_database").join(counted, "source_database", "left").select(
@@ -97,9 +103,8 @@ union all select source_database, table_name, column_name, 'key_changed' from b
 union all select source_database, table_name, null, 'table_added' from t where t_new and not t_old
 union all select source_database, table_name, null, 'table_removed' from t where t_old and not t_new""")
 def differences(spark, sf_dir):
-    pairs, columns = newest_two(spark, sf_dir), order_columns(spark, sf_dir)
-    old, new = of_age(columns, pairs, 2), of_age(columns, pairs, 1)
-    changed = snapshot.schema_diff(old, new, ["source_database"])
+    both = two_sided(order_columns(spark, sf_dir), newest_two(spark, sf_dir))
+    changed = snapshot.schema_diff(both, ["source_database"])
     return changed.select("source_database", "table_name", "column_name", "change")
 
 
@@ -110,7 +115,8 @@ select c.source_database, coalesce(c.fingerprint = p.fingerprint and prompt_vers
   case when c.fingerprint = p.fingerprint and prompt_version = 'rules-v1' then p.id end as last_snapshot_id
 from c left join p on p.source_database = c.source_database""")
 def skips(spark, sf_dir):
-    marked = newest_two(spark, sf_dir).join(prints(spark, sf_dir), "snapshot_id").withColumnRenamed("snapshot_id", "id")
+    # two rows per source, used twice
+    marked = cut(newest_two(spark, sf_dir).join(prints(spark, sf_dir), "snapshot_id")).withColumnRenamed("snapshot_id", "id")
     decided = snapshot.skip_decisions(
         marked.where("age_rank = 1").select("source_database", "fingerprint"), marked.where("age_rank = 2"), "rules-v1"
     )

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from assayer.vocab import SYSTEM_SCHEMAS
 
@@ -83,7 +84,14 @@ def parquet_source(spark: SparkSession, location: str, database: str = "files",
                 if is_table(inner):
                     ref = TableRef(database, name, inner.getPath().getName().removesuffix(".parquet"))
                     paths[ref] = inner.getPath().toString()
-    return Source("parquet", database, _visible(list(paths)), lambda ref: spark.read.parquet(paths[ref]))
+    schemas: dict[TableRef, StructType] = {}
+
+    def read(ref: TableRef) -> DataFrame:
+        if ref not in schemas:  # looking into the files is a job; once per table is enough
+            schemas[ref] = spark.read.parquet(paths[ref]).schema
+        return spark.read.schema(schemas[ref]).parquet(paths[ref])
+
+    return Source("parquet", database, _visible(list(paths)), read)
 
 
 def catalog_source(spark: SparkSession, location: str) -> Source:

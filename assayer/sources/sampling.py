@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
+from assayer.functions.cells import comparable_text, literal, quoted
 from assayer.functions.types import normalize_spark
 from assayer.vocab import DEFAULT_SAMPLE_ROWS
 
@@ -29,30 +30,15 @@ def has_more_rows(df: DataFrame, returned: int) -> DataFrame:
     return probe.agg((F.count("*") > 0).alias("truncated"))
 
 
-def comparable_text(df: DataFrame, name: str) -> Column:
-    """Text that tells two values of a column apart; nested values by their JSON form."""
-    data_type = df.schema[name].dataType
-    if isinstance(data_type, (T.StructType, T.ArrayType, T.MapType, T.VariantType)):
-        return F.to_json(F.col(f"`{name}`"))
-    if isinstance(data_type, T.BinaryType):
-        return F.hex(F.col(f"`{name}`"))
-    return F.col(f"`{name}`").cast("string")
-
-
 def long_form(df: DataFrame, columns: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
     """(…keep, column_name, normalized_type, value): one row per cell, values as comparable text."""
     names = columns or [c for c in df.columns if c not in (keep or [])]
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.lit(normalize_spark(df.schema[c].dataType)).alias("normalized_type"),
-                comparable_text(df, c).alias("value"),
-            )
-            for c in names
-        ]
+    cells = ", ".join(
+        f"struct({literal(c)} as column_name, '{normalize_spark(df.schema[c].dataType)}' as normalized_type, "
+        f"{comparable_text(c, df.schema[c].dataType)} as value)"
+        for c in names
     )
-    return df.select(*(keep or []), F.inline(cells))
+    return df.selectExpr(*[quoted(k) for k in keep or []], f"inline(array({cells}))")
 
 
 def column_samples(cells: DataFrame, position: str, max_values: int = DEFAULT_SAMPLE_ROWS,

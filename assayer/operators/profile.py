@@ -38,11 +38,13 @@ class Columns:
 
     def __init__(self, tables: dict[str, DataFrame], chosen: dict[str, list[str]] | None = None):
         self.tables = tables
+        # columns of one table and family have consecutive numbers
         self.entries = [
             (table, f.name, f.dataType, position)
             for table, df in tables.items()
+            for family in FAMILIES
             for position, f in enumerate(df.schema.fields, start=1)
-            if chosen is None or f.name in chosen.get(table, [])
+            if _family(f.dataType) == family and (chosen is None or f.name in chosen.get(table, []))
         ]
 
     def listing(self) -> str:
@@ -61,16 +63,17 @@ class Columns:
         """(column_id, value) of all columns of one family. Each column of each table is read by one family only."""
         parts = []
         for table, df in self.tables.items():
-            structs = []
-            for number, (t, c, kind, _) in enumerate(self.entries):
-                if t != table or _family(kind) != family:
-                    continue
+            numbers = [n for n, (t, _, kind, _) in enumerate(self.entries) if t == table and _family(kind) == family]
+            if not numbers:
+                continue
+            values = []
+            for _, c, kind, _ in self.entries[numbers[0]:numbers[-1] + 1]:
                 value = f"cast({quoted(c)} as {family})" if family != "string" else comparable_text(c, kind)
                 if family == "string" and digest:
                     value = f"if(length({value}) > {DIGEST_ABOVE}, sha2({value}, 256), {value})"
-                structs.append(f"struct({number} as column_id, {value} as value)")
-            if structs:
-                parts.append(df.selectExpr(f"inline(array({', '.join(structs)}))"))
+                values.append(value)
+            spread = df.selectExpr(f"posexplode(array({', '.join(values)})) as (place, value)")
+            parts.append(spread.selectExpr(f"place + {numbers[0]} as column_id", "value"))
         return reduce(DataFrame.union, parts) if parts else None
 
     def counts(self, family: str, digest: bool = True) -> DataFrame | None:

@@ -177,9 +177,11 @@ select table_name, column_name, cardinality as cardinality_hint, n_distinct, sam
 from prof join tops using (table_name, column_name) where {DIMENSION_FILTER}""")
 def dimension_proposals(spark, sf_dir):
     tables = load_all(spark, sf_dir)
-    proposed = propose.dimensions(profile.profile(tables))
-    candidates = {t: [c for c, k in fields(t) if k in ("string", "integer")] for t in TABLES}
-    # five values per column
+    proposed = cut(propose.dimensions(profile.profile(tables)))
+    candidates: dict[str, list[str]] = {}
+    for row in proposed.select("table_name", "column_name").collect():  # column names only
+        candidates.setdefault(row.table_name, []).append(row.column_name)
+    # samples of these few-valued columns only; five values per column
     tops = profile.top_values(tables, candidates, 5).groupBy("table_name", "column_name").agg(
         F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("top")
     )

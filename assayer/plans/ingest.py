@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assayer.operators import snapshot as snapshots
+from assayer.operators.scope import apply_scope, validate_scope
 from assayer.sources import inventory, sampling, store
 from assayer.sources.readers import Source, TableRef
 from assayer.vocab import DEFAULT_SAMPLE_ROWS, RULESET_VERSION
@@ -66,6 +67,15 @@ def capture(spark: SparkSession, source: Source, sample_limit: int = DEFAULT_SAM
     return Captured(source.database if source.tables else "", tables, described)
 
 
+def within_scope(spark: SparkSession, source: Source, included_schemas: list[str], excluded_tables: list[str] = ()) -> Source:
+    """The source reduced to a saved scope; names that do not exist are an error."""
+    listed = inventory.table_inventory(spark, source)
+    validate_scope(included_schemas, listed, excluded_tables)
+    kept = apply_scope(listed, included_schemas, list(excluded_tables)).select("schema_name", "table_name")
+    names = {tuple(r) for r in kept.collect()}
+    return replace(source, tables=[t for t in source.tables if (t.schema, t.name) in names])
+
+
 def structure(spark: SparkSession, source: Source) -> str:
     """Fingerprint of a source. Needs metadata only, so skipping costs no scan."""
     columns = inventory.column_inventory(spark, source)
@@ -99,7 +109,5 @@ def ingest(spark: SparkSession, source: Source, root: str, scope_id: str | None
         root, head, captured.tables.withColumn("snapshot_id", F.lit(snapshot_id)),
         captured.columns.withColumn("snapshot_id", F.lit(snapshot_id)),
     )
-    n_columns = captured.columns.select("column_name").count() if source.native_columns is not None else sum(
-        len(source.read(t).columns) for t in source.tables
-    )
+    n_columns = inventory.column_inventory(spark, source).count()
     return Outcome(False, snapshot_id, now, len(source.tables), n_columns)

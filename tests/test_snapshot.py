@@ -1,10 +1,14 @@
 import pytest
+from pyspark.sql import functions as F
 
 from assayer.operators import render, snapshot
+from assayer.operators.scope import InvalidScope
 from assayer.plans import ingest as plan
 from assayer.sources import store
-from assayer.sources.inventory import COLUMNS_DDL
-from assayer.sources.readers import Source, TableRef, UnsupportedSource, TableNotFound, open_source, parquet_source
+from assayer.sources.inventory import COLUMNS_DDL, column_inventory, primary_keys, row_counts, table_inventory
+from assayer.sources.readers import (
+    POSTGRES_QUERIES, Source, TableNotFound, TableRef, UnsupportedSource, jdbc_queries, open_source, parquet_source,
+)
 
 KEYS_DDL = "database_name string, schema_name string, table_name string, column_name string"
 
@@ -124,6 +128,52 @@ def test_ingest_round_trip_and_skip(spark, warehouse, tmp_path):
     assert store.load_snapshots(spark, root, "no-such-id").count() == 0
 
 
+def test_scope_limits_the_source(spark, warehouse):
+    source = open_source(spark, "parquet", warehouse, database="wh")
+    assert [t.name for t in plan.within_scope(spark, source, ["sales"]).tables] == ["orders"]
+    assert plan.within_scope(spark, source, ["sales", "ref"], ["sales.orders"]).tables == [TableRef("wh", "ref", "rates")]
+    with pytest.raises(InvalidScope):
+        plan.within_scope(spark, source, ["Sales"])
+
+
+def test_catalog_source(spark, tmp_path):
+    spark.sql(f"create database shop location 'file://{tmp_path}/shop'")
+    spark.sql("create table shop.items (id int comment 'the key', name string) using parquet comment 'things sold'")
+    spark.sql("create view shop.names as select name from shop.items")
+    spark.sql("insert into shop.items values (1, 'a'), (2, 'b')")
+    source = open_source(spark, "catalog", "shop")
+    assert [(t.schema, t.name) for t in source.tables] == [("shop", "items")]
+    assert list(source.comments.values()) == ["things sold"]
+    columns = column_inventory(spark, source).orderBy("ordinal_position").collect()
+    assert [(c.column_name, c.normalized_type, c.ordinal_position, c.comment) for c in columns] == [("id", "integer", 1, "the key"), ("name", "string", 2, None)]
+    assert row_counts(spark, source).first().row_count == 2
+    estimated = row_counts(spark, source, exact=False).first()
+    assert estimated.row_count is None and estimated.is_estimate is True
+
+
+def test_jdbc_catalogue_queries_hide_views_and_system_schemas():
+    for query in [*jdbc_queries().values(), *POSTGRES_QUERIES.values()]:
+        assert "'pg_catalog', 'information_schema', 'pg_toast'" in query
+    assert "BASE TABLE" in jdbc_queries()["tables"] and "PRIMARY KEY" in jdbc_queries()["keys"]
+    assert "reltuples < 0 then null" in POSTGRES_QUERIES["statistics"]
+
+
+def test_primary_keys_and_native_columns_of_a_catalogued_warehouse(spark):
+    """What the JDBC reader hands over, given as frames."""
+    ref = TableRef("erp", "s", "t")
+    native = spark.createDataFrame(
+        [("s", "t", "b", "varchar", 1, 2, None), ("s", "t", "a", "int4", 0, 1, "key"), ("s", "a_view", "x", "date", 1, 1, None)],
+        "schema_name string, table_name string, column_name string, native_type string, nullable_flag int, ordinal_position int, comment string",
+    )
+    keys = spark.createDataFrame([("s", "t", "z", 2), ("s", "t", "a", 1)], "schema_name string, table_name string, column_name string, key_position int")
+    estimates = spark.createDataFrame([("s", "t", 1000)], "schema_name string, table_name string, row_count_estimate bigint")
+    source = Source("jdbc", "erp", [ref], lambda r: spark.range(3), {}, native, keys, estimates)
+    got = [(c.column_name, c.normalized_type, c.is_nullable) for c in column_inventory(spark, source).orderBy("ordinal_position").collect()]
+    assert got == [("a", "integer", False), ("b", "string", True)]
+    assert primary_keys(spark, source).first().primary_key_columns == ["a", "z"]
+    assert row_counts(spark, source, exact=False).first().row_count == 1000
+
+
 def test_no_tables(spark, tmp_path):
     nothing = Source("parquet", "wh", [], lambda ref: None)
     captured = plan.capture(spark, nothing)
@@ -131,9 +181,7 @@ def test_no_tables(spark, tmp_path):
 
 
 def test_table_comments_come_from_metadata(spark):
-    from assayer.sources.inventory import column_inventory, table_inventory
-
-    df = spark.range(1).select(__import__("pyspark").sql.functions.col("id").alias("id", metadata={"comment": "the key"}))
+    df = spark.range(1).select(F.col("id").alias("id", metadata={"comment": "the key"}))
     ref = TableRef("wh", "s", "t")
     source = Source("catalog", "wh", [ref], lambda r: df, {ref: "a table"})
     assert table_inventory(spark, source).first().comment == "a table"

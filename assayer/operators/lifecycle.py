@@ -9,9 +9,11 @@ decides. So the state before an action needs two running windows and no loop.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from assayer.session import cut
+from assayer.session import broadcast_if_small, cut
 from assayer.vocab import EDITABLE_FIELDS
 
 # A definition with more actions than this is spread over tasks instead of one window.
@@ -44,16 +46,15 @@ def _windowed(log: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
-def _spread(log: DataFrame) -> DataFrame:
+def _spread(log: DataFrame, pieces: int) -> DataFrame:
     """The same answer for definitions too large for one task.
 
     A range partitioning cuts each log into consecutive pieces. Each piece is
     folded by itself; one summary row per piece then tells the next piece what
     its first epoch starts from.
     """
-    spark = log.sparkSession
-    pieces = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    placed = cut(log.repartitionByRange(pieces, "definition_id", *ORDER).withColumn("piece", F.spark_partition_id()))
+    # about half the limit each, so that uneven ranges stay below it
+    placed = cut(log.repartitionByRange(2 * pieces, "definition_id", *ORDER).withColumn("piece", F.spark_partition_id()))
     local = _windowed(placed, ["definition_id", "piece"])
     left_in = F.col("epoch") + _is("reopen").cast("int")  # the epoch the action leaves behind
     per_epoch = local.groupBy("definition_id", "piece", left_in.alias("epoch")).agg(
@@ -80,12 +81,14 @@ def states(log: DataFrame, hot_actions: int = HOT_ACTIONS) -> DataFrame:
     `hot_actions` take the route that splits them.
     """
     sizes = log.groupBy("definition_id").agg(F.count("*").alias("n")).where(F.col("n") > hot_actions)
-    hot = sizes.select("definition_id")
-    if hot.isEmpty():
+    hot_rows = sizes.agg(F.sum("n")).first()[0]
+    if hot_rows is None:
         return _ended_in_window(_windowed(log, ["definition_id"]))
-    return _ended_in_window(
-        _windowed(log.join(hot, "definition_id", "left_anti"), ["definition_id"])
-    ).unionByName(_ended_by_join(_spread(log.join(hot, "definition_id", "left_semi"))))
+    # at most total rows / hot_actions names
+    hot = broadcast_if_small(cut(sizes.select("definition_id")))
+    quiet = _ended_in_window(_windowed(log.join(hot, "definition_id", "left_anti"), ["definition_id"]))
+    spread = _spread(log.join(hot, "definition_id", "left_semi"), math.ceil(hot_rows / hot_actions))
+    return quiet.unionByName(_ended_by_join(spread))
 
 
 def _effective_supersede() -> Column:

@@ -146,7 +146,8 @@ DATED = [("orders", "o_orderdate"), ("lineitem", "l_shipdate"), ("events", "ts")
     for t, c in DATED
 ))
 def frozen(spark, sf_dir):
-    return reduce(DataFrame.unionByName, [quality.staleness(load(spark, sf_dir, t), t, c, "2024-01-01") for t, c in DATED])
+    dated = [quality.staleness(load(spark, sf_dir, t), t, c, "2024-01-01") for t, c in DATED]
+    return reduce(DataFrame.unionByName, dated).withColumn("days_behind", F.col("days_behind").cast("bigint"))
 
 
 @query("dq_8", union_sql(

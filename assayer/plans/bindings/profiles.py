@@ -148,7 +148,8 @@ TOP_TABLES = ["orders", "customer", "part", "lineitem", "events", "documents", "
 ranked as (select *, row_number() over (partition by table_name, column_name order by n desc, value) as rank from cells)
 select table_name, column_name, value, n, rank from ranked where rank <= 5""")
 def top_values(spark, sf_dir):
-    return profile.top_values(load_all(spark, sf_dir, TOP_TABLES), None, 5)
+    ranked = profile.top_values(load_all(spark, sf_dir, TOP_TABLES), None, 5)
+    return ranked.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 # ---- proposals ----

@@ -94,7 +94,7 @@ def fuzzy(spark, sf_dir):
 @query("jn_7", f"with {FUZZY_SQL} select * from fuzzy")
 def fuzzy_names(spark, sf_dir):
     return fuzzy(spark, sf_dir).select(
-        "block", "left_canonical", "right_canonical", "distance", "left_n_rows", "right_n_rows", "right_n_spellings"
+        "block", "left_canonical", "right_canonical", F.col("distance").cast("bigint").alias("distance"), "left_n_rows", "right_n_rows", "right_n_spellings"
     )
 
 

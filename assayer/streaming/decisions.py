@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState
 
+# The state handler travels with the query, so workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 OUTPUT = (
     "definition_id string, status string, approved_by string, approved_at timestamp_ntz, rejected_by string, "
     "rejected_at timestamp_ntz, rejected_reason string, reopened_at timestamp_ntz, n_actions bigint"

@@ -1,8 +1,11 @@
 import datetime
 import itertools
 import random
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 
 from assayer.operators import lifecycle
 from assayer.streaming import decisions
@@ -120,3 +123,9 @@ def test_cycles_are_reported(spark):
     rows = [("a", "n", "", "", "", "low", "approved", 1, "b", None), ("b", "n", "", "", "", "low", "approved", 1, "a", None)]
     with pytest.raises(ValueError):
         lifecycle.supersession_roots(spark.createDataFrame(rows, DEFINITIONS), max_rounds=6)
+
+
+def test_the_state_handler_needs_no_package_on_the_workers(tmp_path):
+    (tmp_path / "handler").write_bytes(cloudpickle.dumps(decisions._step))
+    code = "import pickle, sys; pickle.load(open('handler', 'rb')); sys.exit('assayer' in sys.modules)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)

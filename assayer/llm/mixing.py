@@ -7,7 +7,7 @@ document's probability changes on average. The sum of words stays exact througho
 
 The exchanges run through a reduction tree: documents are dealt to blocks of bounded size, a block leaves at most one
 document that is not whole, these meet in blocks of the next level, and so on until one per source is left, which is
-drawn. A hot source only has more blocks. All draws are hashes of document numbers, so reruns agree.
+rounded. A hot source only has more blocks. All draws are hashes of document numbers, so reruns agree.
 """
 
 from __future__ import annotations
@@ -77,11 +77,6 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
     return weighted.select("source", "source_size", F.least(cap, F.col("_weight") * F.lit(level)).alias("target"))
 
 
-def _draw(*keys: Column) -> Column:
-    """A number in [0, 1) that depends on the keys alone."""
-    return F.pmod(F.xxhash64(*keys), F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
-
-
 # One document of a block as an array element: its number and row, its words, and p, the probability of one more copy.
 DOC = "struct<doc_id:bigint,_row:int,size:bigint,p:double>"
 NONE = f"cast(null as {DOC})"
@@ -185,8 +180,8 @@ def _round(open_docs: DataFrame, block: int) -> DataFrame:
         # blocks of this level that share a quotient meet in one block of the next
         docs = rest.select("source", F.floor(F.col("_block") / block).alias("_block"), F.col("rest").alias("doc"))
         level += 1
-    last = rest.select(
-        "rest.doc_id", "rest._row", (_draw(F.col("rest.doc_id"), F.col("rest._row"), F.lit(SEED)) < F.col("rest.p")).cast("int").alias("_more"))
+    # one document per source is left; to the nearest, so that a source is off by half a document at most
+    last = rest.select("rest.doc_id", "rest._row", F.round("rest.p").cast("int").alias("_more"))
     for part in done:
         last = last.unionByName(part)
     return last

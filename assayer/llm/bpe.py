@@ -13,6 +13,7 @@ tokenizers library does by default. Nothing is shuffled, and only the vocabulary
 from __future__ import annotations
 
 import json
+import struct
 import sys
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 REMEMBERED = 300_000  # fragments a task keeps the ids of; the table starts anew when it is full
-SLICE_BYTES = 4 << 20  # text encoded at a time
+SLICE_BYTES = 1 << 20  # text encoded at a time
 
 WHITE = tuple(range(0x09, 0x0E)) + (0x20,)
 LATIN_LEADS = (0xC3, 0xC4, 0xC5)  # lead bytes of U+00C0 to U+017F, which hold no white space
@@ -92,15 +93,21 @@ class Encoder:
         self.cuts = certain_cuts(token_bytes(tokenizer_json))
         self.remembered, self.known = remembered, {}
 
-    def learn(self, fragments: set[bytes]) -> dict[bytes, bytes]:
+    def learn(self, fragments: set[bytes]) -> Iterator[tuple[bytes, bytes]]:
         ordered = list(fragments)
-        encoded = self.tokenizer.encode_batch_fast([f.decode() for f in ordered], add_special_tokens=False)
-        return {f: np.array(e.ids, dtype="<u4").tobytes() for f, e in zip(ordered, encoded)}
+        for at in range(0, len(ordered), 2000):
+            some = ordered[at : at + 2000]
+            encoded = self.tokenizer.encode_batch_fast([f.decode() for f in some], add_special_tokens=False)
+            for fragment, e in zip(some, encoded):
+                ids = e.ids
+                yield fragment, struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """Text i is data[offsets[i]:offsets[i + 1]] in UTF-8."""
-        starts = np.union1d(split_points(data, self.cuts), offsets[:-1])
-        starts = starts[starts < len(data)]
+        begins = np.zeros(len(data) + 1, dtype=bool)
+        begins[split_points(data, self.cuts)] = True
+        begins[offsets] = True
+        starts = np.flatnonzero(begins[:-1])
         raw = data.tobytes()
         fragments = [raw[i:j] for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(raw)])]
         missing = set(fragments) - self.known.keys()
@@ -156,34 +163,56 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: list[
     return narrow.mapInArrow(run, StructType([*narrow.drop("_text").schema, StructField("token_ids", BinaryType())]))
 
 
+def texts_of(column: pa.Array, table: list[bytes]) -> pa.Array:
+    """The texts that packed ids stand for."""
+    texts = []
+    for packed in column:
+        ids = np.frombuffer(packed.as_py() or b"", dtype="<u4").tolist()
+        texts.append(b"".join([table[i] for i in ids]).decode("utf-8", errors="replace"))
+    return pa.array(texts, pa.string())
+
+
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """Adds `decoded`: the text that the ids in `token_ids` stand for, special tokens included.
 
     Bytes that are no UTF-8, as a cut list of ids can give, become U+FFFD.
     """
-    spark = encoded.sparkSession
     with open(tokenizer_path, encoding="utf-8") as file:
-        vocabulary = spark.sparkContext.broadcast(file.read())
+        vocabulary = encoded.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None
         for batch in batches:
             for part in slices(batch, "token_ids"):
                 table = table or token_bytes(vocabulary.value)
-                texts = []
-                for packed in part.column("token_ids"):
-                    ids = np.frombuffer(packed.as_py() or b"", dtype="<u4").tolist()
-                    texts.append(b"".join([table[i] for i in ids]).decode("utf-8", errors="replace"))
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"]
-                )
+                yield part.append_column("decoded", texts_of(part.column("token_ids"), table))
 
     return encoded.mapInArrow(run, StructType([*encoded.schema, StructField("decoded", StringType())]))
 
 
+def round_trip(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: list[str] = ("doc_id",)) -> DataFrame:
+    """`keep`, `token_ids` and `decoded`: what encode and decode give, in one pass through one worker."""
+    with open(tokenizer_path, encoding="utf-8") as file:
+        vocabulary = docs.sparkSession.sparkContext.broadcast(file.read())
+    narrow = docs.select(*keep, F.col(text).alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = table = None
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                if encoder is None:
+                    encoder, table = Encoder(vocabulary.value), token_bytes(vocabulary.value)
+                ids = pa.array(encoder.encode(*utf8(part.column("_text"))), pa.binary())
+                columns = [*(part.column(c) for c in keep), ids, texts_of(ids, table)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "token_ids", "decoded"])
+
+    schema = [*narrow.drop("_text").schema, StructField("token_ids", BinaryType()), StructField("decoded", StringType())]
+    return narrow.mapInArrow(run, StructType(schema))
+
+
 def token_digests(docs: DataFrame, tokenizer_path: str, keep: list[str] = ("doc_id",)) -> DataFrame:
     """`keep`, `n_tokens`, and the SHA-256 of the packed ids and of the decoded text."""
-    both = decode(encode(docs, tokenizer_path, keep=keep), tokenizer_path)
+    both = round_trip(docs, tokenizer_path, keep=keep)
     return both.select(
         *keep,
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),

@@ -152,7 +152,8 @@ def mix(
         F.pmod(F.xxhash64("doc_id", "_row", F.lit(SEED)), blocks).alias("_block")))
     more = _round(prepared.where("_p > 0"), block)
     more = more.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_number"), "_more")
-    result = prepared.join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_number")), "left")
+    # a row per open document: too much to broadcast, however small its files are
+    result = prepared.join(more.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_number")), "left")
     copies = F.col("_sure") + F.coalesce(F.col("_more"), F.lit(0))
     return result.select(
         "doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import bpe, exact_dedup, mixing
+from assayer.llm import bpe, exact_dedup, mixing, near_dedup, pii, quality, topk, toxicity
 from assayer.session import tune
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -30,6 +30,26 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_groups(table(spark, sf_dir, "documents"))
 
@@ -37,10 +57,28 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
+    "op3_pii": op3_pii,
+    "op4_quality": op4_quality,
+    "op5_topk": op5_topk,
+    "op7_toxicity": op7_toxicity,
+    "op9_near_dedup": op9_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE: dict[str, str] = {
+    "op5_topk": """
+        with v as (
+          select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
+          from embeddings
+          where vec_id is not null and embedding is not null
+            and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        q as (select vec_id as query_id, max(e) as f from v where vec_id % 50 = 0 group by vec_id),
+        s as (
+          select query_id, vec_id,
+                 coalesce(list_sum(list_transform(list_zip(e, f, true), lambda p: p[1] * p[2])), 0) as score
+          from q join v on vec_id <> query_id),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as place from s)
+        select query_id, cast(place as int) as rank, vec_id, cast(score as bigint) as score from r where place <= 5""",
     "op10_exact_dedup": """
         with t as (
           select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as body

@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from assayer.llm.groups import by_salt, components, salt_of, salted_totals
+from assayer.llm.groups import by_salt, salt_of, salted_totals
 from assayer.llm.ngrams import Words, mix, ngram_hashes, text_slices
+from assayer.operators.components import components
 from assayer.session import cut
 
 # Worker code travels with the query, so workers need not have this package installed.

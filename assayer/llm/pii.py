@@ -59,22 +59,46 @@ ACCEPT = 0.5
 SMALLEST = 1e-3  # no labeler is taken to be surer than this
 
 
-def found(text: Column, pattern: str, hint: str, kind: str) -> Column:
-    """Matches of a pattern with their places: array of (start, end, kind, value); characters, end exclusive."""
+CHUNK = 128  # matches whose places are added up together
+
+PIECES = "array<struct<skip:int,size:int,value:string,before:string,after:string>>"
+SPANS = "array<struct<start:int,end:int,kind:string,value:string,before:string,after:string>>"
+
+
+def pieces(text: Column, pattern: str, hint: str) -> Column:
+    """Every match of a pattern with its length, the number of characters since the last one, and what stands beside it."""
     # what stands between the matches, and the matches, give every place
     gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    beside = F.zip_with(gaps, F.slice(gaps, F.lit(2), F.lit(2**31 - 1)), lambda g, h: F.struct(g.alias("g"), h.alias("h")))
+    # one more gap than matches; the last pair has no match
+    pairs = F.zip_with(beside, matches, lambda z, v: F.struct(
+        F.length(z["g"]).alias("skip"), F.length(v).alias("size"), v.alias("value"),
+        F.right(z["g"], F.lit(AROUND)).alias("before"), F.left(z["h"], F.lit(AROUND)).alias("after")))
+    return F.when(text.rlike(hint), F.filter(pairs, lambda x: x["value"].isNotNull())).otherwise(F.array().cast(PIECES))
+
+
+def placed(column: str, kind: str) -> Column:
+    """The pieces in a column as spans; characters, end exclusive.
+
+    A place is a sum over all matches before. Adding up chunk by chunk keeps a text with very many matches from being
+    copied as many times.
+    """
+    last = F.floor((F.size(column) - 1) / CHUNK).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(F.col(column), c * CHUNK + 1, F.lit(CHUNK)))
+    lengths = F.transform(chunks, lambda chunk: F.aggregate(chunk, F.lit(0), lambda n, x: n + x["skip"] + x["size"]))
+    begins = F.aggregate(
+        lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
 
     def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["value"])
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        start = acc["at"] + x["skip"]
+        span = F.struct(start.alias("start"), (start + x["size"]).alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"),
+                        x["before"].alias("before"), x["after"].alias("after"))
+        return F.struct((start + x["size"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    empty = F.lit(None).cast("array<struct<start:int,end:int,kind:string,value:string>>")
-    none = F.coalesce(empty, F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>"))
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("value")))
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
-    return F.when(text.rlike(hint), spans).otherwise(none)
+    none = F.array().cast(SPANS)
+    each = F.zip_with(chunks, F.slice(begins, F.lit(1), F.size(chunks)), lambda chunk, begin: F.aggregate(
+        chunk, F.struct(begin.alias("at"), none.alias("out")), add, lambda acc: acc["out"]))
+    return F.when(F.size(column) > 0, F.flatten(each)).otherwise(none)
 
 
 def luhn(digits: Column) -> Column:
@@ -102,36 +126,33 @@ def valid(kind: str, value: Column) -> Column:
 
 def spans_of_texts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """doc_id, base spans, and all candidates with their votes, written once so that texts are read once."""
-    body = F.coalesce(F.col("_text"), F.lit(""))
-    # each pattern's column is built before the next step reads it, so that no pattern runs twice
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
-    rows = rows.withColumns({f"_{k}": found(body, p, HINT[k], k) for k, p in BASE.items()})
-    base = F.concat(*[_valid_only(k) for k in BASE])
-    rows = rows.withColumn("_base", base)
-    loose = F.concat(*[found(body, p, LOOSE_HINT, k) for k, p in LOOSE.items()])
-    rows = rows.withColumn("_loose", F.when(body.rlike(LOOSE_HINT), loose).otherwise(F.slice("_base", 1, 0)))
-    free = F.filter("_loose", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    voted = F.concat(
-        F.transform("_base", lambda s: _voted(body, s, True)), F.transform(free, lambda s: _voted(body, s, False)))
-    return cut(rows.select("doc_id", voted.alias("spans")))
+    body = F.coalesce(F.col(text), F.lit(""))
+    # each step is written, so that what several places of the next one name is computed once; few texts hold any piece
+    read = cut(docs.select(
+        F.col(doc_id).alias("doc_id"), *[pieces(body, p, HINT[k]).alias(f"base_{k}") for k, p in BASE.items()],
+        *[pieces(body, p, LOOSE_HINT).alias(f"loose_{k}") for k, p in LOOSE.items()]))
+    spans = cut(read.select(
+        "doc_id", *[placed(f"base_{k}", k).alias(f"base_{k}") for k in BASE],
+        F.concat(*[placed(f"loose_{k}", k) for k in LOOSE]).alias("loose")))
+    base = cut(spans.select("doc_id", F.concat(*[_valid_only(k) for k in BASE]).alias("base"), "loose"))
+    free = F.filter("loose", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    voted = F.concat(F.transform("base", lambda s: _voted(s, True)), F.transform(free, lambda s: _voted(s, False)))
+    return cut(base.select("doc_id", voted.alias("spans")))
 
 
 def _valid_only(kind: str) -> Column:
-    return F.filter(f"_{kind}", lambda s: valid(kind, s["value"]))
+    return F.filter(f"base_{kind}", lambda s: valid(kind, s["value"])) if kind != "email" else F.col("base_email")
 
 
 def of_kind(spans: str, kind: str) -> Column:
     return F.filter(spans, lambda s: s["kind"] == kind)
 
 
-def _voted(text: Column, span: Column, base: bool) -> Column:
+def _voted(span: Column, base: bool) -> Column:
     """A span with its votes: 1 for personal data, 0 against, 2 for no opinion."""
     value, kind = span["value"], span["kind"]
-    start = F.greatest(span["start"] - AROUND, F.lit(0))
-    context = F.concat(
-        F.substring(text, start + 1, span["start"] - start), F.lit(" "), F.substring(text, span["end"] + 1, F.lit(AROUND)))
-    before = F.when(span["start"] > 0, F.substring(text, span["start"], F.lit(1))).otherwise("")
-    touching = F.concat(before, F.substring(text, span["end"] + 1, F.lit(1)))
+    context = F.concat(span["before"], F.lit(" "), span["after"])
+    touching = F.concat(F.right(span["before"], F.lit(1)), F.left(span["after"], F.lit(1)))
     form = (
         F.when(F.lit(base), 1)
         .when(kind == "iban", F.when(F.length(F.regexp_replace(value, " ", "")).between(15, 34), 2).otherwise(0))
@@ -149,52 +170,52 @@ def _voted(text: Column, span: Column, base: bool) -> Column:
     )
 
 
-def reliabilities(patterns: DataFrame, rounds: int = ROUNDS) -> tuple[float, dict[str, tuple[float, float]]]:
+Rates = dict[str, tuple[float, float]]
+
+
+def posterior(votes: dict, share: float, rates: Rates) -> float:
+    """How likely a candidate with these votes is personal data."""
+    odds = math.log(share / (1 - share))
+    for labeler, (yes, other) in rates.items():
+        if votes[labeler] == 1:
+            odds += math.log(yes / other)
+        elif votes[labeler] == 0:
+            odds += math.log((1 - yes) / (1 - other))
+    return 1 / (1 + math.exp(-odds))
+
+
+def reliabilities(patterns: list[dict], rounds: int = ROUNDS) -> tuple[float, Rates]:
     """The share of personal data, and of each labeler the chance to vote yes, if it votes, on such data and on other.
 
-    `patterns` holds counts n per vote combination and kind. Every round is one aggregate that returns one row.
+    Expectation-maximisation. `patterns` holds a count n for every combination of votes and kind, a few hundred at most.
     """
-    share, rates = 0.5, {v: (0.8, 0.2) for v in LABELERS}
-    for _ in range(rounds):
-        p = posterior(share, rates)
-        sums = [F.sum(F.col("n") * p).alias("yes"), F.sum("n").alias("all")]
-        for v in LABELERS:
-            for vote in (0, 1):
-                chosen = F.when(F.col(v) == vote, F.col("n")).otherwise(0)
-                sums += [F.sum(chosen * p).alias(f"{v}_{vote}_p"), F.sum(chosen * (1 - p)).alias(f"{v}_{vote}_q")]
-        row = patterns.agg(*sums).first()
-        if not row["all"]:
-            break
-        share = min(max(row["yes"] / row["all"], SMALLEST), 1 - SMALLEST)
-        for v in LABELERS:
-            # one imagined vote each way keeps the rates off 0 and 1
-            rates[v] = tuple(
-                (row[f"{v}_1_{side}"] + prior) / (row[f"{v}_1_{side}"] + row[f"{v}_0_{side}"] + 1)
-                for side, prior in (("p", 0.8), ("q", 0.2)))
+    share, rates = 0.5, {labeler: (0.8, 0.2) for labeler in LABELERS}
+    total = sum(row["n"] for row in patterns)
+    for _ in range(rounds if total else 0):
+        likely = [posterior(row, share, rates) for row in patterns]
+        share = min(max(sum(row["n"] * p for row, p in zip(patterns, likely)) / total, SMALLEST), 1 - SMALLEST)
+        for labeler in LABELERS:
+            sides = []
+            # one imagined vote on each side keeps the rates off 0 and 1
+            for weights, prior in (likely, 0.8), ([1 - p for p in likely], 0.2):
+                yes, no = (sum(r["n"] * w for r, w in zip(patterns, weights) if r[labeler] == vote) for vote in (1, 0))
+                sides.append((yes + prior) / (yes + no + 1))
+            rates[labeler] = (sides[0], sides[1])
     return share, rates
 
 
-def posterior(share: float, rates: dict[str, tuple[float, float]]) -> Column:
-    """How likely a candidate is personal data, given its votes."""
-    odds = F.lit(math.log(share / (1 - share)))
-    for v, (yes, other) in rates.items():
-        odds = odds + F.when(F.col(v) == 1, math.log(yes / other)).when(
-            F.col(v) == 0, math.log((1 - yes) / (1 - other))).otherwise(0.0)
-    return 1 / (1 + F.exp(-odds))
-
-
-def span_classifier(patterns: DataFrame, share: float, rates: dict[str, tuple[float, float]]) -> dict[str, float]:
-    """Log odds of every feature value, from counts weighted by the likelihoods. `prior` is the log odds of all."""
-    weighted = patterns.withColumn("p", posterior(share, rates))
-    feature = F.explode(F.array(*[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in ["kind", *LABELERS]]))
-    total = weighted.agg(F.sum(F.col("n") * F.col("p")).alias("p"), F.sum(F.col("n") * (1 - F.col("p"))).alias("q")).first()
-    p_all, q_all = (total["p"] or 0.0) + 1, (total["q"] or 0.0) + 1
-    odds = {"prior": math.log(p_all / q_all)}
-    counted = weighted.select(feature.alias("feature"), "n", "p").groupBy("feature").agg(
-        F.sum(F.col("n") * F.col("p")).alias("p"), F.sum(F.col("n") * (1 - F.col("p"))).alias("q"))
-    for row in counted.collect():  # a row per kind and per vote of a labeler
-        odds[row["feature"]] = math.log((row["p"] + 1) / (p_all + 2)) - math.log((row["q"] + 1) / (q_all + 2))
-    return odds
+def span_classifier(patterns: list[dict], share: float, rates: Rates) -> dict[str, float]:
+    """Naive Bayes: log odds of every feature value, from counts weighted by the likelihoods; `prior` is that of all."""
+    counts: dict[str, list[float]] = {}
+    totals = [1.0, 1.0]
+    for row in patterns:
+        p = posterior(row, share, rates)
+        for side, n in enumerate((row["n"] * p, row["n"] * (1 - p))):
+            totals[side] += n
+            for c in ("kind", *LABELERS):
+                counts.setdefault(f"{c}={row[c]}", [1.0, 1.0])[side] += n
+    odds = {feature: math.log(yes / (totals[0] + 1)) - math.log(no / (totals[1] + 1)) for feature, (yes, no) in counts.items()}
+    return odds | {"prior": math.log(totals[0] / totals[1])}
 
 
 def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -204,8 +225,8 @@ def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     other columns are not read.
     """
     rows = spans_of_texts(docs, text, doc_id)
-    patterns = cut(rows.select(F.explode("spans").alias("s")).select("s.*").groupBy("kind", *LABELERS).agg(
-        F.count(F.lit(1)).alias("n")))
+    counted = rows.select(F.explode("spans").alias("s")).select("s.*").groupBy("kind", *LABELERS).agg(F.count(F.lit(1)).alias("n"))
+    patterns = [r.asDict() for r in counted.orderBy("kind", *LABELERS).collect()]  # a row per combination of votes
     share, rates = reliabilities(patterns)
     odds = span_classifier(patterns, share, rates)
 

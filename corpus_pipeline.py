@@ -4,17 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import bpe, exact_dedup, mixing
-from assayer.llm.queries import tokenizer_path
+from assayer.llm import bpe, exact_dedup, mixing, near_dedup, quality
+from assayer.llm.queries import table, tokenizer_path
 from assayer.session import scratch_path, tune
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality classifier rejects."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
     return exact_dedup.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_dedup.drop_near_copies(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Every document as often as the mix takes it."""
     return mixing.take(docs)
 
 
@@ -24,13 +35,14 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality classifier", keep_good),
     ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
     ("mixing", mix_sources),
     ("BPE", encode),
 ]
 
-# The mix and the near-duplicate signatures rest on hashed draws, which SQL does not express; tests/llm holds the stages against
-# brute-force versions.
+# Trained scores, signatures and hashed draws are no SQL; tests/llm holds the stages against brute-force versions.
 ORACLE_SQL = None
 
 

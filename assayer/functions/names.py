@@ -25,16 +25,22 @@ def ends_in_number(name: Column) -> Column:
     return name.rlike("[0-9]$")
 
 
+def quoted_name(name: Column) -> Column:
+    """A column's name as it stands in SQL: plain names as they are, others in backticks."""
+    plain = name.rlike("^[A-Za-z_][A-Za-z0-9_]*$")
+    return F.when(plain, name).otherwise(F.concat(F.lit("`"), F.replace(name, F.lit("`"), F.lit("``")), F.lit("`")))
+
+
 def block_key(name: Column) -> Column:
     """First four letters, upper-cased; spellings of one name nearly always share them."""
     return F.left(F.upper(F.regexp_replace(name, "[^A-Za-z]", "")), F.lit(4))
 
 
-def canonical_name(name: Column) -> Column:
-    """Upper case, no punctuation, no trailing company designators, no blanks."""
+def canonical_name(name: Column, designators: list[str] = COMPANY_DESIGNATORS) -> Column:
+    """Upper case, no punctuation, no trailing company designators, no blanks; NULL where nothing else is left."""
     words = F.trim(F.regexp_replace(F.upper(name), r"[^\p{L}\p{N}]+", " "))
-    core = F.regexp_replace(words, f"( ({'|'.join(COMPANY_DESIGNATORS)}))+$", "")
-    return F.regexp_replace(core, " ", "")
+    core = F.regexp_replace(words, f"( ({'|'.join(designators)}))+$", "")
+    return F.nullif(F.regexp_replace(core, " ", ""), F.lit(""))
 
 
 def deletion_keys(name: Column, distance: int) -> Column:

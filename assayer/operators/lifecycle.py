@@ -13,7 +13,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from assayer.session import broadcast_if_small, cut
+from assayer.session import cut
 from assayer.vocab import EDITABLE_FIELDS
 
 # A definition with more actions than this is spread over tasks instead of one window.
@@ -85,7 +85,7 @@ def states(log: DataFrame, hot_actions: int = HOT_ACTIONS) -> DataFrame:
     if hot_rows is None:
         return _ended_in_window(_windowed(log, ["definition_id"]))
     # at most total rows / hot_actions names
-    hot = broadcast_if_small(cut(sizes.select("definition_id")))
+    hot = cut(sizes.select("definition_id"))
     quiet = _ended_in_window(_windowed(log.join(hot, "definition_id", "left_anti"), ["definition_id"]))
     spread = _spread(log.join(hot, "definition_id", "left_semi"), math.ceil(hot_rows / hot_actions))
     return quiet.unionByName(_ended_by_join(spread))
@@ -192,11 +192,12 @@ def resolve_names(definitions: DataFrame) -> DataFrame:
     return approved.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
 
 
-def supersession_roots(definitions: DataFrame, max_rounds: int = 30) -> DataFrame:
+def supersession_roots(definitions: DataFrame) -> DataFrame:
     """(id, root_id, depth): the first version behind each definition, by pointer doubling over supersedes_id.
 
     Each round doubles the distance covered, so a chain of a million versions
-    takes twenty joins; lineage is cut every round.
+    takes twenty joins; lineage is cut every round. What still moves when as many
+    versions as there are have been passed is a cycle.
     """
     hops = definitions.select(
         "id", F.col("supersedes_id").alias("next"), F.when(F.col("supersedes_id").isNotNull(), 1).otherwise(0).alias("depth")
@@ -206,7 +207,7 @@ def supersession_roots(definitions: DataFrame, max_rounds: int = 30) -> DataFram
         "id", F.when(F.col("exists"), F.col("next")).alias("next"), F.when(F.col("exists"), F.col("depth")).otherwise(0).alias("depth")
     )
     paths = cut(hops.select("id", F.coalesce("next", "id").alias("root_id"), "depth"))
-    for _ in range(max_rounds):
+    for _ in range(paths.count().bit_length() + 1):
         ahead = paths.select(F.col("id").alias("root_id"), F.col("root_id").alias("far"), F.col("depth").alias("more"))
         stepped = cut(paths.join(ahead, "root_id").select("id", F.col("far").alias("root_id"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")))
         paths = stepped.drop("moved")

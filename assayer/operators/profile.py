@@ -14,6 +14,10 @@ from assayer.vocab import CARDINALITY_LIMITS
 # counting distinct documents does not shuffle the documents.
 DIGEST_ABOVE = 128
 
+# Declared relative error of a distinct-count sketch, and the band of six such errors that is not trusted.
+SKETCH_ERROR = 0.05
+SKETCH_BAND = 6 * SKETCH_ERROR
+
 # Types grouped as they are; every other type is grouped by its text.
 FAMILIES = ["bigint", "double", "date", "timestamp", "timestamp_ntz", "string"]
 
@@ -126,7 +130,7 @@ def _sketched(columns: Columns) -> list[DataFrame]:
         plain = [n for n, _, k in numbered if normalize_spark(k) not in ("json", "unknown")]
         aggregates = ["count(*) as n_rows"]
         for n, c, k in numbered:
-            aggregates += [f"count({quoted(c)}) as c{n}", f"approx_count_distinct({comparable_text(c, k)}) as d{n}"]
+            aggregates += [f"count({quoted(c)}) as c{n}", f"approx_count_distinct({comparable_text(c, k)}, {SKETCH_ERROR}) as d{n}"]
             aggregates += [f"min({quoted(c)}) as l{n}", f"max({quoted(c)}) as h{n}"] if n in plain else []
         rows = ", ".join(
             f"struct({n} as column_id, n_rows, d{n} as n_distinct, n_rows - c{n} as n_nulls, "
@@ -147,9 +151,9 @@ def cardinality(n_distinct: Column, is_key: Column) -> Column:
 def profile(tables: dict[str, DataFrame], exact: bool = True) -> DataFrame:
     """The full profile, one row per column of every table.
 
-    Values are grouped in their own type and turned into text last. With
-    `exact=False` distinct counts are sketches, except where a sketch is near the
-    row count and so decides on a key: those columns are counted exactly.
+    Values are grouped in their own type and turned into text last. With `exact=False` distinct counts are sketches,
+    except where a sketch's error band touches the row count or the limit of a cardinality bucket, and so decides on
+    a key or a bucket: those columns are counted exactly.
     """
     columns = Columns(tables)
     spark = next(iter(tables.values())).sparkSession
@@ -160,7 +164,9 @@ def profile(tables: dict[str, DataFrame], exact: bool = True) -> DataFrame:
         parts = _sketched(columns)
         sketches = columns.named(reduce(DataFrame.unionByName, parts), "n_rows", "n_distinct")
         near: dict[str, list[str]] = {}
-        for row in sketches.where("n_rows > 0 and n_distinct >= 0.7 * n_rows").collect():  # column names only
+        edges = [F.col("n_rows"), *[F.lit(limit) for _, limit in CARDINALITY_LIMITS]]
+        decides = reduce(Column.__or__, [F.col("n_distinct").between(e * (1 - SKETCH_BAND) - 1, e * (1 + SKETCH_BAND) + 1) for e in edges])
+        for row in sketches.where((F.col("n_rows") > 0) & decides).collect():  # column names only
             near.setdefault(row.table_name, []).append(row.column_name)
         if near:
             numbers = {(t, c): n for n, (t, c, _, _) in enumerate(columns.entries)}
@@ -216,28 +222,35 @@ def top_values(tables: dict[str, DataFrame], columns: dict[str, list[str]] | Non
 def composite_keys(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column_a, column_b, n_rows, n_distinct) for pairs that identify a row where no single column does.
 
-    A sketch of every pair comes first, in one pass; a pair whose sketch is far
-    below the row count cannot be a key, and only the others are counted exactly.
+    Columns are sketched first, in one pass. A pair cannot be a key if the product of its distinct counts, with the
+    band of the sketches' error added, is below the row count. The pairs that may be are sketched together in a
+    second pass; those within the band of the row count are then counted exactly.
     """
     spark = df.sparkSession
-    names = columns or [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.FractionalType, T.ArrayType, T.MapType))]
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
-    complete = df.agg(
+    kept_out = (T.FloatType, T.DoubleType, T.ArrayType, T.MapType)
+    names = columns or [f.name for f in df.schema.fields if not isinstance(f.dataType, kept_out)]
+    empty = "column_a string, column_b string, n_rows bigint, n_distinct bigint"
+    if not names:
+        return spark.createDataFrame([], empty)
+    single = df.agg(
         F.count("*").alias("n_rows"),
         *[F.count(_name(c)).alias(f"c{i}") for i, c in enumerate(names)],
-        *[F.approx_count_distinct(_name(c)).alias(f"s{i}") for i, c in enumerate(names)],
-        *[F.approx_count_distinct(F.struct(_name(a), _name(b))).alias(f"p{i}") for i, (a, b) in enumerate(pairs)],
+        *[F.approx_count_distinct(_name(c), SKETCH_ERROR).alias(f"s{i}") for i, c in enumerate(names)],
     ).first()
-    n_rows = complete["n_rows"]
-    full = {c for i, c in enumerate(names) if complete[f"c{i}"] == n_rows}
-    single = [c for i, c in enumerate(names) if c in full and complete[f"s{i}"] >= 0.7 * n_rows]
-    empty = "column_a string, column_b string, n_rows bigint, n_distinct bigint"
-    if n_rows == 0 or (single and has_single_key(df, single, n_rows)):
+    n_rows = single["n_rows"]
+    most = {c: single[f"s{i}"] * (1 + SKETCH_BAND) + 1 for i, c in enumerate(names) if single[f"c{i}"] == n_rows}
+    likely_keys = [c for c, n in most.items() if n >= n_rows]
+    if n_rows == 0 or (likely_keys and has_single_key(df, likely_keys, n_rows)):
+        return spark.createDataFrame([], empty)
+    full = list(most)
+    pairs = [(a, b) for i, a in enumerate(full) for b in full[i + 1:] if most[a] * most[b] >= n_rows]
+    if not pairs:
         return spark.createDataFrame([], empty)
-    likely = [(a, b) for i, (a, b) in enumerate(pairs) if {a, b} <= full and complete[f"p{i}"] >= 0.7 * n_rows]
-    if not likely:
+    both = df.agg(*[F.approx_count_distinct(F.struct(_name(a), _name(b)), SKETCH_ERROR).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
+    near = [pair for i, pair in enumerate(pairs) if both[f"p{i}"] * (1 + SKETCH_BAND) + 1 >= n_rows]
+    if not near:
         return spark.createDataFrame([], empty)
-    return reduce(DataFrame.unionByName, [pair_distinct(df, a, b) for a, b in likely]).where("n_rows = n_distinct")
+    return reduce(DataFrame.unionByName, [pair_distinct(df, a, b) for a, b in near]).where("n_rows = n_distinct")
 
 
 def has_single_key(df: DataFrame, columns: list[str], n_rows: int) -> bool:

@@ -46,7 +46,8 @@ def spelling_variants(columns: list[tuple[str, str, DataFrame]]) -> DataFrame:
         .groupBy("place", "raw").agg(F.count("*").alias("n"))
         for t, c, df in columns
     ]
-    counted = reduce(DataFrame.unionByName, parts).withColumn("canonical", canonical_name(F.col("raw")))
+    # a name of punctuation alone has no canonical form and is a variant of nothing
+    counted = reduce(DataFrame.unionByName, parts).withColumn("canonical", canonical_name(F.col("raw"))).where("canonical is not null")
     per_spelling = counted.groupBy("canonical", "raw").agg(F.sum("n").alias("n"))
     per_place = counted.groupBy("canonical").agg(F.count_distinct("place").alias("n_columns"))
     return (
@@ -57,13 +58,26 @@ def spelling_variants(columns: list[tuple[str, str, DataFrame]]) -> DataFrame:
     )
 
 
+ABBREVIATION = 3  # letters of an abbreviated code at most
+
+
 def code_variants(df: DataFrame, column: str) -> DataFrame:
-    """(code, n_spellings, n_rows, spellings' first and last) by upper-cased first letter."""
+    """(code, n_spellings, n_rows, spellings' first and last) of codes that are written in several ways.
+
+    Values are one code if they differ in case and punctuation only, or if one abbreviates the other: up to three
+    letters that exactly one longer value begins with.
+    """
     counted = df.select(F.col(column).alias("raw")).where("raw is not null").groupBy("raw").agg(F.count("*").alias("n"))
-    return counted.groupBy(F.upper(F.left("raw", F.lit(1))).alias("code")).agg(
+    folded = counted.withColumn("folded", F.regexp_replace(F.upper("raw"), r"[^\p{L}\p{N}]", ""))
+    longer = folded.where(F.length("folded") > ABBREVIATION).select("folded").distinct().withColumnRenamed("folded", "long")
+    beginnings = F.explode(F.transform(F.sequence(F.lit(1), F.lit(ABBREVIATION)), lambda n: F.left("long", n)))
+    short = longer.select("long", beginnings.alias("folded")).groupBy("folded").agg(
+        F.count("*").alias("n_long"), F.min("long").alias("long")).where("n_long = 1").drop("n_long")
+    coded = folded.join(short, "folded", "left").withColumn("code", F.coalesce("long", "folded"))
+    return coded.groupBy("code").agg(
         F.count("*").alias("n_spellings"), F.sum("n").alias("n_rows"),
         F.min("raw").alias("first_spelling"), F.max("raw").alias("last_spelling"),
-    )
+    ).where("n_spellings > 1")
 
 
 def outside_domain(df: DataFrame, column: str, codes: DataFrame, code: str) -> DataFrame:
@@ -101,31 +115,46 @@ QUARTILES = {"q1": 0.25, "q3": 0.75}
 def quartiles(df: DataFrame, column: str) -> dict[str, float | None]:
     """Exact q1 and q3: the smallest values with at least that share of rows up to them.
 
-    A sketch brackets each position. Rows below a bracket are only counted, and
-    just the values inside it, about one in 25,000, are put in order. A handful
-    of numbers reaches the driver.
+    A sketch brackets both positions. A bracket's rows are counted; one that misses its position is set anew, and one
+    that holds many distinct values is narrowed by another sketch over these alone. Only few values are put in order.
     """
-    x = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
-    margin = 0.00002
-    shares = [p + d for p in QUARTILES.values() for d in (-margin, margin)]
-    bounds = x.agg(F.count("*").alias("n_rows"), F.approx_percentile("x", shares, 200000).alias("cut")).first()
-    if bounds["n_rows"] == 0:
+    x = df.select(F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)")
+    n_rows = x.count()
+    if n_rows == 0:
         return dict.fromkeys(QUARTILES)
-    positions = {name: math.ceil(p * bounds["n_rows"]) for name, p in QUARTILES.items()}
-    spots = []
-    for i, name in enumerate(QUARTILES):
-        low, high = bounds["cut"][2 * i], bounds["cut"][2 * i + 1]
-        spot = F.struct(F.lit(name).alias("name"), F.when(F.col("x") >= low, F.col("x")).alias("spot"))
-        spots.append(F.when(F.col("x") <= high, spot))
-    # one count for everything below a bracket, one per value inside it
-    counted = x.select(F.inline(F.array_compact(F.array(*spots)))).groupBy("name", "spot").agg(F.count("*").alias("n"))
-    running = Window.partitionBy("name").orderBy("spot").rowsBetween(Window.unboundedPreceding, 0)
-    reached = counted.withColumn("upto", F.sum("n").over(running))
-    found = reached.agg(*[
-        F.min(F.when((F.col("name") == name) & (F.col("upto") >= position), F.col("spot"))).alias(name)
-        for name, position in positions.items()
-    ])
-    return found.first().asDict()
+    return {name: _value_at(x, math.ceil(p * n_rows), n_rows) for name, p in QUARTILES.items()}
+
+
+IN_ORDER = 10_000  # distinct values that are put in order at most
+
+
+def _value_at(x: DataFrame, position: int, n_rows: int) -> float:
+    """The smallest value with at least `position` rows up to it."""
+    low, high, before, inside = None, None, 0, n_rows  # the value lies in [low, high]; `before` rows lie below low
+    while True:
+        within = x if low is None else x.where(F.col("x").between(low, high))
+        margin = max(0.001, 2.0 / inside)
+        share = (position - before) / inside
+        cuts = within.agg(F.min("x").alias("least"), F.max("x").alias("most"), F.approx_percentile(
+            "x", [max(share - margin, 0.0), min(share + margin, 1.0)], 10000).alias("cut")).first()
+        a, b = cuts["cut"]
+        counted = within.agg(F.count_if(F.col("x") < a).alias("below"), F.count_if(F.col("x") <= b).alias("upto"),
+                             F.approx_count_distinct(F.when(F.col("x").between(a, b), F.col("x"))).alias("distinct")).first()
+        # a bracket that misses the position gives way to the side on which the position is
+        if before + counted["below"] >= position:
+            low, high = cuts["least"], math.nextafter(a, -math.inf)
+            inside = counted["below"]
+        elif before + counted["upto"] < position:
+            low, high = math.nextafter(b, math.inf), cuts["most"]
+            before, inside = before + counted["upto"], inside - counted["upto"]
+        else:
+            smaller = counted["upto"] - counted["below"] < inside
+            low, high, before, inside = a, b, before + counted["below"], counted["upto"] - counted["below"]
+            if counted["distinct"] * 1.5 <= IN_ORDER or not smaller:
+                break
+    counts = x.where(F.col("x").between(low, high)).groupBy("x").agg(F.count("*").alias("n"))
+    reached = counts.withColumn("upto", F.sum("n").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
+    return reached.where(F.col("upto") + before >= position).agg(F.min("x").alias("x")).first()["x"]
 
 
 def _outside(column: str, low: float | None, high: float | None) -> list[Column]:

@@ -73,14 +73,14 @@ def forecast_vs_actual(forecast: DataFrame, actual: DataFrame, keys: list[str])
 
 def plan_drift(monthly: DataFrame, month: str, unit: str, amount: str, plan: DataFrame, plan_quarter: str,
                plan_unit: str, planned: str, version: str) -> DataFrame:
-    """Months rolled up to quarters against the newest version of the plan for that quarter and unit."""
+    """Months rolled up to quarters against the newest version of the plan for that quarter and unit; either side may miss."""
     rolled = by_period(
         monthly, [quarter_label(F.col(month)).alias("quarter"), F.col(unit).alias("unit")], F.col(amount), "forecast"
     )
     newest = plan.groupBy(F.col(plan_quarter).alias("quarter"), F.col(plan_unit).alias("unit")).agg(
         F.max(version).alias("version"), F.max_by(F.col(planned).cast(MONEY), F.col(version)).alias("planned")
     )
-    return rolled.join(newest, ["quarter", "unit"]).withColumn(
+    return rolled.join(newest, ["quarter", "unit"], "full").withColumn(
         "drift", F.round(relative_difference(F.col("planned").cast("double"), F.col("forecast").cast("double")), 6)
     )
 

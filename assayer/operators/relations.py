@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer.functions.names import block_key, canonical_name, deletion_keys
-from assayer.session import broadcast_if_small, cut
+from assayer.session import cut
 
 
 def inclusions(values: DataFrame, profiles: DataFrame, minimum: float = 1.0) -> DataFrame:
@@ -14,13 +14,13 @@ def inclusions(values: DataFrame, profiles: DataFrame, minimum: float = 1.0) ->
     values:   table_name, column_name, normalized_type, value, n   (distinct non-null values)
     profiles: the column profile
 
-    Pairs are pruned on the profiles alone: same type, the target a key, and for
-    full inclusion no more distinct values and, for integers, a range inside the
-    target's. A source value is then looked up once per remaining target, and
-    each (target, value) occurs once on the key side.
+    Pairs are pruned on the profiles alone: same type, the target a key with enough distinct values and, for integers,
+    a range that allows the inclusion. A source value is then looked up once per remaining target, and each
+    (target, value) occurs once on the key side. `coverage` is the share of the key's values that are found.
     """
+    values = values.withColumn("value", plain_number(F.col("normalized_type"), F.col("value")))
     shape = ["table_name", "column_name", "normalized_type", "n_distinct", "min_value", "max_value", "is_key"]
-    source = profiles.where("n_distinct > 0 and normalized_type in ('integer', 'string', 'date', 'timestamp')").select(
+    source = profiles.where("n_distinct > 0 and normalized_type not in ('json', 'unknown')").select(
         *[F.col(c).alias(f"from_{c}") for c in shape]
     )
     target = profiles.where("is_key").select(*[F.col(c).alias(f"to_{c}") for c in shape])
@@ -33,23 +33,23 @@ def inclusions(values: DataFrame, profiles: DataFrame, minimum: float = 1.0) ->
     inside = (number("from_min_value") >= number("to_min_value")) & (number("from_max_value") <= number("to_max_value"))
     overlap = (number("from_min_value") <= number("to_max_value")) & (number("from_max_value") >= number("to_min_value"))
     possible = F.when(integers, inside if minimum >= 1.0 else overlap).otherwise(True)
-    if minimum >= 1.0:
-        possible = possible & (F.col("from_n_distinct") <= F.col("to_n_distinct"))
+    # half a unit of the last place to which containment is rounded
+    possible = possible & (F.col("from_n_distinct") * F.lit(min(minimum, 1.0) - 5e-7) <= F.col("to_n_distinct"))
     pairs = source.join(target, (F.col("from_normalized_type") == F.col("to_normalized_type")) & other & possible).select(
-        "from_table_name", "from_column_name", "to_table_name", "to_column_name", "from_n_distinct"
+        "from_table_name", "from_column_name", "to_table_name", "to_column_name", "from_n_distinct", "to_n_distinct"
     )
-    pairs = cut(pairs)  # column names; counted before they are broadcast to the values
+    pairs = cut(pairs)  # column names, used twice
     asked = values.select(
         F.col("table_name").alias("from_table_name"), F.col("column_name").alias("from_column_name"), "value"
-    ).join(broadcast_if_small(pairs), ["from_table_name", "from_column_name"])
+    ).join(pairs, ["from_table_name", "from_column_name"])
     held = values.select(
         F.col("table_name").alias("to_table_name"), F.col("column_name").alias("to_column_name"), "value"
     ).join(
-        broadcast_if_small(pairs.select("to_table_name", "to_column_name").distinct()), ["to_table_name", "to_column_name"], "left_semi"
+        pairs.select("to_table_name", "to_column_name").distinct(), ["to_table_name", "to_column_name"], "left_semi"
     )
     found = asked.join(held, ["to_table_name", "to_column_name", "value"]).groupBy(
         "from_table_name", "from_column_name", "to_table_name", "to_column_name"
-    ).agg(F.count("*").alias("n_matched"), F.max("from_n_distinct").alias("n_values"))
+    ).agg(F.count("*").alias("n_matched"), F.max("from_n_distinct").alias("n_values"), F.max("to_n_distinct").alias("n_keys"))
     ratio = F.round(F.col("n_matched") / F.col("n_values"), 6)
     return found.select(
         F.col("from_table_name").alias("from_table"),
@@ -59,9 +59,31 @@ def inclusions(values: DataFrame, profiles: DataFrame, minimum: float = 1.0) ->
         "n_values",
         "n_matched",
         ratio.alias("containment"),
+        F.round(F.col("n_matched") / F.col("n_keys"), 6).alias("coverage"),
     ).where(F.col("containment") >= minimum)
 
 
+def plain_number(normalized_type: Column, value: Column) -> Column:
+    """Numbers without zeros at the end of their fraction, so that equal ones of different scale are equal as text."""
+    shortened = F.regexp_replace(F.regexp_replace(value, r"^(-?[0-9]+\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    return F.when(normalized_type == "numeric", shortened).otherwise(value)
+
+
+def cardinalities(values: DataFrame, base_name: Column) -> DataFrame:
+    """Columns of one bare name and type in two tables: shared values, the largest group per side, and the kind of link.
+
+    values: table_name, column_name, normalized_type, value, n. A value meets the columns of its own name only.
+    """
+    named = values.select("table_name", "column_name", "normalized_type", "value", "n", base_name.alias("base_name"))
+    a = named.select("base_name", "normalized_type", "value", F.col("table_name").alias("from_table"), F.col("column_name").alias("from_column"), F.col("n").alias("n_from"))
+    b = named.select("base_name", "normalized_type", "value", F.col("table_name").alias("to_table"), F.col("column_name").alias("to_column"), F.col("n").alias("n_to"))
+    shared = a.join(b, ["base_name", "normalized_type", "value"]).where("from_table < to_table").groupBy(
+        "from_table", "from_column", "to_table", "to_column"
+    ).agg(F.count("*").alias("n_shared_keys"), F.max("n_from").alias("max_from"), F.max("n_to").alias("max_to"))
+    kind = F.when((F.col("max_from") > 1) & (F.col("max_to") > 1), "many_to_many").otherwise("one_to_many")
+    return shared.withColumn("relationship_type", kind)
+
+
 def key_counts(df: DataFrame, key: str | Column, alias: str = "key") -> DataFrame:
     """(key, n): rows per non-null key; the one place a hot key is reduced to one row."""
     column = F.col(key) if isinstance(key, str) else key
@@ -159,15 +181,16 @@ def link_cardinality(left: DataFrame, left_key: str, right: DataFrame, right_key
     return shared.withColumn("relationship_type", kind)
 
 
-def unlinked_dimensions(dimensions: DataFrame, overlaps: DataFrame) -> DataFrame:
-    """Low-cardinality columns whose bare name occurs in one table only, with the best value overlap as a hint.
+def unlinked_dimensions(dimensions: DataFrame, columns: DataFrame, overlaps: DataFrame, links: DataFrame) -> DataFrame:
+    """Dimensions whose bare name no other table has and that no relationship holds, with the best value overlap as a hint.
 
-    dimensions: table_name, column_name, base_name;  overlaps: from_/to_ columns and containment
+    dimensions: table_name, column_name, base_name;  columns: table_name, base_name of all columns, keys too;
+    overlaps: from_/to_ columns and containment;  links: from_/to_ columns of relationships
     """
-    homes = dimensions.groupBy("base_name").agg(
-        F.count_distinct("table_name").alias("n_tables"), F.min("table_name").alias("table_name"),
-        F.min("column_name").alias("column_name"),
-    ).where("n_tables = 1")
+    alone = columns.groupBy("base_name").agg(F.count_distinct("table_name").alias("n_tables")).where("n_tables = 1").select("base_name")
+    related = links.select(F.col("from_table").alias("table_name"), F.col("from_column").alias("column_name")).unionByName(
+        links.select(F.col("to_table").alias("table_name"), F.col("to_column").alias("column_name")))
+    homes = dimensions.join(alone, "base_name").join(related, ["table_name", "column_name"], "left_anti")
     best = overlaps.groupBy("from_table", "from_column").agg(
         F.max_by(F.struct("to_table", "to_column", "containment"), F.struct("containment", "to_table", "to_column")).alias("hint")
     )

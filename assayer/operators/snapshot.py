@@ -15,25 +15,27 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 TABLE = ["database_name", "schema_name", "table_name"]
 
 
+def _line(kind: str, *parts: str) -> Column:
+    """Parts as a JSON array, so that no dot, bar or NULL of one part can pass for another part."""
+    return F.to_json(F.array(F.lit(kind), *[F.col(p).cast("string") for p in parts]))
+
+
 def signatures(columns: DataFrame, keys: DataFrame | None, by: list[str], tables: DataFrame | None = None) -> DataFrame:
     """(by…, signature): one distinct line per column and per key column, plus tables without columns.
 
     Samples, row counts and comments play no part, nor does the order of rows.
     """
-    table = F.concat_ws(".", *TABLE)
-    line = F.concat_ws(
-        "|", F.lit("column"), table, "column_name", "normalized_type", "native_type",
-        F.col("is_nullable").cast("int").cast("string"), F.col("ordinal_position").cast("string"),
-    )
+    line = _line("column", *TABLE, "column_name", "normalized_type", "native_type", "is_nullable", "ordinal_position")
+    key = _line("key", *TABLE, "column_name")
     if "is_key" in columns.columns:
-        key_line = F.when(F.col("is_key"), F.concat_ws("|", F.lit("key"), table, "column_name"))
+        key_line = F.when(F.col("is_key"), key)
         parts = columns.select(*by, F.explode(F.array_compact(F.array(line, key_line))).alias("signature"))
     else:
         parts = columns.select(*by, line.alias("signature"))
     if keys is not None:
-        parts = parts.unionByName(keys.select(*by, F.concat_ws("|", F.lit("key"), table, "column_name").alias("signature")))
+        parts = parts.unionByName(keys.select(*by, key.alias("signature")))
     if tables is not None:
-        parts = parts.unionByName(tables.select(*by, F.concat_ws("|", F.lit("table"), table).alias("signature")))
+        parts = parts.unionByName(tables.select(*by, _line("table", *TABLE).alias("signature")))
     return parts.distinct()
 
 

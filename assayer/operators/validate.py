@@ -8,19 +8,39 @@ from assayer import vocab
 from assayer.functions.names import split_qualified
 from assayer.functions.text import json_body
 
-# The fields of each proposal kind. `!` marks a required field; the word is its form.
-COMMON = "name!text display_name!text description!text rationale!text evidence:texts confidence!confidence"
-CONTRACT = {
-    "entities": f"{COMMON} source_columns!colrefs",
-    "measures": f"{COMMON} aggregation!aggregation sql_expression!text source_tables!some_texts "
-                "filter_expression:maybe_text format_hint:maybe_format caveats:texts",
-    "dimensions": f"{COMMON} source_column!colref cardinality_hint!cardinality sample_values:samples",
-    "time_dimensions": f"{COMMON} source_column!colref granularity_hint!granularity",
-    "relationships": f"{COMMON} from_table!text from_column!text to_table:maybe_text to_column:maybe_text "
-                     "relationship_type!relationship",
-    "data_quality_flags": "severity!severity title!text description!text affected_columns:any_colrefs "
-                          "rationale!text evidence:texts",
+# The fields of each proposal kind with their form.
+REQUIRED_FIELDS = {
+    "entities": {
+        "name": "text", "display_name": "text", "description": "text", "source_columns": "colrefs", "rationale": "text",
+        "confidence": "confidence",
+    },
+    "measures": {
+        "name": "text", "display_name": "text", "description": "text", "aggregation": "aggregation", "sql_expression": "text",
+        "source_tables": "some_texts", "rationale": "text", "confidence": "confidence",
+    },
+    "dimensions": {
+        "name": "text", "display_name": "text", "description": "text", "source_column": "colref",
+        "cardinality_hint": "cardinality", "rationale": "text", "confidence": "confidence",
+    },
+    "time_dimensions": {
+        "name": "text", "display_name": "text", "description": "text", "source_column": "colref",
+        "granularity_hint": "granularity", "rationale": "text", "confidence": "confidence",
+    },
+    "relationships": {
+        "name": "text", "display_name": "text", "description": "text", "from_table": "text", "from_column": "text",
+        "relationship_type": "relationship", "rationale": "text", "confidence": "confidence",
+    },
+    "data_quality_flags": {"severity": "severity", "title": "text", "description": "text", "rationale": "text"},
 }
+OPTIONAL_FIELDS = {
+    "entities": {"evidence": "texts"},
+    "measures": {"filter_expression": "maybe_text", "format_hint": "maybe_format", "evidence": "texts", "caveats": "texts"},
+    "dimensions": {"sample_values": "samples", "evidence": "texts"},
+    "time_dimensions": {"evidence": "texts"},
+    "relationships": {"to_table": "maybe_text", "to_column": "maybe_text", "evidence": "texts"},
+    "data_quality_flags": {"affected_columns": "any_colrefs", "evidence": "texts"},
+}
+KINDS = list(REQUIRED_FIELDS)
 ENUMS = {
     "confidence": vocab.CONFIDENCES, "severity": vocab.SEVERITIES, "aggregation": vocab.AGGREGATIONS,
     "cardinality": vocab.CARDINALITIES, "granularity": vocab.GRANULARITIES,
@@ -30,16 +50,6 @@ MAX_SAMPLES = 10
 ERROR_EXCERPT = 500
 
 
-def contract_fields(kind: str) -> dict[str, tuple[bool, str]]:
-    """field -> (required, form)"""
-    fields = {}
-    for word in CONTRACT[kind].split():
-        required = "!" in word
-        name, form = word.replace("!", ":").split(":")
-        fields[name] = (required, form)
-    return fields
-
-
 def _has_form(value: str, form: str) -> str:
     """SQL predicate: the variant `value` has the form."""
     kind = f"schema_of_variant({value})"
@@ -65,13 +75,13 @@ def _has_form(value: str, form: str) -> str:
 
 def _item_error(kind: str) -> Column:
     """First thing wrong with one item (a MAP<STRING,VARIANT> named `item`), or NULL."""
-    fields = contract_fields(kind)
+    fields = REQUIRED_FIELDS[kind] | OPTIONAL_FIELDS[kind]
     known = ", ".join(f"'{f}'" for f in fields)
-    required = ", ".join(f"'{f}'" for f, (must, _) in fields.items() if must)
+    required = ", ".join(f"'{f}'" for f in REQUIRED_FIELDS[kind])
     error = F.when(F.col("item").isNull(), "not an object")
     error = error.when(F.expr(f"size(array_except(map_keys(item), array({known}))) > 0"), "unknown field")
     error = error.when(F.expr(f"size(array_except(array({required}), map_keys(item))) > 0"), "missing field")
-    for name, (_, form) in fields.items():
+    for name, form in fields.items():
         cell = f"item['{name}']"
         error = error.when(
             F.expr(f"map_contains_key(item, '{name}') and not coalesce({_has_form(cell, form)}, false)"), f"bad {name}"
@@ -100,7 +110,7 @@ def parse_responses(responses: DataFrame, id_column: str = "id", text: str = "te
     parsed = responses.select(F.col(id_column).alias("id"), body.alias("__body")).withColumn("__all", whole).select(
         "id", "__body", F.when(F.size("__all") == 1, F.element_at("__all", 1)).alias("set")
     )
-    kinds = ", ".join(f"'{k}'" for k in CONTRACT)
+    kinds = ", ".join(f"'{k}'" for k in KINDS)
     not_arrays = "exists(map_values(set), v -> not schema_of_variant(v) like 'ARRAY<%')"
     broken = (
         F.when(F.col("set").isNull(), "not a JSON object")
@@ -115,16 +125,21 @@ def parse_responses(responses: DataFrame, id_column: str = "id", text: str = "te
         "id", "broken", "kind", F.posexplode_outer(F.expr("try_variant_get(list, '$', 'array<variant>')")).alias("item_index", "raw")
     ).select("id", "broken", "kind", "item_index", F.expr("try_variant_get(raw, '$', 'map<string,variant>')").alias("item"))
     error = F.when(F.col("broken").isNotNull(), F.col("broken"))
-    for kind in CONTRACT:
+    for kind in KINDS:
         error = error.when(F.col("kind") == kind, _item_error(kind))
     return items.select("id", "kind", "item_index", "item", error.alias("error"))
 
 
 def response_summary(items: DataFrame) -> DataFrame:
-    """(id, valid, first_error, n_items and one count per kind). One bad item rejects its whole response."""
+    """(id, valid, first_error, n_items and one count per kind). One bad item rejects its whole response.
+
+    The first error is that of the first kind in the contract's order, and there of the first item.
+    """
+    place = F.struct(F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).alias("kind"), "item_index")
+    first = F.min_by("error", F.when(F.col("error").isNotNull(), place))
     return items.groupBy("id").agg(
-        (F.count("error") == 0).alias("valid"), F.min("error").alias("first_error"), F.count("kind").alias("n_items"),
-        *[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in CONTRACT],
+        (F.count("error") == 0).alias("valid"), first.alias("first_error"), F.count("kind").alias("n_items"),
+        *[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in KINDS],
     )
 
 

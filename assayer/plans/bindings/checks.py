@@ -10,8 +10,8 @@ from assayer.functions.dates import quarter_label
 from assayer.operators import profile, quality, reconcile
 from assayer.operators.relations import orphans
 from assayer.plans import propose
-from assayer.plans.bindings.base import TABLES, load, profile_sql, query, union_sql
-from assayer.plans.bindings.profiles import NET, full_profile, net_by_order
+from assayer.plans.bindings.base import TABLES, load, query, union_sql
+from assayer.plans.bindings.profiles import NET, net_by_order
 
 LABELLED_SQL = "(select d.lang, d.source, l.quality, l.toxic from documents d left join labels l on l.doc_id = d.doc_id)"
 
@@ -60,8 +60,12 @@ STATUS_CASE = """case o_orderpriority when '1-URGENT' then o_orderstatus when '2
   else upper(case o_orderstatus when 'O' then 'Open' when 'F' then 'Filled' else 'Pending' end) end"""
 
 
-@query("dq_3", f"""select upper(left(s, 1)) as code, count(distinct s) as n_spellings, count(*) as n_rows, min(s) as first_spelling, max(s) as last_spelling
-from (select {STATUS_CASE} as s from orders) group by 1""")
+@query("dq_3", f"""with v as (select {STATUS_CASE} as s from orders), f as (select s, upper(s) as folded from v),
+b as (select distinct left(folded, n) as short, folded as long from f, unnest([1, 2, 3]) as u(n) where length(folded) > 3),
+a as (select short, min(long) as long from b group by 1 having count(*) = 1),
+c as (select coalesce(long, folded) as code, s from f left join a on short = folded)
+select code, count(distinct s) as n_spellings, count(*) as n_rows, min(s) as first_spelling, max(s) as last_spelling
+from c group by 1 having count(distinct s) > 1""")
 def codes(spark, sf_dir):
     return quality.code_variants(load(spark, sf_dir, "orders").select(F.expr(STATUS_CASE).alias("s")), "s")
 
@@ -162,13 +166,23 @@ def adjustments(spark, sf_dir):
     ])
 
 
-@query("dq_9", f"""with {profile_sql()}, b as (select regexp_replace(column_name, '^[a-z]{{1,2}}_', '') as base_name, table_name, normalized_type,
-  case when normalized_type in ('integer', 'numeric') then cast(min_value as double) end as low,
-  case when normalized_type in ('integer', 'numeric') then cast(max_value as double) end as high from prof),
+COLLIDING = {
+    "sales": ("orders", {"amount": "o_totalprice", "code": "o_orderstatus", "key": "o_orderkey"}),
+    "credits": ("lineitem", {"amount": "-l_extendedprice", "code": "l_linenumber", "key": "l_orderkey"}),
+}
+RANGE_SQL = union_sql(
+    f"select '{t}' as table_name, '{c}' as base_name, {'NULL' if e == 'o_orderstatus' else f'min({e})'} as low, {'NULL' if e == 'o_orderstatus' else f'max({e})'} as high, "
+    f"'{'string' if e == 'o_orderstatus' else 'integer' if e.endswith(('number', 'key')) else 'numeric'}' as normalized_type from {source}"
+    for t, (source, columns) in COLLIDING.items() for c, e in columns.items())
+
+
+@query("dq_9", f"""with b as ({RANGE_SQL}),
 g as (select base_name, count(distinct table_name) as n_tables, count(distinct normalized_type) as n_types, coalesce(max(low) > min(high), false) as disjoint from b group by 1)
 select * from g where n_tables > 1 and (n_types > 1 or disjoint)""")
 def collisions(spark, sf_dir):
-    profiles = full_profile(spark, sf_dir)
+    """Two systems that use the names amount, code and key: of other range, of other type, and alike."""
+    tables = {t: load(spark, sf_dir, source).selectExpr(*[f"{e} as {c}" for c, e in columns.items()]) for t, (source, columns) in COLLIDING.items()}
+    profiles = profile.profile(tables)
     ranged = profiles.withColumns({
         c: F.when(F.col("normalized_type").isin("integer", "numeric"), F.col(c)) for c in ("min_value", "max_value")
     })
@@ -284,9 +298,9 @@ UNIT = "case o_orderstatus when 'F' then 'A' when 'O' then 'N' else 'R' end"
 p as (select year(o_orderdate) || '-Q' || quarter(o_orderdate) as quarter, {UNIT} as unit, cast(left(o_orderpriority, 1) as int) as version,
   sum(cast(o_totalprice as decimal(18,2))) as planned from orders group by 1, 2, 3),
 n as (select *, row_number() over (partition by quarter, unit order by version desc) as rn from p)
-select f.quarter, f.unit, cast(forecast as double) as forecast, version, cast(planned as double) as planned,
+select coalesce(f.quarter, n.quarter) as quarter, coalesce(f.unit, n.unit) as unit, cast(forecast as double) as forecast, version, cast(planned as double) as planned,
   round((cast(planned as double) - cast(forecast as double)) / nullif(cast(forecast as double), 0), 6) as drift
-from f join n on n.quarter = f.quarter and n.unit = f.unit and rn = 1""")
+from f full join (select * from n where rn = 1) n on n.quarter = f.quarter and n.unit = f.unit""")
 def plans(spark, sf_dir):
     orders = load(spark, sf_dir, "orders")
     plan = reconcile.by_period(

@@ -13,9 +13,9 @@ from assayer.session import cut, scratch_path
 from assayer.streaming import decisions
 
 SIGNATURES_SQL = """sig as (
-  select snapshot_id, concat_ws('|', 'column', 'wh.s1.' || table_name, column_name, normalized_type, native_type,
-    cast(cast(is_nullable as int) as varchar), cast(ordinal_position as varchar)) as signature from sc
-  union select snapshot_id, concat_ws('|', 'key', 'wh.s1.' || table_name, column_name) from sc where is_key)"""
+  select snapshot_id, '["column","wh","s1","' || table_name || '","' || column_name || '","' || normalized_type || '","' || native_type || '","'
+    || case when is_nullable then 'true' else 'false' end || '","' || ordinal_position || '"]' as signature from sc
+  union select snapshot_id, '["key","wh","s1","' || table_name || '","' || column_name || '"]' from sc where is_key)"""
 
 
 def word(start: int) -> str:

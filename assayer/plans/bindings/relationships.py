@@ -27,10 +27,11 @@ def inclusions_sql(minimum: float) -> str:
     """CTE `incl`; without pruning, since pruning may not change the answer."""
     return f"""{profile_sql()}, {values_sql(LINK_TYPES)},
 sized as (select table_name, column_name, count(*) as n_values from vals group by 1, 2),
-held as (select v.* from vals v join prof p on p.table_name = v.table_name and p.column_name = v.column_name and p.is_key),
+held as (select v.*, p.n_distinct as n_keys from vals v join prof p on p.table_name = v.table_name and p.column_name = v.column_name and p.is_key),
 incl as (
   select a.table_name as from_table, a.column_name as from_column, b.table_name as to_table, b.column_name as to_column,
-         max(s.n_values) as n_values, count(*) as n_matched, round(count(*) / max(s.n_values), 6) as containment
+         max(s.n_values) as n_values, count(*) as n_matched, round(count(*) / max(s.n_values), 6) as containment,
+         round(count(*) / max(b.n_keys), 6) as coverage
   from vals a join held b on a.value = b.value and a.normalized_type = b.normalized_type
        and (a.table_name <> b.table_name or a.column_name <> b.column_name)
   join sized s on s.table_name = a.table_name and s.column_name = a.column_name
@@ -132,7 +133,8 @@ def cardinality(spark, sf_dir):
 
 UNLINKED_SQL = f"""dims as (select table_name, column_name, regexp_replace(column_name, '^[a-z]{{1,2}}_', '') as base_name from prof
   where not is_key and n_distinct > 0 and normalized_type in ('string', 'boolean', 'integer') and cardinality in ('low', 'medium')),
-homes as (select base_name, min(table_name) as table_name, min(column_name) as column_name from dims group by 1 having count(distinct table_name) = 1),
+alone as (select regexp_replace(column_name, '^[a-z]{{1,2}}_', '') as base_name from prof group by 1 having count(distinct table_name) = 1),
+homes as (select dims.* from dims join alone on alone.base_name = dims.base_name),
 dv as (select v.* from vals v join dims d on d.table_name = v.table_name and d.column_name = v.column_name),
 overlap as (select a.table_name as ft, a.column_name as fc, b.table_name as tt, b.column_name as tc, count(*) as m
   from dv a join dv b on a.value = b.value and a.normalized_type = b.normalized_type and (a.table_name <> b.table_name or a.column_name <> b.column_name)
@@ -144,55 +146,92 @@ unlinked as (select h.table_name as from_table, h.column_name as from_column, tt
   from homes h left join hints on ft = h.table_name and fc = h.column_name and rn = 1)"""
 
 
-def unlinked(spark, sf_dir, values=None, profiles=None):
-    if values is None:
-        values, profiles = link_inputs(spark, sf_dir)
-    dims = propose.dimensions(profiles).withColumn("base_name", propose.base_name(F.col("column_name")))
+def named_links(found: DataFrame) -> DataFrame:
+    """Inclusions whose bare names agree."""
+    return found.where(propose.base_name(F.col("from_column")) == propose.base_name(F.col("to_column")))
+
+
+def unlinked(values: DataFrame, profiles: DataFrame, links: DataFrame) -> DataFrame:
+    name = propose.base_name(F.col("column_name"))
+    dims = propose.dimensions(profiles).withColumn("base_name", name)
     few = values.join(dims.select("table_name", "column_name"), ["table_name", "column_name"], "left_semi")
-    return relations.unlinked_dimensions(dims, relations.value_overlaps(few))
+    columns = profiles.select("table_name", name.alias("base_name"))
+    return relations.unlinked_dimensions(dims, columns, relations.value_overlaps(few), links)
 
 
 @query("jn_10", f"with {profile_sql()}, {values_sql(LINK_TYPES)}, {UNLINKED_SQL} select * from unlinked")
 def unlinked_dimensions(spark, sf_dir):
-    return unlinked(spark, sf_dir)
-
-
-@query("prp_1", f"""with recursive {inclusions_sql(1.0)},
-edges as (select from_table || '.' || from_column as x, to_table || '.' || to_column as y from incl
-  where regexp_replace(from_column, '^[a-z]{{1,2}}_', '') = regexp_replace(to_column, '^[a-z]{{1,2}}_', '')
-  union select to_table || '.' || to_column, from_table || '.' || from_column from incl
-  where regexp_replace(from_column, '^[a-z]{{1,2}}_', '') = regexp_replace(to_column, '^[a-z]{{1,2}}_', '')),
-reach as (select x, y from edges union select r.x, e.y from reach r join edges e on e.x = r.y)
-select x as "column", least(x, min(y)) as entity from reach group by x""")
+    values, profiles = link_inputs(spark, sf_dir)
+    return unlinked(values, profiles, named_links(relations.inclusions(values, profiles)))
+
+
+AGREE = "regexp_replace(from_column, '^[a-z]{1,2}_', '') = regexp_replace(to_column, '^[a-z]{1,2}_', '')"
+DERIVED_SQL = f"""derived as (select count(*) as n, count(o.x) as linked
+  from (select try_cast(nullif(regexp_extract(c_name, '{CUSTOMER_NUMBER}', 1), '') as bigint) as k from customer) e
+  left join (select distinct o_custkey as x from orders) o on o.x = e.k)"""
+
+
+@query("prp_1", f"""with recursive {inclusions_sql(1.0)}, {DERIVED_SQL},
+links as (select from_table || '.' || from_column as x, to_table || '.' || to_column as y,
+    'all ' || n_values || ' values of ' || from_table || '.' || from_column || ' are in ' || to_table || '.' || to_column as evidence,
+    'high' as confidence from incl where {AGREE}
+  union all select 'customer.c_name', 'orders.o_custkey', linked || ' of ' || n || ' numbers in customer.c_name are in orders.o_custkey',
+    case when linked = n then 'high' else 'medium' end from derived where linked > 0),
+edges as (select x, y from links union select y, x from links),
+reach as (select x, y from edges union select r.x, e.y from reach r join edges e on e.x = r.y),
+roots as (select x, least(x, min(y)) as entity from reach group by x),
+members as (select entity, string_agg(x, ', ' order by x) as members from roots group by 1),
+shown as (select entity, string_agg(distinct evidence, '; ' order by evidence) as evidence, max(case confidence when 'high' then 3 else 2 end) as rank
+  from links join roots on roots.x = links.x group by 1),
+named as (select *, regexp_replace(regexp_replace(split_part(m.entity, '.', 2), '^[a-z]{{1,2}}_', ''), '_?(key|id)$', '') as short from members m join shown s on s.entity = m.entity),
+final as (select case when short = '' then replace(entity, '.', '_') else short end as name, * from named)
+select name, 'What ' || members || ' refer to.' as description, members as source_columns, evidence, case rank when 3 then 'high' else 'medium' end as confidence from final""")
 def entities(spark, sf_dir):
-    """Columns tied by inclusions whose names agree."""
+    """Columns tied by inclusions whose names agree, and by numbers inside a name."""
     values, profiles = link_inputs(spark, sf_dir)
-    agree = propose.base_name(F.col("from_column")) == propose.base_name(F.col("to_column"))
-    return propose.entity_groups(relations.inclusions(values, profiles).where(agree))
-
-
-CONFIDENCE = """case when containment >= 1.0 and regexp_replace(from_column, '^[a-z]{1,2}_', '') = regexp_replace(to_column, '^[a-z]{1,2}_', '') then 'high'
-  when containment >= 1.0 or regexp_replace(from_column, '^[a-z]{1,2}_', '') = regexp_replace(to_column, '^[a-z]{1,2}_', '') then 'medium' else 'low' end"""
-
-
-@query("prp_5", f"""with {inclusions_sql(1.0)}, {UNLINKED_SQL}, {FUZZY_SQL}
+    named = named_links(relations.inclusions(values, profiles))
+    place = [F.concat_ws(".", f"{side}_table", f"{side}_column") for side in ("from", "to")]
+    held = named.select(
+        "from_table", "from_column", "to_table", "to_column",
+        F.concat(F.lit("all "), F.col("n_values").cast("string"), F.lit(" values of "), place[0], F.lit(" are in "), place[1]).alias("evidence"),
+        F.lit("high").alias("confidence"))
+    n, linked = F.col("n_rows").cast("string"), F.col("n_linked").cast("string")
+    inside = derived(spark, sf_dir).where("n_linked > 0").select(
+        *[F.lit(v).alias(c) for c, v in (("from_table", "customer"), ("from_column", "c_name"), ("to_table", "orders"), ("to_column", "o_custkey"))],
+        F.concat(linked, F.lit(" of "), n, F.lit(" numbers in customer.c_name are in orders.o_custkey")).alias("evidence"),
+        F.when(F.col("n_linked") == F.col("n_rows"), "high").otherwise("medium").alias("confidence"))
+    proposed = propose.entities(cut(held.unionByName(inside)))
+    members = F.transform("source_columns", lambda c: F.concat_ws(".", c["table"], c["column"]))
+    return proposed.select("name", "description", F.array_join(members, ", ").alias("source_columns"),
+                           F.array_join("evidence", "; ").alias("evidence"), "confidence")
+
+
+CONFIDENCE = f"""case when containment >= 1.0 and ({AGREE} or coverage >= 0.9) then 'high' when {AGREE} then 'medium' else 'low' end"""
+COUNTED_SQL = "counted as (" + union_sql(
+    f"select '{t}' as table_name, '{c}' as column_name, '{k}' as normalized_type, cast({c} as varchar) as value, count(*) as n from {t} where {c} is not null group by 4"
+    for t in TABLES for c, k in fields(t) if k in LINK_TYPES) + """),
+cards as (select a.table_name as from_table, a.column_name as from_column, b.table_name as to_table, b.column_name as to_column,
+    case when max(a.n) > 1 and max(b.n) > 1 then 'many_to_many' else 'one_to_many' end as relationship_type
+  from counted a join counted b on a.value = b.value and a.normalized_type = b.normalized_type and a.table_name < b.table_name
+    and regexp_replace(a.column_name, '^[a-z]{1,2}_', '') = regexp_replace(b.column_name, '^[a-z]{1,2}_', '')
+  group by 1, 2, 3, 4)"""
+
+
+@query("prp_5", f"""with {inclusions_sql(1.0)}, {UNLINKED_SQL}, {COUNTED_SQL}, {DERIVED_SQL}
 select from_table, from_column, to_table, to_column, 'exact_match' as relationship_type, {CONFIDENCE} as confidence from incl
 union all select from_table, from_column, to_table, to_column, relationship_type, 'medium' from unlinked
-union all select 'part', 'p_name', 'part', 'p_name_variant', 'fuzzy_match', 'high' from fuzzy having count(*) > 0
-union all select 'customer', 'c_name', 'orders', 'o_custkey', 'derived', 'high' from customer
-  where try_cast(regexp_extract(c_name, '{CUSTOMER_NUMBER}', 1) as bigint) in (select o_custkey from orders) having count(*) > 0""")
+union all select from_table, from_column, to_table, to_column, relationship_type, 'high' from cards
+union all select 'customer', 'c_name', 'orders', 'o_custkey', 'derived', case when linked = n then 'high' else 'medium' end from derived where linked > 0""")
 def relationship_proposals(spark, sf_dir):
     values, profiles = link_inputs(spark, sf_dir)
-    exact = propose.exact_relationships(relations.inclusions(values, profiles))
-    loose = unlinked(spark, sf_dir, values, profiles).withColumn("confidence", F.lit("medium"))
-
-    def found(evidence: DataFrame, names: tuple, kind: str) -> DataFrame:
-        columns = [F.lit(v).alias(c) for v, c in zip((*names, kind, "high"), ("from_table", "from_column", "to_table", "to_column", "relationship_type", "confidence"))]
-        return evidence.agg(F.count("*").alias("n")).where("n > 0").select(*columns)
-
-    spelled = found(fuzzy(spark, sf_dir), ("part", "p_name", "part", "p_name_variant"), "fuzzy_match")
-    cut_out = found(derived(spark, sf_dir).where("n_linked > 0"), ("customer", "c_name", "orders", "o_custkey"), "derived")
-    return propose.relationships(exact, loose, spelled, cut_out)
+    found = cut(relations.inclusions(values, profiles))
+    loose = unlinked(values, profiles, named_links(found)).withColumn("confidence", F.lit("medium"))
+    cards = relations.cardinalities(values.where(F.col("normalized_type").isin(*LINK_TYPES)), propose.base_name(F.col("column_name"))).withColumn("confidence", F.lit("high"))
+    inside = derived(spark, sf_dir).where("n_linked > 0").select(
+        *[F.lit(v).alias(c) for c, v in (("from_table", "customer"), ("from_column", "c_name"), ("to_table", "orders"),
+                                         ("to_column", "o_custkey"), ("relationship_type", "derived"))],
+        F.when(F.col("n_linked") == F.col("n_rows"), "high").otherwise("medium").alias("confidence"))
+    return propose.relationships(propose.exact_relationships(found), loose, cards, inside)
 
 
 @query("prp_7", f"with {inclusions_sql(0.5)} select from_table, from_column, to_table, to_column, containment, {CONFIDENCE} as confidence from incl")
@@ -202,5 +241,5 @@ def confidences(spark, sf_dir):
     agree = propose.base_name(F.col("from_column")) == propose.base_name(F.col("to_column"))
     return partial.select(
         "from_table", "from_column", "to_table", "to_column", "containment",
-        propose.confidence(F.col("containment"), agree).alias("confidence"),
+        propose.confidence(F.col("containment"), F.col("coverage"), agree).alias("confidence"),
     )

@@ -72,7 +72,8 @@ def parquet_source(spark: SparkSession, location: str, database: str = "files",
         if status.isFile():
             return status.getPath().getName().endswith(".parquet")
         inside = entries(status.getPath())
-        return any(s.isFile() or "=" in s.getPath().getName() for s in inside)
+        # stray files, such as a README, make no table
+        return any(s.getPath().getName().endswith(".parquet") if s.isFile() else "=" in s.getPath().getName() for s in inside)
 
     paths: dict[TableRef, str] = {}
     for status in entries(root):
@@ -88,7 +89,8 @@ def parquet_source(spark: SparkSession, location: str, database: str = "files",
 
     def read(ref: TableRef) -> DataFrame:
         if ref not in schemas:  # looking into the files is a job; once per table is enough
-            schemas[ref] = spark.read.parquet(paths[ref]).schema
+            # a table may have files of several generations; none of their columns is left out
+            schemas[ref] = spark.read.option("mergeSchema", "true").parquet(paths[ref]).schema
         return spark.read.schema(schemas[ref]).parquet(paths[ref])
 
     return Source("parquet", database, _visible(list(paths)), read)

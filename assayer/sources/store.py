@@ -20,14 +20,17 @@ COLUMNS_DDL = (
 DEFINITIONS_DDL = (
     "id string, name string, display_name string, description string, rationale string, evidence array<string>, "
     "confidence string, status string, proposed_by string, proposed_at timestamp_ntz, prompt_version string, "
-    "model string, source_snapshot_id string, scope_id string"
+    "model string, source_snapshot_id string, scope_id string, supersedes_id string, parent_id string"
 )
+# what tells two proposals of one name and time apart
+DISTINCT_CONTENT = ["kind", "source_columns", "display_name", "description", "rationale", "evidence"]
 LINKS_DDL = "id string, entity_id string, snapshot_column_id string"
 
 
 def stable_id(*parts: str | Column) -> Column:
-    """Ids derived from content, so that a retried task writes the same row again."""
-    return F.md5(F.concat_ws("|", *parts))
+    """Ids derived from content, so that a retried task writes the same row again. Parts may hold any text or NULL."""
+    columns = [F.col(p) if isinstance(p, str) else p for p in parts]
+    return F.md5(F.to_json(F.array(*[c.cast("string") for c in columns])))
 
 
 def append(df: DataFrame, root: str, table: str, partition: str | None = None) -> None:
@@ -111,11 +114,16 @@ def definition_rows(proposals: DataFrame, proposed_by: str = "system") -> DataFr
 
     proposals: name, display_name, description, rationale, evidence, confidence,
                proposed_at, prompt_version, model, source_snapshot_id, scope_id
+               [, supersedes_id, parent_id, kind, source_columns]
     """
     if proposed_by != "system" and not proposed_by.startswith("user:"):
         raise ValueError("proposed_by is 'system' or 'user:<id>'")
+    for c in ("supersedes_id", "parent_id"):
+        if c not in proposals.columns:
+            proposals = proposals.withColumn(c, F.lit(None).cast("string"))
     filled = proposals.withColumn("status", F.lit("proposed")).withColumn("proposed_by", F.lit(proposed_by))
-    filled = filled.withColumn("id", stable_id("source_snapshot_id", "name", F.col("proposed_at").cast("string")))
+    filled = filled.withColumn("id", stable_id(
+        "source_snapshot_id", "name", "proposed_at", *[F.to_json(F.struct(c)) for c in DISTINCT_CONTENT if c in proposals.columns]))
     return filled.select(*[c.split()[0] for c in DEFINITIONS_DDL.split(", ")], *[c for c in proposals.columns if c == "source_columns"])
 
 

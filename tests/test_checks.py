@@ -71,11 +71,16 @@ def test_unattributed_refund(wh):
 
 
 def test_codes(wh):
-    assert {(r.code, r.n_spellings, r.n_rows) for r in quality.code_variants(wh["legacy"], "status").collect()} == {("A", 3, 3), ("I", 2, 3)}
+    assert {(r.code, r.n_spellings, r.n_rows) for r in quality.code_variants(wh["legacy"], "status").collect()} == {("ACTIVE", 3, 3), ("INACTIVE", 2, 3)}
     unknown = quality.outside_domain(wh["legacy"], "status", wh["codes"], "code").collect()
     assert {r.value for r in unknown} == {"Active", "ACTIVE", "Inactive"}
 
 
+def test_codes_that_only_begin_alike_are_apart(frame):
+    df = frame("s string", [("Active",), ("Archived",), ("Approved",), ("A",), ("AC",), ("active",)])
+    assert {(r.code, r.n_spellings) for r in quality.code_variants(df, "s").collect()} == {("ACTIVE", 3)}
+
+
 def test_formulas(wh):
     assert quality.formula_violations(wh["invoices"], "total", "subtotal + tax").first().n_violations == 0
     ltv = quality.formula_violations(wh["forecast"], "ltv", "amount / churn", 0.01).first()
@@ -128,6 +133,15 @@ def test_quartiles_are_exact(spark, n):
     assert (got["q1"], got["q3"]) == (pick(0.25), pick(0.75))
 
 
+def test_quartiles_of_skewed_values(spark):
+    """Half of the rows are one value, the others spread over ten orders of magnitude."""
+    rng = random.Random(3)
+    values = [7.0] * 20_000 + [10 ** rng.uniform(-5, 5) for _ in range(20_000)]
+    got = quality.quartiles(spark.createDataFrame([(v,) for v in values], "v double"), "v")
+    values.sort()
+    assert got == {"q1": values[9_999], "q3": values[29_999]}
+
+
 def test_outliers(spark):
     df = spark.createDataFrame([(float(v),) for v in [*range(100), 1000, -1000]], "v double")
     assert quality.iqr_outliers(df, "v").first().n_outliers == 2

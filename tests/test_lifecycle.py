@@ -122,7 +122,7 @@ def test_chains_and_edit_diff(spark):
 def test_cycles_are_reported(spark):
     rows = [("a", "n", "", "", "", "low", "approved", 1, "b", None), ("b", "n", "", "", "", "low", "approved", 1, "a", None)]
     with pytest.raises(ValueError):
-        lifecycle.supersession_roots(spark.createDataFrame(rows, DEFINITIONS), max_rounds=6)
+        lifecycle.supersession_roots(spark.createDataFrame(rows, DEFINITIONS))
 
 
 def test_the_state_handler_needs_no_package_on_the_workers(tmp_path):

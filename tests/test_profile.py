@@ -105,6 +105,19 @@ def test_composite_keys(frame):
     assert profile.composite_keys(tables["void"]).count() == 0
 
 
+def test_composite_keys_of_decimals(frame):
+    df = frame("a int, b int, c double", [(i, j, 1.0) for i in range(9) for j in range(9)]).selectExpr(
+        "cast(a as decimal(10,0)) as a", "cast(b as decimal(10,0)) as b", "c")
+    assert [(r.column_a, r.column_b) for r in profile.composite_keys(df).collect()] == [("a", "b")]
+
+
+@pytest.mark.parametrize("n", [10, 11, 98, 101, 10_150])
+def test_sketched_buckets_are_right_at_their_edges(spark, n):
+    df = spark.range(n * 3).selectExpr(f"id % {n} as v")
+    row = profile.profile({"t": df}, exact=False).first()
+    assert (row.n_distinct, row.cardinality) == (n, "low" if n <= 10 else "medium" if n <= 100 else "high" if n <= 10_000 else "very_high")
+
+
 def test_top_values_break_ties_by_value(frame):
     df = frame("c string", [("b",), ("a",), ("c",), ("c",), (None,), (None,), (None,)])
     got = profile.top_values({"t": df}, None, 2).orderBy("rank").collect()

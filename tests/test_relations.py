@@ -83,8 +83,36 @@ def test_unlinked_dimension_with_hint(frame):
     }
     values = profile.value_counts(tables)
     dims = propose.dimensions(profile.profile(tables)).withColumn("base_name", propose.base_name(F.col("column_name")))
-    got = {r.from_column: (r.to_table, r.to_column) for r in relations.unlinked_dimensions(dims, relations.value_overlaps(values)).collect()}
-    assert got == {"segment": ("plan", "business_unit"), "business_unit": ("forecast", "segment")}
+    columns = dims.select("table_name", "base_name")
+    links = frame("from_table string, from_column string, to_table string, to_column string", [])
+    found = lambda links: {r.from_column: (r.to_table, r.to_column) for r in relations.unlinked_dimensions(dims, columns, relations.value_overlaps(values), links).collect()}
+    assert found(links) == {"segment": ("plan", "business_unit"), "business_unit": ("forecast", "segment")}
+    # a column that has a relationship is linked; so is one whose name is a key elsewhere
+    assert set(found(frame("from_table string, from_column string, to_table string, to_column string", [("forecast", "segment", "x", "y")]))) == {"business_unit"}
+    columns = columns.unionByName(frame("table_name string, base_name string", [("units", "business_unit")]))
+    assert set(found(links)) == {"segment"}
+
+
+def test_decimal_and_boolean_columns_take_part(frame):
+    tables = {
+        "parent": frame("id int", [(i,) for i in range(5)]).selectExpr("cast(id as decimal(10,0)) as id", "id = 1 as flag"),
+        "child": frame("ref int", [(1,), (3,), (3,)]).selectExpr("cast(ref as decimal(12,2)) as ref", "true as flag"),
+    }
+    values = profile.value_counts(tables)
+    got = relations.inclusions(values, profile.profile(tables)).collect()
+    assert [(r.from_column, r.to_column, r.n_values, r.n_matched, r.coverage) for r in got if r.from_table == "child"] == [("ref", "id", 2, 2, 0.4)]
+
+
+def test_cardinalities_of_one_name(frame):
+    tables = {"a": frame("x_id int, v int", [(1, 1), (1, 2), (2, 3)]), "b": frame("y_id int", [(1,), (1,)]), "c": frame("z_id int", [(2,)])}
+    got = relations.cardinalities(profile.value_counts(tables), propose.base_name(F.col("column_name"))).collect()
+    assert {(r.from_table, r.to_table): r.relationship_type for r in got} == {("a", "b"): "many_to_many", ("a", "c"): "one_to_many"}
+
+
+def test_confidence_needs_names_or_coverage(frame):
+    df = frame("ratio double, coverage double, agree boolean", [(1.0, 0.1, True), (1.0, 0.95, False), (1.0, 0.5, False), (0.7, 0.5, True), (0.7, 1.0, False)])
+    got = [r[0] for r in df.select(propose.confidence(F.col("ratio"), F.col("coverage"), F.col("agree"))).collect()]
+    assert got == ["high", "high", "low", "medium", "low"]
 
 
 def test_entity_groups_against_union_find(frame):
@@ -105,3 +133,30 @@ def test_entity_groups_against_union_find(frame):
     df = frame("from_table string, from_column string, to_table string, to_column string", [("t", a, "t", b) for a, b in edges])
     got = {r["column"]: r.entity for r in propose.entity_groups(df).collect()}
     assert got == {f"t.{n}": f"t.{root(n)}" for n in group}
+
+
+def test_entity_groups_of_long_chains(frame, monkeypatch):
+    """Two ascending chains of 200 edges, joined at their far ends, in few rounds."""
+    from assayer.operators import components
+
+    cuts = []
+    monkeypatch.setattr(components, "cut", lambda df, cut=components.cut: cuts.append(1) or cut(df))
+    edges = [(f"a{i:03d}", f"a{i + 1:03d}") for i in range(200)] + [(f"b{i:03d}", f"b{i + 1:03d}") for i in range(200)] + [("a200", "b200")]
+    df = frame("from_table string, from_column string, to_table string, to_column string", [("t", a, "t", b) for a, b in edges])
+    assert {r.entity for r in propose.entity_groups(df).collect()} == {"t.a000"}
+    assert len(cuts) <= 20
+
+
+def test_entities_in_the_contracts_shape(frame):
+    edges = frame(
+        "from_table string, from_column string, to_table string, to_column string, evidence string, confidence string",
+        [("orders", "o_custkey", "customer", "c_custkey", "all values", "high"), ("events", "user_id", "customer", "c_custkey", "some", "medium")])
+    got = propose.entities(edges).first()
+    assert (got.name, got.display_name, got.confidence, got.evidence) == ("cust", "Cust", "high", ["all values", "some"])
+    assert [(c.table, c.column) for c in got.source_columns] == [("customer", "c_custkey"), ("events", "user_id"), ("orders", "o_custkey")]
+
+
+def test_measures_quote_names(frame):
+    df = frame("`net amount` double, plain double", [(1.0, 2.0), (1.0, 2.0)])
+    names = {r.sql_expression for r in propose.measures(profile.profile({"t": df})).collect()}
+    assert {"SUM(`net amount`)", "SUM(plain)"} <= names

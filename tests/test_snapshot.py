@@ -49,6 +49,23 @@ def test_equivalence(spark, label, a, a_keys, b, b_keys, equal):
     assert snapshot.are_equivalent(left, right, "db", "other") is False
 
 
+def test_dots_bars_and_nulls_stay_apart(spark):
+    def one(db, schema, table, name, native):
+        return spark.createDataFrame([(db, schema, table, name, "integer", native, False, 1, None)], COLUMNS_DDL)
+
+    rows = [one("d", "a.b", "c", "x", "int"), one("d", "a", "b.c", "x", "int"), one("d", "a", "b|c", "x", "int"),
+            one("d", "a", "b", "c|x", "int"), one("d", "a", "b", "x", None), one("d", None, "b", "x", "int"), one(None, "d", "b", "x", "int")]
+    assert len({mark(snapshot.signatures(df, None, [])) for df in rows}) == len(rows)
+
+
+def test_definitions_of_one_name_get_ids_of_their_own(spark):
+    ddl = ("name string, display_name string, description string, rationale string, evidence array<string>, confidence string, "
+           "proposed_at timestamp_ntz, prompt_version string, model string, source_snapshot_id string, scope_id string, source_columns array<struct<table:string,column:string>>")
+    base = ("n", "N", "d", "r", [], "high", None, "v", None, "s", None)
+    rows = [(*base, [("t", "a")]), (*base, [("t", "b")]), (*base, [("t.a", "b")]), (*base, [("t", "a.b")])]
+    assert store.definition_rows(spark.createDataFrame(rows, ddl)).select("id").distinct().count() == 4
+
+
 def test_diff_names_every_change(spark):
     old = [col("id"), col("gone", 2), col("typed", 3), col("loose", 4), col("moved", 5), col("keyed", 6), col("x", table="dropped")]
     new = [col("id"), col("typed", 3, "string", "text"), col("loose", 4, nullable=True), col("moved", 7), col("keyed", 6),

@@ -27,6 +27,12 @@ def flag(severity: str | Column, title: str, table: str | Column, column: str |
     ]
 
 
+def flags_of(df: DataFrame, condition: str, severity: str, title: str, table: str | Column, column: str | Column | None,
+             evidence: str, measured: str, threshold: float | None) -> DataFrame:
+    """Rows of any check as flags: those that fulfil the condition, with evidence and measured value as SQL."""
+    return df.where(condition).select(*flag(severity, title, table, column, F.expr(evidence), F.expr(measured), threshold))
+
+
 def null_rates(profiles: DataFrame, threshold: float) -> DataFrame:
     rate = F.try_divide(F.col("n_nulls"), F.col("n_rows"))
     evidence = F.concat(F.col("n_nulls").cast("string"), F.lit(" of "), F.col("n_rows").cast("string"), F.lit(" rows are NULL"))

@@ -10,7 +10,7 @@ from assayer.functions.dates import quarter_label
 from assayer.operators import profile, quality, reconcile
 from assayer.operators.relations import orphans
 from assayer.plans import propose
-from assayer.plans.bindings.base import TABLES, load, query, union_sql
+from assayer.plans.bindings.base import ORACLE, QUERIES, TABLES, load, query, union_sql
 from assayer.plans.bindings.profiles import NET, net_by_order
 
 LABELLED_SQL = "(select d.lang, d.source, l.quality, l.toxic from documents d left join labels l on l.doc_id = d.doc_id)"
@@ -338,29 +338,50 @@ def systems(spark, sf_dir):
     return wide.withColumns({c: F.col(c).cast("double") for c in ("sales", "billing", "usage", "spread")})
 
 
-@query("prp_6", f"""select severity, title, table_name, column_name, evidence, measured, threshold from ({null_flags_sql(0.1)})
-union all select 'warning', 'Formula violated', 'lineitem', 'l_shipdate', n || ' lines shipped before their order', round(n / total, 6), 0.0
-  from (select count(*) filter (where l_shipdate < o_orderdate) as n, count(*) as total from lineitem join orders on l_orderkey = o_orderkey) where n > 0
-union all select 'warning', 'Values outside the code table', 'orders', 'o_orderstatus', o_orderstatus || ' on ' || count(*) || ' rows', cast(count(*) as double), 0.0
-  from orders where o_orderstatus not in (select l_linestatus from lineitem) group by o_orderstatus
-union all select 'warning', 'Orphaned rows', 'documents', 'doc_id', n || ' rows without a label', round(n / total, 6), 0.0
-  from (select count(*) filter (where l.doc_id is null) as n, count(*) as total from documents d left join labels l on l.doc_id = d.doc_id) where n > 0""")
-def flags(spark, sf_dir):
+# one row per check: query, condition, severity, title, table, column, evidence, measured value, threshold; all but the first two as SQL
+FLAGS = [
+    ("dq_2", "true", "warning", "Several spellings of a name", "cast(null as string)", "cast(null as string)",
+     "canonical || ': ' || n_spellings || ' spellings on ' || n_rows || ' rows'", "n_spellings", 1.0),
+    ("dq_3", "true", "warning", "Several spellings of a code", "'orders'", "'o_orderstatus'",
+     "code || ': ' || n_spellings || ' spellings on ' || n_rows || ' rows'", "n_spellings", 1.0),
+    ("dq_4", "n_violations > 0", "warning", "Formula violated", "table_name", "cast(null as string)",
+     "n_violations || ' of ' || n_rows || ' rows'", "violation_rate", 0.0),
+    ("dq_5", "n_outliers > 0", "info", "Outliers", "table_name", "column_name",
+     "n_outliers || ' of ' || n_rows || ' values lie beyond the fences'", "n_outliers", 0.0),
+    ("dq_7", "before_cutoff or single_year", "info", "Data ends early", "table_name", "column_name",
+     "oldest || ' to ' || newest", "days_behind", 0.0),
+    ("dq_8", "nonzero_rate < 0.95", "info", "Adjustments are rarely used", "'lineitem'", "column_name",
+     "n_nonzero || ' of ' || n_rows || ' values are not zero'", "nonzero_rate", 0.95),
+    ("dq_9", "true", "warning", "One name, different meanings", "cast(null as string)", "base_name",
+     "n_tables || ' tables, ' || n_types || ' types'", "n_types", 1.0),
+    ("set_6", "true", "warning", "Values outside the code table", "'orders'", "'o_orderstatus'",
+     "value || ' on ' || n_rows || ' rows'", "n_rows", 0.0),
+    ("jsn_3", "json_share > 0", "info", "Text holds JSON", "table_name", "column_name",
+     "n_json || ' of ' || n_rows || ' values'", "json_share", 0.0),
+    ("rec_3", "true", "warning", "Credit without a document", "'lineitem'", "'l_orderkey'",
+     "'line ' || l_linenumber || ' of ' || l_orderkey || ', part ' || l_partkey", "amount", 0.0),
+]
+
+
+def flags_sql() -> str:
+    parts = [
+        f"select '{severity}' as severity, '{title}' as title, {table.replace('string', 'varchar')} as table_name, {column.replace('string', 'varchar')} as column_name, "
+        f"{evidence} as evidence, cast({measured} as double) as measured, cast({threshold} as double) as threshold from ({ORACLE[name]}) where {condition}"
+        for name, condition, severity, title, table, column, evidence, measured, threshold in FLAGS
+    ]
+    parts += [f"select severity, title, table_name, column_name, evidence, measured, threshold from ({sql})" for sql in (null_flags_sql(0.1), ORACLE["dq_6"])]
+    return union_sql(parts + ["""select 'warning', 'Orphaned rows', 'documents', 'doc_id', n || ' rows without a label', round(n / total, 6), 0.0
+  from (select count(*) filter (where l.doc_id is null) as n, count(*) as total from documents d left join labels l on l.doc_id = d.doc_id) where n > 0"""])
 
 
-    dated = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate").join(
-        load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")
-    )
-    broken = quality.rule_violations(dated, "l_shipdate >= o_orderdate").where("n_violations > 0").select(*quality.flag(
-        "warning", "Formula violated", "lineitem", "l_shipdate",
-        F.concat(F.col("n_violations").cast("string"), F.lit(" lines shipped before their order")), F.col("violation_rate"), 0.0,
-    ))
-    foreign = domain(spark, sf_dir).select(*quality.flag(
-        "warning", "Values outside the code table", "orders", "o_orderstatus",
-        F.concat("value", F.lit(" on "), F.col("n_rows").cast("string"), F.lit(" rows")), F.col("n_rows"), 0.0,
-    ))
-    lost = orphans(load(spark, sf_dir, "documents"), "doc_id", load(spark, sf_dir, "labels"), "doc_id").where("n_orphan_rows > 0").select(
-        *quality.flag("warning", "Orphaned rows", "documents", "doc_id",
-                      F.concat(F.col("n_orphan_rows").cast("string"), F.lit(" rows without a label")), F.col("orphan_ratio"), 0.0)
-    )
-    return propose.quality_flags(null_flags(spark, sf_dir), broken, foreign, lost)
+@query("prp_6", flags_sql())
+def flags(spark, sf_dir):
+    """The union of all checks in one shape."""
+    parts = [
+        quality.flags_of(QUERIES[name](spark, sf_dir), condition, severity, title, F.expr(table), F.expr(column), evidence, measured, threshold)
+        for name, condition, severity, title, table, column, evidence, measured, threshold in FLAGS
+    ]
+    lost = quality.flags_of(
+        orphans(load(spark, sf_dir, "documents"), "doc_id", load(spark, sf_dir, "labels"), "doc_id"), "n_orphan_rows > 0",
+        "warning", "Orphaned rows", "documents", "doc_id", "n_orphan_rows || ' rows without a label'", "orphan_ratio", 0.0)
+    return propose.quality_flags(null_flags(spark, sf_dir), dead_tables(spark, sf_dir), lost, *parts)

@@ -91,6 +91,18 @@ ORACLE: dict[str, str] = {
           from q join v on vec_id <> query_id),
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as place from s)
         select query_id, cast(place as int) as rank, vec_id, cast(score as bigint) as score from r where place <= 5""",
+    "op6_substring_dedup": """
+        with w as (
+          select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') as words from documents),
+        g as (
+          select doc_id, i, array_to_string(words[i:i + 12], ' ') as gram
+          from (select doc_id, words, unnest(generate_series(1, len(words) - 12)) as i from w)),
+        f as (select gram, min(doc_id) as first_doc from g group by gram),
+        h as (select g.doc_id, i from g join f on f.gram = g.gram where first_doc < g.doc_id),
+        c as (select doc_id, list(distinct i + k) as gone from h, generate_series(0, 12) as s(k) group by doc_id)
+        select w.doc_id, len(words) as n_words, coalesce(len(gone), 0) as n_removed,
+               sha256(coalesce(array_to_string(list_filter(words, lambda x, n: gone is null or not list_contains(gone, n)), ' '), '')) as kept_sha256
+        from w left join c on c.doc_id = w.doc_id""",
     "op10_exact_dedup": """
         with t as (
           select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as body

@@ -17,15 +17,17 @@ def components(edges: DataFrame) -> DataFrame:
     loops = edges.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
     edges = cut(edges.select("a", "b").where("a <> b").distinct())
     roots = None
-    while not edges.isEmpty():
+    while edges.count():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("root")))
         while True:
+            # two jumps at a time; the second tells whether any is left
             further = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            jumped = cut(up.join(further, "root").select(
+            once = up.join(further, "root").select("node", F.col("next").alias("root"))
+            jumped = cut(once.join(further, "root").select(
                 "node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
             up = jumped.drop("moved")
-            if jumped.where("moved").isEmpty():
+            if not jumped.agg(F.bool_or("moved")).first()[0]:
                 break
         if roots is None:
             roots = up

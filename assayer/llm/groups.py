@@ -11,15 +11,16 @@ def salt_of(*columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
 
 
-def salted_totals(rows: DataFrame, keys: list[str], least: Column, salt: str = "_salt") -> DataFrame:
-    """Per group: `hub` (the least value of `least`), `n` (rows), and `_mask` (the salts that occur).
+def salted_totals(rows: DataFrame, keys: list[str], least: list[Column], salt: str = "_salt") -> DataFrame:
+    """Per group: `hubs` (the least value of each of `least`), `n` (rows), and `_mask` (the salts that occur).
 
     Grouped by salt first, so a hot key is combined in parts.
     """
-    parts = rows.groupBy(*keys, salt).agg(F.min(least).alias("_hub"), F.count(F.lit(1)).alias("_n"))
+    parts = rows.groupBy(*keys, salt).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(f"_hub{i}") for i, c in enumerate(least)])
     return parts.groupBy(*keys).agg(
-        F.min("_hub").alias("hub"), F.sum("_n").alias("n"),
-        F.bit_or(F.expr(f"shiftleft(1L, {salt})")).alias("_mask"))
+        F.sum("_n").alias("n"), F.bit_or(F.expr(f"shiftleft(1L, {salt})")).alias("_mask"),
+        F.array(*[F.min(f"_hub{i}") for i in range(len(least))]).alias("hubs"))
 
 
 def by_salt(totals: DataFrame, salt: str = "_salt") -> DataFrame:

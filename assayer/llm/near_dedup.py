@@ -9,9 +9,8 @@ their weighted Jaccard similarity.
 
 Texts with equal shingle sets are one vertex. Signatures are joined by bands. Within a band's bucket the members are
 compared with a few hubs, not with one another; texts whose similarity, computed exactly on the shingles, is at least
-the threshold are linked. Buckets whose members are not yet in one class get another hub as long as that finds links.
-What is then left is compared pair by pair, across classes only, so no candidate is lost. Classes are the connected
-components.
+the threshold are linked. Buckets whose members are not yet in one class get more hubs, in a few turns. What is then
+left is compared pair by pair, across classes only, so no candidate is lost. Classes are the connected components.
 """
 
 from __future__ import annotations
@@ -37,7 +36,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 # 25 bands of 5: a pair at the threshold shares a band with probability 1 - (1 - 0.8^5)^25 > 0.9999
 BANDS, ROWS = 25, 5
-HUBS = 4  # different hubs over the bands of a text
+HUBS = (1, 4, 16)  # hubs of a bucket, turn by turn; members of one class meet no further ones
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -188,7 +187,7 @@ def classes(
     found = cut(signatures(known, "text", "doc_id", shingle, bands, rows, weighted)).withColumn("_salt", salt_of("doc_id"))
 
     # texts with equal sets are one vertex, known by the least of their numbers
-    sets = cut(salted_totals(found, ["digest"], F.col("doc_id")).withColumnRenamed("hub", "vertex"))
+    sets = cut(salted_totals(found, ["digest"], [F.col("doc_id")]).withColumn("vertex", F.col("hubs")[0]).drop("hubs"))
     vertices = found.join(sets.select("digest", F.col("vertex").alias("doc_id")), ["digest", "doc_id"]).select(
         "doc_id", "n_cells", "bands").dropDuplicates(["doc_id"])
 
@@ -199,19 +198,18 @@ def classes(
     cell_sets = cut(cell_table(known.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]),
                                "text", "doc_id", shingle, weighted))
 
-    tried, links, roots, turn = None, None, None, 0
-    while True:
-        pairs = _pairs_with_hubs(members, roots, turn, similarity)
+    tried, links, roots = None, None, None
+    for turn, hubs in enumerate(HUBS):
+        pairs = _pairs_with_hubs(members, roots, turn, hubs, similarity)
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else cut(tried.union(pairs))
+        tried = pairs if tried is None else tried.union(pairs)
         new = cut(linked(pairs, cell_sets, similarity))
-        links = new if links is None else cut(links.union(new))
-        if turn and new.isEmpty():
-            break
-        roots, turn = components(links), turn + 1
+        links = new if links is None else links.union(new)
+        if new.count() or roots is None:
+            roots = components(links)
     rest = cut(_pairs_across(members, roots, similarity).join(tried, ["a", "b"], "left_anti"))
     new = cut(linked(rest, cell_sets, similarity))
-    if not new.isEmpty():
+    if new.count():
         roots = components(links.union(new))
 
     vertex_class = sets.join(roots.toDF("vertex", "class_id"), "vertex", "left").select(
@@ -224,7 +222,7 @@ def classes(
 
 def _members(keys: DataFrame) -> DataFrame:
     """The rows of buckets that hold more than one text."""
-    shared = salted_totals(keys, ["band", "key"], F.col("doc_id")).where("n > 1").drop("hub", "n")
+    shared = salted_totals(keys, ["band", "key"], []).where("n > 1").drop("hubs", "n")
     return cut(keys.join(by_salt(shared), ["band", "key", "_salt"]))
 
 
@@ -250,13 +248,13 @@ def _open_members(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     return cut(placed.join(by_salt(several), ["band", "key", "_salt"]))
 
 
-def _pairs_with_hubs(members: DataFrame, roots: DataFrame | None, turn: int, similarity: float) -> DataFrame:
-    """Every member of an open bucket with the bucket's hub of this turn."""
+def _pairs_with_hubs(members: DataFrame, roots: DataFrame | None, turn: int, n_hubs: int, similarity: float) -> DataFrame:
+    """Every member of an open bucket with the bucket's hubs of this turn."""
     rows = _open_members(members, roots)
-    # the least hash is the hub; bands differ in the hash, so a large group has several hubs at once
-    order = F.xxhash64("doc_id", F.lit(turn), F.col("band") % HUBS)
-    hub = F.struct(order.alias("h"), F.col("doc_id").alias("id"), F.col("n_cells").alias("size"), F.col("root").alias("root"))
-    hubs = by_salt(salted_totals(rows, ["band", "key"], hub).drop("n"))
+    # a hub has the least of a hash; bands differ in the hash, too, so a large group has several hubs from the start
+    place = [F.col("doc_id").alias("id"), F.col("n_cells").alias("size"), F.col("root").alias("root")]
+    least = [F.struct(F.xxhash64("doc_id", F.lit(turn), F.lit(i), F.col("band") % 4).alias("h"), *place) for i in range(n_hubs)]
+    hubs = by_salt(salted_totals(rows, ["band", "key"], least).drop("n")).withColumn("hub", F.explode("hubs"))
     met = rows.join(hubs, ["band", "key", "_salt"]).where(
         (F.col("doc_id") != F.col("hub.id")) & (F.col("root") != F.col("hub.root"))
         & _close_in_size("n_cells", "hub.size", similarity))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from assayer.llm.ngrams import Words, ngram_hashes, text_slices
+from assayer.llm.ngrams import Words, mix, ngram_hashes, text_slices
 from assayer.session import cut
 
 # Worker code travels with the query, so workers need not have this package installed.
@@ -35,6 +35,7 @@ SLICE_BYTES = 8 << 20
 SHARD_BYTES = 16 << 20  # text per shard of hashes
 
 PACKED = "shard int, docs binary, first binary, a binary, b binary, c binary, a2 binary, c2 binary, out_docs binary, out binary"
+SPREAD = "bucket int, docs binary, places binary"
 FOUND = "doc_id bigint, places binary"
 
 
@@ -65,6 +66,24 @@ def by_document(docs: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, byt
         yield int(docs[a]), places[a:b].astype("<u4").tobytes()
 
 
+def spread(docs: np.ndarray, places: np.ndarray, buckets: int) -> pd.DataFrame:
+    """Places with their documents, one row per bucket of documents, so that rows do not grow as shards times documents."""
+    bucket = (mix(docs.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    used, at = np.unique(bucket[order], return_index=True)
+    parts = [order[a:b] for a, b in zip(at, [*at[1:], len(order)])]
+    return pd.DataFrame({
+        "bucket": used, "docs": [docs[p].astype(np.int64).tobytes() for p in parts],
+        "places": [places[p].astype(np.uint32).tobytes() for p in parts]})
+
+
+def gathered(frame: pd.DataFrame) -> pd.DataFrame:
+    """One row per document of a bucket, with all its places."""
+    docs = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in frame["docs"]])
+    places = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in frame["places"]])
+    return pd.DataFrame(list(by_document(docs, places)), columns=["doc_id", "places"])
+
+
 def least_per_key(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, and the least value of each."""
     if not len(keys):
@@ -143,7 +162,7 @@ def anchor_lists(ids: np.ndarray, texts: list[str | None], block: int, shards: i
             out_docs=doc[out], out=(place[out] // SEGMENT).astype(np.uint32))
 
 
-def anchor_hits(frame: pd.DataFrame) -> pd.DataFrame:
+def anchor_hits(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """Segments of a shard that hold a hit, on either side of it."""
     parts: dict[str, list[np.ndarray]] = {k: [] for k in ("bh", "bd", "bs", "ph", "pd", "ps", "od", "os")}
     for row in frame.itertuples(index=False):
@@ -164,12 +183,12 @@ def anchor_hits(frame: pd.DataFrame) -> pd.DataFrame:
     block_hit = -look_up(bh, keys, highest, HIGHEST) > bd
     docs = np.concatenate([pd_[probe_hit], bd[block_hit], od])
     places = np.concatenate([ps[probe_hit], bs[block_hit], os_])
-    return pd.DataFrame(list(by_document(docs, places)), columns=["doc_id", "places"])
+    return spread(docs, places, buckets)
 
 
 # ---- second step: windows around hits ----
 
-def window_lists(ids: np.ndarray, texts: list[str | None], segments: list[list[bytes]], window: int, shards: int) -> Iterator[dict]:
+def window_lists(ids: np.ndarray, texts: list[str | None], segments: list[bytes], window: int, shards: int) -> Iterator[dict]:
     """The slice's windows near hits by shard; `out`: windows that a smaller document of the slice repeats.
 
     a: 64 bits of hash; b: 32 more; c: place; a2: index of the document.
@@ -182,10 +201,9 @@ def window_lists(ids: np.ndarray, texts: list[str | None], segments: list[list[b
     per_text = words.counts // SEGMENT + 2
     first = np.cumsum(per_text) - per_text
     marked = np.zeros(per_text.sum(), dtype=bool)
-    for i, lists in enumerate(segments):
-        for packed in lists:
-            at = np.frombuffer(packed, dtype="<u4").astype(np.int64)
-            marked[first[i] + at[at < per_text[i]]] = True
+    for i, packed in enumerate(segments):
+        at = np.frombuffer(packed, dtype="<u4").astype(np.int64)
+        marked[first[i] + at[at < per_text[i]]] = True
     # the hit lies within the first words of the window
     reach = (window + 1) // 2 - 1
     near = marked[first[text] + place // SEGMENT] | marked[first[text] + (place + reach) // SEGMENT]
@@ -216,8 +234,8 @@ def window_lists(ids: np.ndarray, texts: list[str | None], segments: list[list[b
             out_docs=doc[sent], out=place[sent].astype(np.uint32))
 
 
-def repeated_windows(frame: pd.DataFrame) -> pd.DataFrame:
-    """Windows of a shard that a smaller document holds as well, by document."""
+def repeated_windows(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """Windows of a shard that a smaller document holds as well."""
     parts: dict[str, list[np.ndarray]] = {k: [] for k in ("h", "m", "d", "p", "od", "op")}
     for row in frame.itertuples(index=False):
         docs = np.frombuffer(row.docs, dtype=np.int64)
@@ -232,8 +250,7 @@ def repeated_windows(frame: pd.DataFrame) -> pd.DataFrame:
     h, m, d, p = h[order], m[order], d[order], p[order]
     edge = np.append(True, (h[1:] != h[:-1]) | (m[1:] != m[:-1])) if len(h) else np.zeros(0, dtype=bool)
     repeats = d > d[edge][np.cumsum(edge) - 1] if len(h) else edge
-    found = by_document(np.concatenate([d[repeats], od]), np.concatenate([p[repeats], op]))
-    return pd.DataFrame(list(found), columns=["doc_id", "places"])
+    return spread(np.concatenate([d[repeats], od]), np.concatenate([p[repeats], op]), buckets)
 
 
 # ---- the operator ----
@@ -254,7 +271,7 @@ def _packed(rows: DataFrame, make, columns: list[str]) -> DataFrame:
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and `places`: lists of the first words of its windows that a document with a smaller number holds as well."""
+    """doc_id and `places`: packed numbers of the first words of its windows that a document with a smaller number holds as well."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(
         F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -266,11 +283,17 @@ def repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: s
     def windows(ids, texts, segments):
         return window_lists(ids, texts, segments, window, shards)
 
-    found = _packed(rows, blocks, []).groupBy("shard").applyInPandas(anchor_hits, FOUND)
-    hits = cut(found.groupBy("doc_id").agg(F.collect_list("places").alias("segments")))
+    def hits_of(frame):
+        return anchor_hits(frame, shards)
+
+    def repeats_of(frame):
+        return repeated_windows(frame, shards)
+
+    found = _packed(rows, blocks, []).groupBy("shard").applyInPandas(hits_of, SPREAD)
+    hits = cut(found.groupBy("bucket").applyInPandas(gathered, FOUND)).withColumnRenamed("places", "segments")
     near = _packed(rows.join(hits, "doc_id"), windows, ["segments"])
-    same = near.groupBy("shard").applyInPandas(repeated_windows, FOUND)
-    return cut(same.groupBy("doc_id").agg(F.collect_list("places").alias("places")))
+    same = near.groupBy("shard").applyInPandas(repeats_of, SPREAD)
+    return cut(same.groupBy("bucket").applyInPandas(gathered, FOUND))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -288,13 +311,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", do
         for batch in batches:
             for part in text_slices(batch, "text"):
                 n_words, n_removed, kept = [], [], []
-                for body, lists in zip(part.column("text").to_pylist(), part.column("places").to_pylist()):
+                for body, starts in zip(part.column("text").to_pylist(), part.column("places").to_pylist()):
                     words = (body or "").encode("utf-8", "surrogatepass").split()
                     n_words.append(len(words))
-                    if lists:
+                    if starts:
                         # +1 where a window starts, -1 behind its end: covered where the sum is positive
                         change = np.zeros(len(words) + window + 1, dtype=np.int64)
-                        at = np.unique(np.concatenate([np.frombuffer(x, dtype="<u4") for x in lists])).astype(np.int64)
+                        at = np.frombuffer(starts, dtype="<u4").astype(np.int64)
                         at = at[at + window <= len(words)]
                         change[at] += 1
                         change[at + window] -= 1

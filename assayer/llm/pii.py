@@ -69,7 +69,7 @@ def pieces(text: Column, pattern: str, hint: str) -> Column:
     """Every match of a pattern with its length, the number of characters since the last one, and what stands beside it."""
     # what stands between the matches, and the matches, give every place
     gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    beside = F.zip_with(gaps, F.slice(gaps, F.lit(2), F.lit(2**31 - 1)), lambda g, h: F.struct(g.alias("g"), h.alias("h")))
+    beside = F.zip_with(gaps, F.slice(gaps, F.lit(2), F.lit(1 << 30)), lambda g, h: F.struct(g.alias("g"), h.alias("h")))
     # one more gap than matches; the last pair has no match
     pairs = F.zip_with(beside, matches, lambda z, v: F.struct(
         F.length(z["g"]).alias("skip"), F.length(v).alias("size"), v.alias("value"),

@@ -32,8 +32,7 @@ from assayer.session import cut
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LABELLED = 20_000  # most findings of either label, on average, that the forest is trained on
-DICTIONARY_DOCS = 2_000  # documents, on average, that the dictionary is drawn from
-DICTIONARY = 5_000  # words of the dictionary
+DICTIONARY_SHARE = 2_000  # a word of the dictionary occurs in one of so many documents at least
 TREES, DEPTH, SEED = 30, 8, 8
 THRESHOLD = 0.5
 AROUND = 60  # characters of context on either side
@@ -98,12 +97,13 @@ def rule_label(features: dict[str, float]) -> int | None:
 
 
 def dictionary_of(docs: DataFrame) -> list[str]:
-    """Frequent words of a bounded sample of documents."""
-    n = docs.count()
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    sample = docs if n <= DICTIONARY_DOCS else docs.where(part < int(DICTIONARY_DOCS / n * 1_000_000))
-    words = sample.select(F.explode(F.expr(r"array_distinct(regexp_extract_all(lower(text), '(?<![a-z])[a-z]{3,12}(?![a-z])', 0))")).alias("word"))
-    often = words.groupBy("word").count().orderBy(F.col("count").desc(), "word").limit(DICTIONARY)
+    """Words that one of DICTIONARY_SHARE documents holds at least, counted over all documents.
+
+    Their number is bounded by the distinct words of an average document times DICTIONARY_SHARE, whatever the table's
+    size. Letters beside a digit are no word, or else the pieces of a secret would be its own dictionary in a small table.
+    """
+    words = docs.select(F.explode(F.expr(r"array_distinct(regexp_extract_all(lower(text), '(?<![a-z0-9])[a-z]{3,12}(?![a-z0-9])', 0))")).alias("word"))
+    often = words.groupBy("word").count().where(F.col("count") * DICTIONARY_SHARE >= docs.count())
     return [r["word"] for r in often.collect()]
 
 

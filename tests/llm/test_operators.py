@@ -321,6 +321,21 @@ def test_secret_scan(spark):
     assert all(r.is_secret == int(r.doc_id < 60) for r in learnt)
 
 
+def test_secret_dictionary_counts_all_documents(spark):
+    random.seed(80)
+    word = lambda: "".join(random.choice("bcdfghjklm") + random.choice("aeiou") for _ in range(4))
+    common = sorted({word() for _ in range(6000)})
+    rows = [(i, " ".join(common[(i * 40 + k) % len(common)] for k in range(40)) if i % 500 else "zwinqua throxel") for i in range(5000)]
+    rows += [(5000, 'password = "zwinquathroxel42"'), (5001, 'token = "q7zwxpk9vbnrt5hgfd3"')]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    words = secret_scan.dictionary_of(df)
+    assert len(common) > 5000 and set(words) == {*common, "zwinqua", "throxel"} and len(words) == len(set(words))
+    scored = {r.doc_id: r for r in secret_scan.scan(df.withColumn("source", F.lit("src"))).collect()}
+    assert scored[5000].is_secret == 0 and scored[5001].is_secret == 1
+    few = secret_scan.dictionary_of(df.where("doc_id >= 5000"))
+    assert set(few) == {"password", "token"}
+
+
 # ---- op9 ----
 
 def shingles(text, n=5):

@@ -38,10 +38,11 @@ THRESHOLD = 0.5
 AROUND = 60  # characters of context on either side
 
 NAMES = r"(?:[A-Za-z0-9]+[_.-])*(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|credential|bearer)s?(?:[_.-][A-Za-z0-9]+)*"
+# Values have no upper length; possessive repeats give nothing back, so a long value is read once.
 CANDIDATE = re.compile(
-    rf"""(?P<assigned>(?<![A-Za-z0-9_.-]){NAMES}["']?\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}["']?(?P<value>[A-Za-z0-9+/_=.~!@#$%^&*-]{{8,512}}))"""
-    r"|(?P<known>(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,72}|sk_live_[A-Za-z0-9]{16,64}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,512}\.[A-Za-z0-9_-]{8,512}\.[A-Za-z0-9_-]{8,512})(?![A-Za-z0-9]))"
-    r"|(?P<run>(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])[A-Za-z0-9+/_=-]{16,512}(?![A-Za-z0-9+/_=-]))",
+    rf"""(?P<assigned>(?<![A-Za-z0-9_.-]){NAMES}["']?\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}["']?(?P<value>[A-Za-z0-9+/_=.~!@#$%^&*-]{{8,}}+))"""
+    r"|(?P<known>(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,72}|sk_live_[A-Za-z0-9]{16,64}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)(?![A-Za-z0-9]))"
+    r"|(?P<run>(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+)",
     re.IGNORECASE,
 )
 SECRET_WORD = re.compile(r"(?i)\b(?:token|secret|passw|pwd|key|auth|credential|bearer|login)")

@@ -336,6 +336,21 @@ def test_secret_dictionary_counts_all_documents(spark):
     assert set(few) == {"password", "token"}
 
 
+def test_secret_scan_of_long_values(spark):
+    random.seed(81)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    long = lambda n, more="": "".join(random.choice(letters + "0123456789" + more) for _ in range(n))
+    values = [
+        ("assigned", long(1600, "+/")), ("known", f"eyJ{long(40)}.{long(3000, '_-')}.{long(683, '_-')}"), ("run", long(1600, "+/")),
+        ("run", "".join(random.choice(letters) for _ in range(100)) + "7" + long(20)), ("known", f"eyJ{long(30)}.{long(60)}.{long(43)}"),
+        ("assigned", long(512)), ("assigned", long(513)), ("run", long(513)), ("run", long(200_000)),
+    ]
+    rows = [(i, f"before it PRIVATE_KEY={v} and behind" if kind == "assigned" else f"before it {v} and behind", "src") for i, (kind, v) in enumerate(values)]
+    got = secret_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert sorted((r.doc_id, r.kind, r.value_sha256) for r in got) == [(i, kind, sha(v)) for i, (kind, v) in enumerate(values)]
+    assert all(rows[r.doc_id][1][r.start : r.end] == values[r.doc_id][1] for r in got)
+
+
 # ---- op9 ----
 
 def shingles(text, n=5):

@@ -7,6 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 SALTS = 64  # one bit each of a 64-bit mask
 
 
+def text_key(text: Column) -> Column:
+    """Tells rows of one doc_id with different texts apart; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def salt_of(*columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
 

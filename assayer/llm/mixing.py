@@ -126,6 +126,11 @@ def mix(
     `size` counts words (null: 0). Documents without words have no copies. Null sources are one source, the last;
     repeated rows are rounded on their own. An empty table gives an empty result. Other columns are not read.
     """
+    return _mixed(docs, weights, share, most, text, doc_id, source, block).drop("_row")
+
+
+def _mixed(docs: DataFrame, weights, share: float, most: float, text: str, doc_id: str, source: str, block: int) -> DataFrame:
+    """`mix` with the number of the row among those of its doc_id."""
     rows = measured(docs, text, doc_id, source)
     # sums of (source, salt) first: a hot source is combined in parts, and its documents later meet its parts
     parts = cut(rows.groupBy("source", "_salt").agg(F.sum("size").alias("_size"), F.count(F.lit(1)).alias("_docs")))
@@ -156,7 +161,7 @@ def mix(
     result = prepared.join(more.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_number")), "left")
     copies = F.col("_sure") + F.coalesce(F.col("_more"), F.lit(0))
     return result.select(
-        "doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+        "doc_id", "_row", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
 def _round(open_docs: DataFrame, block: int) -> DataFrame:
@@ -188,9 +193,17 @@ def _round(open_docs: DataFrame, block: int) -> DataFrame:
     return last
 
 
-def take(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as often as the mix takes it, with its own columns."""
+def take(
+    docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_COPIES,
+    text: str = "text", doc_id: str = "doc_id", source: str = "source", block: int = BLOCK,
+) -> DataFrame:
+    """The mix itself: every row as often as the mix takes it, with its own columns."""
     columns = docs.columns
-    picked = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    return docs.join(picked, F.col(options.get("doc_id", "doc_id")).eqNullSafe(F.col("_id"))).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[docs[c] for c in columns])
+    picked = _mixed(docs, weights, share, most, text, doc_id, source, block).where("copies > 0").select(
+        F.col("doc_id").alias("_mix_id"), F.col("_row").alias("_mix_number"), F.col("copies").alias("_mix_copies"))
+    # numbered as in `measured`; rows that agree in source and size may change places there, the text orders them here
+    repeat = F.row_number().over(Window.partitionBy(F.col(f"`{doc_id}`")).orderBy(
+        F.col(f"`{source}`"), word_count(F.col(f"`{text}`")), F.xxhash64(F.col(f"`{text}`"))))
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_row") == F.col("_mix_number"))
+    return docs.withColumn("_mix_row", repeat).join(picked, same).withColumn(
+        "_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in columns])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from assayer.llm.groups import by_salt, salt_of, salted_totals
+from assayer.llm.groups import by_salt, salt_of, salted_totals, text_key
 from assayer.llm.ngrams import Words, mix, ngram_hashes, text_slices
 from assayer.operators.components import components
 from assayer.session import cut
@@ -112,7 +112,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def signatures(
     docs: DataFrame, text: str, doc_id: str, n: int, bands: int, rows: int, weighted: bool
 ) -> DataFrame:
-    """doc_id, n_cells, digest of the shingle set, and one key per band; without texts that have no words."""
+    """doc_id, _key, n_cells, digest of the shingle set, and one key per band; texts without words have no digest and no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,19 +126,19 @@ def signatures(
                     for e, w in zip(ends.tolist(), width.tolist())
                 ]
                 keys = band_keys(dart_signatures(cell, owner, len(part), bands * rows), bands, rows)
+                worded = width > 0
                 lists = pa.ListArray.from_arrays(
-                    pa.array(np.arange(len(part) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))
-                made = pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(width), pa.array(digests, pa.binary()), lists],
-                    names=["doc_id", "n_cells", "digest", "bands"])
-                yield made.filter(pa.array(width > 0))
+                    pa.array(np.append(0, np.cumsum(worded) * bands).astype(np.int32)), pa.array(keys[worded].reshape(-1)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("_key"), pa.array(width), pa.array(digests, pa.binary(), mask=~worded), lists],
+                    names=["doc_id", "_key", "n_cells", "digest", "bands"])
 
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"))
-    return narrow.mapInArrow(run, "doc_id bigint, n_cells bigint, digest binary, bands array<bigint>")
+    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), "_key", F.col(text).alias("_text"))
+    return narrow.mapInArrow(run, "doc_id bigint, _key binary, n_cells bigint, digest binary, bands array<bigint>")
 
 
-def cell_table(docs: DataFrame, text: str, doc_id: str, n: int, weighted: bool) -> DataFrame:
-    """doc_id and its sorted cells, packed."""
+def cell_table(docs: DataFrame, text: str, vertex: str, n: int, weighted: bool) -> DataFrame:
+    """The vertex, as doc_id, and its sorted cells, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +149,7 @@ def cell_table(docs: DataFrame, text: str, doc_id: str, n: int, weighted: bool)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "cells"])
 
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"))
+    narrow = docs.select(F.col(vertex).alias("doc_id"), F.col(text).alias("_text"))
     return narrow.mapInArrow(run, "doc_id bigint, cells binary")
 
 
@@ -179,24 +179,34 @@ def classes(
     """One row per input row: doc_id and class_id, the smallest doc_id among the texts it is linked to, directly or over others.
 
     Texts without words (null, empty, white space) are linked to nothing: their class is their own number. Rows that
-    repeat a number repeat its class if their texts are equal; rows of one number with different texts count as one
-    document for links. Rows without a number keep a null class. An empty table gives an empty result; other columns are not read.
+    repeat a number repeat its class if their texts are equal; rows of one number with different texts are documents of
+    their own. Rows without a number keep a null class. An empty table gives an empty result; other columns are not read.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    known = docs.where("doc_id is not null")
-    found = cut(signatures(known, "text", "doc_id", shingle, bands, rows, weighted)).withColumn("_salt", salt_of("doc_id"))
-
-    # texts with equal sets are one vertex, known by the least of their numbers
-    sets = cut(salted_totals(found, ["digest"], [F.col("doc_id")]).withColumn("vertex", F.col("hubs")[0]).drop("hubs"))
-    vertices = found.join(sets.select("digest", F.col("vertex").alias("doc_id")), ["digest", "doc_id"]).select(
-        "doc_id", "n_cells", "bands").dropDuplicates(["doc_id"])
-
-    keys = vertices.select("doc_id", "n_cells", "_salt" if "_salt" in vertices.columns else salt_of("doc_id").alias("_salt"),
-                           F.posexplode("bands").alias("band", "key"))
+    placed = _placed(docs, similarity, shingle, bands, rows, weighted).select("doc_id", "class_id")
+    unknown = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"))
+    return placed.unionByName(unknown)
+
+
+def _placed(docs: DataFrame, similarity: float, shingle: int, bands: int, rows: int, weighted: bool) -> DataFrame:
+    """doc_id, _key and class_id of every row (doc_id, text) that has a number, and whether it stays for its class."""
+    known = docs.where("doc_id is not null").withColumn("_key", text_key(F.col("text")))
+    every = cut(signatures(known, "text", "doc_id", shingle, bands, rows, weighted)).withColumn("_salt", salt_of("doc_id"))
+    found = every.where("digest is not null")
+
+    # texts with equal sets are one vertex, known by a number of its own: a doc_id may have several texts
+    sets = cut(salted_totals(found, ["digest"], [F.struct("doc_id", "_key")]).select(
+        "digest", F.col("hubs")[0]["doc_id"].alias("doc_id"), F.col("hubs")[0]["_key"].alias("_key"), "_mask",
+        F.monotonically_increasing_id().alias("vertex")))
+    first = ["digest", "doc_id", "_key"]  # the row that stands for the vertex
+    vertices = found.drop("_salt").join(sets.select(*first, "vertex"), first).dropDuplicates(first).select(
+        F.col("vertex").alias("doc_id"), "n_cells", "bands")
+
+    keys = vertices.select("doc_id", "n_cells", salt_of("doc_id").alias("_salt"), F.posexplode("bands").alias("band", "key"))
     members = _members(keys)
-    involved = members.select("doc_id").distinct()
-    cell_sets = cut(cell_table(known.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]),
-                               "text", "doc_id", shingle, weighted))
+    involved = sets.join(members.select(F.col("doc_id").alias("vertex")).distinct(), "vertex").select("doc_id", "_key", "vertex")
+    texts = known.join(involved, ["doc_id", "_key"]).dropDuplicates(["doc_id", "_key"])
+    cell_sets = cut(cell_table(texts, "text", "vertex", shingle, weighted))
 
     tried, links, roots = None, None, None
     for turn, hubs in enumerate(HUBS):
@@ -212,12 +222,16 @@ def classes(
     if new.count():
         roots = components(links.union(new))
 
-    vertex_class = sets.join(roots.toDF("vertex", "class_id"), "vertex", "left").select(
-        "digest", F.coalesce("class_id", "vertex").alias("class_id"), "_mask")
-    member_class = found.select("doc_id", "digest", "_salt").join(by_salt(vertex_class), ["digest", "_salt"]).groupBy(
-        "doc_id").agg(F.min("class_id").alias("class_id"))
-    return docs.select("doc_id").join(member_class, "doc_id", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    # a class may hold most of the vertices, so it, too, is combined and met by salt
+    rooted = sets.join(roots.toDF("vertex", "root"), "vertex", "left").select(
+        "digest", "doc_id", "_key", "_mask", F.coalesce("root", "vertex").alias("root"), salt_of("vertex").alias("_part"))
+    keepers = salted_totals(rooted, ["root"], [F.struct("doc_id", "_key")], "_part").select("root", "_mask", F.col("hubs")[0].alias("keeper"))
+    vertex_class = cut(rooted.join(by_salt(keepers, "_part"), ["root", "_part"]).select("digest", "_mask", "keeper"))
+    placed = found.select("doc_id", "_key", "digest", "_salt").join(by_salt(vertex_class), ["digest", "_salt"]).select(
+        "doc_id", "_key", F.col("keeper.doc_id").alias("class_id"),
+        ((F.col("doc_id") == F.col("keeper.doc_id")) & (F.col("_key") == F.col("keeper._key"))).alias("stays"))
+    return placed.unionByName(every.where("digest is null").select(
+        "doc_id", "_key", F.col("doc_id").alias("class_id"), F.lit(True).alias("stays")))
 
 
 def _members(keys: DataFrame) -> DataFrame:
@@ -270,10 +284,19 @@ def _pairs_across(members: DataFrame, roots: DataFrame, similarity: float) -> Da
     ).select(*_ordered("doc_id", "_id")).distinct()
 
 
-def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class, the one with the smallest number; all its columns. Rows without a number all stay."""
-    doc_id, columns = options.get("doc_id", "doc_id"), docs.columns
+def drop_near_copies(
+    docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS,
+    weighted: bool = False, text: str = "text", doc_id: str = "doc_id",
+) -> DataFrame:
+    """One document of each class, the one with the smallest number; all its columns. Rows without a number all stay.
+
+    Of texts that share this number the one with the smallest digest stays; rows that repeat number and text stay together.
+    """
+    columns = docs.columns
     if len(set(columns)) < len(columns):
         raise ValueError("column names repeat")
-    others = classes(docs, **options).where("class_id <> doc_id").select(F.col("doc_id").alias("_other")).distinct()
-    return docs.join(others, F.col(f"`{doc_id}`") == F.col("_other"), "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    others = _placed(narrow, similarity, shingle, bands, rows, weighted).where("not stays").select(
+        F.col("doc_id").alias("_other"), F.col("_key").alias("_other_key")).distinct()
+    same = (F.col(f"`{doc_id}`") == F.col("_other")) & (text_key(F.col(f"`{text}`")) == F.col("_other_key"))
+    return docs.join(others, same, "left_anti").select(*[F.col(f"`{c}`") for c in columns])

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
+from assayer.llm.groups import text_key
 from assayer.llm.ngrams import Words, text_slices
 from assayer.session import cut
 
@@ -66,8 +67,9 @@ def statistics(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def statistics_of(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """doc_id and its statistics, written once so that texts are read once."""
+def statistics_of(docs: DataFrame, text: str, doc_id: str, keyed: bool = False) -> DataFrame:
+    """doc_id and its statistics, written once so that texts are read once; with the text's _key if `keyed`."""
+    more = ["_key"] if keyed else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,10 +77,12 @@ def statistics_of(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                 made = statistics(part.column("_text").to_pylist()).astype(np.float32)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.arange(len(part) + 1, dtype=np.int32) * made.shape[1]), pa.array(made.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), lists, *[part.column(c) for c in more]], names=["doc_id", "x", *more])
 
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"))
-    return cut(narrow.mapInArrow(run, "doc_id bigint, x array<float>"))
+    narrow = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"), *[text_key(F.col(text)).alias(c) for c in more])
+    return cut(narrow.mapInArrow(run, "doc_id bigint, x array<float>" + "".join(f", {c} binary" for c in more)))
 
 
 def fold(doc_id: Column) -> Column:
@@ -152,7 +156,15 @@ def score(
     nor 1 are left out; several labels of one document all count. Without any label every score is 0.5. Null counts as
     the empty text, which is scored like any other. An empty table gives an empty result; other columns are not read.
     """
-    found = statistics_of(docs, text, doc_id)
+    return _scored(docs, labels, label, text, doc_id, features, ridge, threshold)
+
+
+def _scored(
+    docs: DataFrame, labels: DataFrame, label: str, text: str, doc_id: str, features: int, ridge: float, threshold: float,
+    keyed: bool = False,
+) -> DataFrame:
+    found = statistics_of(docs, text, doc_id, keyed)
+    more = ["_key"] if keyed else []
     truth = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where(
         F.col("y").isin(0.0, 1.0) & (fold(F.col("doc_id")) != 0))
     labelled = cut(found.join(truth, "doc_id").withColumn("fold", fold(F.col("doc_id"))))
@@ -193,16 +205,21 @@ def score(
             s = raw(values.astype(float))
             s = np.interp(s, x, y) if len(x) else np.full(len(s), base)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.round(np.clip(s, 0, 1), 9))], names=["doc_id", "score"])
+                [batch.column("doc_id"), pa.array(np.round(np.clip(s, 0, 1), 9)), *[batch.column(c) for c in more]],
+                names=["doc_id", "score", *more])
 
-    scored = found.mapInArrow(apply, "doc_id bigint, score double")
+    scored = found.mapInArrow(apply, "doc_id bigint, score double" + "".join(f", {c} binary" for c in more))
     return scored.select(
-        "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score",
+        "doc_id", *more, (fold(F.col("doc_id")) == 0).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows that are not rejected, with all their columns. Rows without a number all stay."""
-    doc_id = options.get("doc_id", "doc_id")
-    rejected = score(docs, labels, **options).where("predicted = 0").select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(rejected, F.col(f"`{doc_id}`") == F.col("_rejected"), "left_anti")
+def keep_good(
+    docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", doc_id: str = "doc_id",
+    features: int = FEATURES, ridge: float = RIDGE, threshold: float = THRESHOLD,
+) -> DataFrame:
+    """The rows that are not rejected, with all their columns, each judged by its own text. Rows without a number all stay."""
+    rejected = _scored(docs, labels, label, text, doc_id, features, ridge, threshold, keyed=True).where("predicted = 0").select(
+        F.col("doc_id").alias("_rejected"), F.col("_key").alias("_rejected_key")).distinct()
+    same = (F.col(f"`{doc_id}`") == F.col("_rejected")) & (text_key(F.col(f"`{text}`")) == F.col("_rejected_key"))
+    return docs.join(rejected, same, "left_anti")

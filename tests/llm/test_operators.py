@@ -466,3 +466,54 @@ def test_null_numbers(spark):
     assert mixing.mix(df).count() == 3 and pii.summary(df).count() == 3
     assert substring_dedup.removal_digests(df).count() == 3 and near_dedup.classes(df).count() == 3
     assert exact_dedup.copy_groups(df).count() == 3
+
+
+# ---- rows of one number ----
+
+def test_near_copies_of_rows_with_one_number(spark):
+    body = lambda name, n=60, change=0: " ".join(f"{name}{i}" for i in range(n - change)) + "".join(f" {name}z{i}" for i in range(change))
+    rows = [
+        (1, body("a")), (1, body("b")), (1, body("c")), (5, body("a", change=1)), (6, body("b", change=1)), (7, body("c", change=1)),
+        (0, body("d")), (3, body("d", change=1)), (3, body("e")), (9, body("f")), (9, body("f", change=1)), (8, ""), (8, body("a")),
+        (None, body("a")), (None, None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for parts in (1, 5):
+        got = near_dedup.classes(df.repartition(parts))
+        assert sorted(got.collect(), key=str) == sorted(
+            [(1, 1), (1, 1), (1, 1), (5, 1), (6, 1), (7, 1), (0, 0), (3, 0), (3, 3), (9, 9), (9, 9), (8, 8), (8, 1), (None, None), (None, None)], key=str)
+        kept = [tuple(r) for r in near_dedup.drop_near_copies(df.repartition(parts)).collect()]
+        assert len([t for i, t in kept if i == 9]) == 1
+        assert sorted((r for r in kept if r[0] != 9), key=str) == sorted([*rows[:3], rows[6], rows[8], rows[11], *rows[13:]], key=str)
+
+
+def test_good_rows_stay_beside_rejected_rows_of_their_number(spark, documents, labels):
+    scores = by_id(quality.score(documents, labels))
+    bodies = texts(documents)
+    bad = next(i for i, r in sorted(scores.items()) if r.predicted == 0 and bodies[i])
+    good = next(i for i, r in sorted(scores.items()) if r.predicted == 1)
+    both = documents.unionByName(documents.where(f"doc_id = {good}").withColumn("doc_id", F.lit(bad).cast("long")))
+    again = quality._scored(both, labels, "quality", "text", "doc_id", quality.FEATURES, quality.RIDGE, quality.THRESHOLD, keyed=True)
+    assert sorted(r.predicted for r in again.where(f"doc_id = {bad}").collect()) == [0, 1]
+    kept = quality.keep_good(both, labels).where(f"doc_id = {bad}").collect()
+    assert [r.text for r in kept] == [bodies[good]]
+
+
+def test_take_of_rows_with_one_number_and_without(spark):
+    rows = [(7, f"one two three four{i}", "s") for i in range(6)] + [(None, f"five six seven{i}" + " x" * (i % 2), "s") for i in range(6)]
+    rows += [(100 + i, f"some words {i}", "t") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for data in (df, clashing(df.repartition(4))):
+        taken, mixed = mixing.take(data), mixing.mix(df)
+        assert taken.columns == data.columns
+        assert taken.count() == mixed.agg(F.sum("copies")).first()[0] > 0
+        copies = defaultdict(list)
+        for r in mixed.collect():
+            copies[r.doc_id, r.size].append(r.copies)
+        seen = defaultdict(int)
+        for r in taken.collect():
+            seen[r.doc_id, r.text] += 1
+        got = defaultdict(list)
+        for i, text, _ in rows:
+            got[i, len(text.split())].append(seen[i, text])
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in copies.items()}

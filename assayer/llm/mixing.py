@@ -108,7 +108,8 @@ def _fold(level: int) -> str:
     settle = (
         "transform(array(" + step + "), pair -> named_struct("
         f"'done', concat(acc.done, filter(pair, y -> {whole('y.p')})), "
-        f"'rest', filter(pair, y -> not {whole('y.p')})[0]))[0]"
+        # both may become whole at once, where their words and probabilities add up
+        f"'rest', get(filter(pair, y -> not {whole('y.p')}), 0)))[0]"
     )
     alone = "named_struct('done', acc.done, 'rest', x)"
     return (

@@ -131,7 +131,8 @@ def bidiagonalisation(blocks: DataFrame, width: int, norm: float, wanted: int) -
         v = orthogonal(random.standard_normal(width), vs)
         return v / np.linalg.norm(v)
 
-    vs, ws = np.zeros((width, 0)), np.zeros((width, 0))  # ws: u = X w; zero where X v lies in the u's before
+    # us are X @ ws, zero where X v lies in the u's before; images are X' @ us
+    vs, ws, images = (np.zeros((width, 0)) for _ in range(3))
     alphas, betas = [], []
     v, beta = fresh(), 0.0
     while True:
@@ -147,13 +148,13 @@ def bidiagonalisation(blocks: DataFrame, width: int, norm: float, wanted: int) -
             off = products[:-1]
             w = w - ws @ off
             if np.linalg.norm(off) <= ROUNDING * size:
-                back = back - images @ off if ws.shape[1] else back
+                back = back - images @ off
                 size = np.sqrt(max(products[-1] - off @ off, 0.0))
                 break
         alpha = size
         u_back = back / alpha if alpha else np.zeros(width)
         ws = np.column_stack([ws, w / alpha if alpha else w])
-        images = np.column_stack([images, u_back]) if ws.shape[1] > 1 else u_back[:, None]
+        images = np.column_stack([images, u_back])
         alphas.append(alpha)
         k = len(alphas)
         if k == width:

@@ -15,10 +15,9 @@ def inclusions(values: DataFrame, profiles: DataFrame, minimum: float = 1.0) ->
     profiles: the column profile
 
     Pairs are pruned on the profiles alone: same type, the target a key with enough distinct values and, for integers,
-    a range that allows the inclusion. A source value is then looked up once per remaining target, and each
-    (target, value) occurs once on the key side. `coverage` is the share of the key's values that are found.
+    a range that allows the inclusion. What the remaining pairs share is read from the groups of `shared_values`.
+    `coverage` is the share of the key's values that are found.
     """
-    values = values.withColumn("value", plain_number(F.col("normalized_type"), F.col("value")))
     shape = ["table_name", "column_name", "normalized_type", "n_distinct", "min_value", "max_value", "is_key"]
     source = profiles.where("n_distinct > 0 and normalized_type not in ('json', 'unknown')").select(
         *[F.col(c).alias(f"from_{c}") for c in shape]
@@ -39,17 +38,8 @@ def inclusions(values: DataFrame, profiles: DataFrame, minimum: float = 1.0) ->
         "from_table_name", "from_column_name", "to_table_name", "to_column_name", "from_n_distinct", "to_n_distinct"
     )
     pairs = cut(pairs)  # column names, used twice
-    asked = values.select(
-        F.col("table_name").alias("from_table_name"), F.col("column_name").alias("from_column_name"), "value"
-    ).join(pairs, ["from_table_name", "from_column_name"])
-    held = values.select(
-        F.col("table_name").alias("to_table_name"), F.col("column_name").alias("to_column_name"), "value"
-    ).join(
-        pairs.select("to_table_name", "to_column_name").distinct(), ["to_table_name", "to_column_name"], "left_semi"
-    )
-    found = asked.join(held, ["to_table_name", "to_column_name", "value"]).groupBy(
-        "from_table_name", "from_column_name", "to_table_name", "to_column_name"
-    ).agg(F.count("*").alias("n_matched"), F.max("from_n_distinct").alias("n_values"), F.max("to_n_distinct").alias("n_keys"))
+    found = shared_values(values, pairs).join(pairs, COLUMN_PAIR).withColumnsRenamed(
+        {"from_n_distinct": "n_values", "to_n_distinct": "n_keys"})
     ratio = F.round(F.col("n_matched") / F.col("n_values"), 6)
     return found.select(
         F.col("from_table_name").alias("from_table"),
@@ -63,9 +53,59 @@ def inclusions(values: DataFrame, profiles: DataFrame, minimum: float = 1.0) ->
     ).where(F.col("containment") >= minimum)
 
 
+COLUMN_PAIR = ["from_table_name", "from_column_name", "to_table_name", "to_column_name"]
+
+
+def value_groups(values: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
+    """(normalized_type, holders, n): how many distinct values are held by exactly these of the given columns.
+
+    A value is grouped once, whatever the number of columns or pairs: its holders are a bitmap, one bit a column in
+    64-bit words, and values with equal bitmaps are then counted. The groups are few, however many values there are.
+    """
+    numbered = values.sparkSession.createDataFrame(
+        [(t, c, i // 64, i % 64) for i, (t, c) in enumerate(columns)], "table_name string, column_name string, word int, bit int")
+    value = plain_number(F.col("normalized_type"), F.col("value")).alias("value")
+    known = values.join(F.broadcast(numbered), ["table_name", "column_name"]).select(
+        "normalized_type", value, "word", F.expr("shiftleft(1L, bit)").alias("mark"))
+    words = [F.coalesce(F.bit_or(F.when(F.col("word") == w, F.col("mark"))), F.lit(0).cast("long")).alias(f"w{w}")
+             for w in range(-(-len(columns) // 64))]
+    held = known.groupBy("normalized_type", "value").agg(*words)
+    names = [f"w{w}" for w in range(len(words))]
+    return held.groupBy("normalized_type", *names).agg(F.count("*").alias("n")).select(
+        "normalized_type", F.array(*names).alias("holders"), "n")
+
+
+def shared_values(values: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (from_/to_ table and column names) that share values, and how many distinct ones (`n_matched`).
+
+    Both columns of a pair have one type. Pairs and columns are metadata; the values are shuffled once.
+    """
+    ends = [pairs.select(F.col(f"{side}_table_name").alias("t"), F.col(f"{side}_column_name").alias("c")) for side in ("from", "to")]
+    columns = sorted((r.t, r.c) for r in ends[0].union(ends[1]).distinct().collect())  # column names only
+    if not columns:
+        return pairs.select(*COLUMN_PAIR, F.lit(0).cast("long").alias("n_matched")).limit(0)
+    spark = values.sparkSession
+    numbered = spark.createDataFrame([(t, c, i) for i, (t, c) in enumerate(columns)], "t string, c string, i int")
+    asked = pairs.select(*COLUMN_PAIR)
+    for side in ("from", "to"):
+        asked = asked.join(numbered.select(
+            F.col("t").alias(f"{side}_table_name"), F.col("c").alias(f"{side}_column_name"), F.col("i").alias(f"{side}_i")),
+            [f"{side}_table_name", f"{side}_column_name"])
+
+    def held(i: str) -> str:
+        return f"(shiftright(element_at(holders, int({i} div 64 + 1)), int({i} % 64)) & 1L) = 1L"
+
+    groups = value_groups(values, columns)
+    sources = groups.withColumn("from_i", F.explode(F.expr(f"filter(sequence(0, {len(columns) - 1}), i -> {held('i')})")))
+    both = sources.join(asked, "from_i").where(F.expr(held("to_i")))
+    return both.groupBy(*COLUMN_PAIR).agg(F.sum("n").alias("n_matched"))
+
+
 def plain_number(normalized_type: Column, value: Column) -> Column:
-    """Numbers without zeros at the end of their fraction, so that equal ones of different scale are equal as text."""
-    shortened = F.regexp_replace(F.regexp_replace(value, r"^(-?[0-9]+\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    """Numbers without exponents and without zeros at the end of their fraction, so that equal ones are equal as text,
+    whatever their scale and type."""
+    written = F.when(value.contains("E"), F.coalesce(value.try_cast("decimal(38,12)").cast("string"), value)).otherwise(value)
+    shortened = F.regexp_replace(F.regexp_replace(written, r"^(-?[0-9]+\.[0-9]*?)0+$", "$1"), r"\.$", "")
     return F.when(normalized_type == "numeric", shortened).otherwise(value)
 
 
@@ -74,7 +114,8 @@ def cardinalities(values: DataFrame, base_name: Column) -> DataFrame:
 
     values: table_name, column_name, normalized_type, value, n. A value meets the columns of its own name only.
     """
-    named = values.select("table_name", "column_name", "normalized_type", "value", "n", base_name.alias("base_name"))
+    value = plain_number(F.col("normalized_type"), F.col("value")).alias("value")
+    named = values.select("table_name", "column_name", "normalized_type", value, "n", base_name.alias("base_name"))
     a = named.select("base_name", "normalized_type", "value", F.col("table_name").alias("from_table"), F.col("column_name").alias("from_column"), F.col("n").alias("n_from"))
     b = named.select("base_name", "normalized_type", "value", F.col("table_name").alias("to_table"), F.col("column_name").alias("to_column"), F.col("n").alias("n_to"))
     shared = a.join(b, ["base_name", "normalized_type", "value"]).where("from_table < to_table").groupBy(
@@ -203,17 +244,16 @@ def unlinked_dimensions(dimensions: DataFrame, columns: DataFrame, overlaps: Dat
 
 
 def value_overlaps(values: DataFrame) -> DataFrame:
-    """Containment between all given columns of equal type, keys or not; meant for low-cardinality columns.
+    """Containment between all given columns of equal type that share a value, keys or not.
 
-    Work is columns of one value squared, and a value occurs at most once per column.
+    Each value is grouped once (`shared_values`), so a value that most columns hold costs no more than a row per column.
     """
-    a = values.select(F.col("table_name").alias("from_table"), F.col("column_name").alias("from_column"), "normalized_type", "value")
-    b = values.select(F.col("table_name").alias("to_table"), F.col("column_name").alias("to_column"), "normalized_type", "value")
-    sizes = a.groupBy("from_table", "from_column").agg(F.count("*").alias("n_values"))
-    other = (F.col("from_table") != F.col("to_table")) | (F.col("from_column") != F.col("to_column"))
-    shared = a.join(b, ["normalized_type", "value"]).where(other).groupBy(
-        "from_table", "from_column", "to_table", "to_column"
-    ).agg(F.count("*").alias("n_matched"))
-    return shared.join(sizes, ["from_table", "from_column"]).withColumn(
-        "containment", F.round(F.col("n_matched") / F.col("n_values"), 6)
-    )
+    columns = cut(values.groupBy("table_name", "column_name", "normalized_type").agg(F.count("*").alias("n_values")))
+    a = columns.select(F.col("table_name").alias("from_table_name"), F.col("column_name").alias("from_column_name"), "normalized_type", "n_values")
+    b = columns.select(F.col("table_name").alias("to_table_name"), F.col("column_name").alias("to_column_name"), "normalized_type")
+    other = (F.col("from_table_name") != F.col("to_table_name")) | (F.col("from_column_name") != F.col("to_column_name"))
+    pairs = cut(a.join(b, "normalized_type").where(other))  # column names
+    return shared_values(values, pairs).join(pairs, COLUMN_PAIR).select(
+        F.col("from_table_name").alias("from_table"), F.col("from_column_name").alias("from_column"),
+        F.col("to_table_name").alias("to_table"), F.col("to_column_name").alias("to_column"), "n_matched", "n_values",
+        F.round(F.col("n_matched") / F.col("n_values"), 6).alias("containment"))

@@ -76,16 +76,21 @@ def union_sql(parts) -> str:
 
 # ---- column profile ----
 
-def profile_sql(tables: list[str] | None = None) -> str:
+def described(tables: list[str] | None, extra: dict[str, tuple[str, list[tuple[str, str]]]] | None) -> list[tuple]:
+    """(name, what to select from, columns) of the tables and of `extra` ones, which are given by their SQL."""
+    return [(t, t, fields(t)) for t in tables or TABLES] + [(t, f"({sql})", columns) for t, (sql, columns) in (extra or {}).items()]
+
+
+def profile_sql(tables: list[str] | None = None, extra=None) -> str:
     """CTE `prof`: one row per column, as operators.profile gives it."""
     parts = []
-    for t in tables or TABLES:
-        for i, (c, kind) in enumerate(fields(t), start=1):
+    for t, relation, columns in described(tables, extra):
+        for i, (c, kind) in enumerate(columns, start=1):
             low, high = ("null", "null") if kind == "json" else (f"cast(min({c}) as varchar)", f"cast(max({c}) as varchar)")
             parts.append(
                 f"select '{t}' as table_name, '{c}' as column_name, '{kind}' as normalized_type, {i} as ordinal_position, "
                 f"count(*) as n_rows, count(*) - count({c}) as n_nulls, count(distinct {c}) as n_distinct, "
-                f"{low} as min_value, {high} as max_value from {t}"
+                f"{low} as min_value, {high} as max_value from {relation}"
             )
     return f"""stats as ({union_sql(parts)}),
 prof as (
@@ -98,13 +103,19 @@ prof as (
   from stats)"""
 
 
-def values_sql(kinds: tuple[str, ...], tables: list[str] | None = None) -> str:
+def value_sql(column: str, kind: str) -> str:
+    """A value as text; numbers without zeros at the end of their fraction."""
+    text = f"cast({column} as varchar)"
+    return rf"regexp_replace(regexp_replace({text}, '^(-?[0-9]+\.[0-9]*?)0+$', '\1'), '\.$', '')" if kind == "numeric" else text
+
+
+def values_sql(kinds: tuple[str, ...], tables: list[str] | None = None, extra=None) -> str:
     """CTE `vals`: distinct non-null values of every column of the given types, as text."""
     parts = [
         f"select distinct '{t}' as table_name, '{c}' as column_name, '{kind}' as normalized_type, "
-        f"cast({c} as varchar) as value from {t} where {c} is not null"
-        for t in tables or TABLES
-        for c, kind in fields(t)
+        f"{value_sql(c, kind)} as value from {relation} where {c} is not null"
+        for t, relation, columns in described(tables, extra)
+        for c, kind in columns
         if kind in kinds
     ]
     return f"vals as ({union_sql(parts)})"

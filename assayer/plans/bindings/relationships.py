@@ -8,16 +8,32 @@ from pyspark.sql import DataFrame, functions as F
 
 from assayer.operators import profile, relations
 from assayer.plans import propose
-from assayer.plans.bindings.base import TABLES, fields, load, load_all, profile_sql, query, union_sql, values_sql
+from assayer.plans.bindings.base import described, load, load_all, profile_sql, query, union_sql, value_sql, values_sql
 from assayer.session import cut
 
-LINK_TYPES = ("integer", "string", "date", "timestamp")
+LINK_TYPES = ("integer", "numeric", "boolean", "string", "date", "timestamp")
+
+# The orders as another system keeps them: numbers as decimals of different scale, and a flag.
+LEDGERS = {
+    "ledger_orders": (
+        "select cast(o_orderkey as decimal(20,2)) as order_no, cast(o_totalprice as decimal(18,4)) as amount, "
+        "o_orderstatus = 'F' as is_closed from orders",
+        [("order_no", "numeric"), ("amount", "numeric"), ("is_closed", "boolean")]),
+    "ledger_lines": (
+        "select cast(l_orderkey as decimal(14,0)) as order_no, l_linestatus = 'F' as is_closed from lineitem",
+        [("order_no", "numeric"), ("is_closed", "boolean")]),
+}
+PROFILE_SQL, VALUES_SQL = profile_sql(extra=LEDGERS), values_sql(LINK_TYPES, extra=LEDGERS)
 
 
 def link_inputs(spark, sf_dir):
-    """Distinct values of every linkable column, whole tables and whole texts, and what they tell of it."""
+    """Distinct values of every column that has comparable ones, whole tables and whole texts, and what they tell of it."""
     tables = load_all(spark, sf_dir)
-    columns = {t: [c for c, k in fields(t) if k in LINK_TYPES] for t in TABLES}
+    orders, lines = tables["orders"], tables["lineitem"]
+    tables["ledger_orders"] = orders.selectExpr(
+        "cast(o_orderkey as decimal(20,2)) as order_no", "cast(o_totalprice as decimal(18,4)) as amount", "o_orderstatus = 'F' as is_closed")
+    tables["ledger_lines"] = lines.selectExpr("cast(l_orderkey as decimal(14,0)) as order_no", "l_linestatus = 'F' as is_closed")
+    columns = {t: [c for c, k in kinds if k in LINK_TYPES] for t, _, kinds in described(None, LEDGERS)}
     # both are used several times over
     counted = cut(profile.value_counts(tables, columns, nulls=True))
     return counted.where("value is not null"), cut(profile.value_profile(counted))
@@ -25,7 +41,7 @@ def link_inputs(spark, sf_dir):
 
 def inclusions_sql(minimum: float) -> str:
     """CTE `incl`; without pruning, since pruning may not change the answer."""
-    return f"""{profile_sql()}, {values_sql(LINK_TYPES)},
+    return f"""{PROFILE_SQL}, {VALUES_SQL},
 sized as (select table_name, column_name, count(*) as n_values from vals group by 1, 2),
 held as (select v.*, p.n_distinct as n_keys from vals v join prof p on p.table_name = v.table_name and p.column_name = v.column_name and p.is_key),
 incl as (
@@ -159,7 +175,7 @@ def unlinked(values: DataFrame, profiles: DataFrame, links: DataFrame) -> DataFr
     return relations.unlinked_dimensions(dims, columns, relations.value_overlaps(few), links)
 
 
-@query("jn_10", f"with {profile_sql()}, {values_sql(LINK_TYPES)}, {UNLINKED_SQL} select * from unlinked")
+@query("jn_10", f"with {PROFILE_SQL}, {VALUES_SQL}, {UNLINKED_SQL} select * from unlinked")
 def unlinked_dimensions(spark, sf_dir):
     values, profiles = link_inputs(spark, sf_dir)
     return unlinked(values, profiles, named_links(relations.inclusions(values, profiles)))
@@ -208,8 +224,8 @@ def entities(spark, sf_dir):
 
 CONFIDENCE = f"""case when containment >= 1.0 and ({AGREE} or coverage >= 0.9) then 'high' when {AGREE} then 'medium' else 'low' end"""
 COUNTED_SQL = "counted as (" + union_sql(
-    f"select '{t}' as table_name, '{c}' as column_name, '{k}' as normalized_type, cast({c} as varchar) as value, count(*) as n from {t} where {c} is not null group by 4"
-    for t in TABLES for c, k in fields(t) if k in LINK_TYPES) + """),
+    f"select '{t}' as table_name, '{c}' as column_name, '{k}' as normalized_type, {value_sql(c, k)} as value, count(*) as n from {relation} where {c} is not null group by 4"
+    for t, relation, kinds in described(None, LEDGERS) for c, k in kinds if k in LINK_TYPES) + """),
 cards as (select a.table_name as from_table, a.column_name as from_column, b.table_name as to_table, b.column_name as to_column,
     case when max(a.n) > 1 and max(b.n) > 1 then 'many_to_many' else 'one_to_many' end as relationship_type
   from counted a join counted b on a.value = b.value and a.normalized_type = b.normalized_type and a.table_name < b.table_name

@@ -13,6 +13,7 @@ tokenizers library does by default. Nothing is shuffled, and only the vocabulary
 from __future__ import annotations
 
 import json
+import os
 import struct
 import sys
 from collections.abc import Iterator
@@ -26,7 +27,9 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 # Worker code travels with the query, so workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-REMEMBERED = 300_000  # fragments a task keeps the ids of; the table starts anew when it is full
+REMEMBERED_BYTES = 48 << 20  # of fragments and their ids that a task keeps; the table starts anew when it is full
+LONGEST_REMEMBERED = 256  # bytes; longer fragments hardly repeat and are encoded each time
+OVERHEAD = 250  # bytes that an entry of the table takes besides its own
 SLICE_BYTES = 1 << 20  # text encoded at a time
 
 WHITE = tuple(range(0x09, 0x0E)) + (0x20,)
@@ -84,14 +87,15 @@ def split_points(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 class Encoder:
     """Texts to ids, packed as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, tokenizer_json: str, remembered: int = REMEMBERED):
+    def __init__(self, tokenizer_json: str, remembered: int = REMEMBERED_BYTES):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cuts = certain_cuts(token_bytes(tokenizer_json))
-        self.remembered, self.known = remembered, {}
+        self.remembered, self.size, self.known = remembered, 0, {}
 
     def learn(self, fragments: set[bytes]) -> Iterator[tuple[bytes, bytes]]:
         ordered = list(fragments)
@@ -110,12 +114,20 @@ class Encoder:
         starts = np.flatnonzero(begins[:-1])
         raw = data.tobytes()
         fragments = [raw[i:j] for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(raw)])]
-        missing = set(fragments) - self.known.keys()
-        if len(self.known) + len(missing) > self.remembered:
-            self.known = {}
-            missing = set(fragments)
-        self.known.update(self.learn(missing))
-        ids = [self.known[f] for f in fragments]
+        once = {}
+        for fragment, packed in self.learn(set(fragments).difference(self.known)):
+            cost = len(fragment) + len(packed) + OVERHEAD
+            if len(fragment) <= LONGEST_REMEMBERED and self.size + cost <= self.remembered:
+                self.known[fragment] = packed
+                self.size += cost
+            else:
+                once[fragment] = packed
+        self.known.update(once)
+        ids = list(map(self.known.__getitem__, fragments))
+        for fragment in once:
+            del self.known[fragment]
+        if self.size + 2 * OVERHEAD > self.remembered:
+            self.known, self.size = {}, 0
         bounds = np.searchsorted(starts, offsets).tolist()
         return [b"".join(ids[a:b]) for a, b in zip(bounds, bounds[1:])]
 

@@ -17,6 +17,7 @@ taken in buckets, so no key holds all rows. Nothing depends on the order of the
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import sys
@@ -41,13 +42,30 @@ CLASSES = 96
 SPARE = 32
 GAP = 1e-3  # of the linear program, against its optimum
 GRID = 256  # gaps and spare ids meet within cells of so many ids
-REMEMBERED_BYTES = 48 << 20
+REMEMBERED_BYTES = 96 << 20
+LINES, LINE_WORDS = 64, 128
 LONGEST_REMEMBERED = 256
 PIECE_BYTES = 1 << 20
 WHITE = re.compile(rb"[ \t-\r]")
+LETTERS_END = re.compile(rb"[a-z](?=[!-/:-@\[-`{-~])")
+SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
 OVERHEAD = 250  # bytes that an entry of a table takes besides its own
 
 
+def lowered(text: bytes) -> bytes:
+    """A-Z in lower case, as the tokenizer has it anyway; only the names of special tokens must not come about by it."""
+    low = text.lower()
+    return low if b"<|" not in low or all(low.count(t) == text.count(t) for t in SPECIAL) else text
+
+
+def word_parts(word: bytes) -> tuple[bytes, ...]:
+    """The word, cut before the first mark behind a letter a-z, where a run of letters ends whatever follows."""
+    at = LETTERS_END.search(word)
+    if at is None or b"<|" in word:
+        return (word,)
+    return word[: at.end()], word[at.end() :]
+
+
 class WordEncoder:
     """Ids of whole texts, packed as little-endian unsigned 32-bit integers.
 
@@ -61,36 +79,53 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.limit, self.size, self.known = remembered, 0, {}
 
-    def encode(self, text: bytes) -> bytes:
-        out, start = [], 0
-        while start < len(text):
-            end = start + PIECE_BYTES
-            space = WHITE.search(text, end) if end < len(text) else None
-            end = space.start() if space else len(text)
-            out.append(self._words(text[start:end].split()))
-            start = end
-        return b"".join(out)
-
-    def _words(self, words: list[bytes]) -> bytes:
-        missing = list(set(words).difference(self.known))
-        once = {}
-        for at in range(0, len(missing), 2000):
-            some = missing[at : at + 2000]
-            for word, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                packed = struct.pack(f"<{len(e.ids)}I", *e.ids)
-                cost = len(word) + len(packed) + OVERHEAD
-                if len(word) <= LONGEST_REMEMBERED and self.size + cost <= self.limit:
-                    self.known[word] = packed
-                    self.size += cost
-                else:
-                    once[word] = packed
-        get = self.known.__getitem__ if not once else lambda w: self.known[w] if w in self.known else once[w]
-        out = b"".join(map(get, words))
-        if once and self.size + OVERHEAD >= self.limit * 0.99:
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        out: list[list[bytes]] = [[] for _ in texts]
+        todo, size = [], 0
+        for i, text in enumerate(map(lowered, texts)):
+            start = 0
+            while start < len(text):
+                end = start + PIECE_BYTES
+                space = WHITE.search(text, end) if end < len(text) else None
+                end = space.start() if space else len(text)
+                todo.append((i, text[start:end].split()))
+                size += end - start
+                start = end
+                if size >= PIECE_BYTES:
+                    self._words(todo, out)
+                    todo, size = [], 0
+        self._words(todo, out)
+        return [b"".join(parts) for parts in out]
+
+    def _words(self, todo: list[tuple[int, list[bytes]]], out: list[list[bytes]]) -> None:
+        missing = set().union(*[words for _, words in todo]).difference(self.known)
+        parts = {word: word_parts(word) for word in missing}
+        learnt = dict(self._learn(list({p for ps in parts.values() for p in ps}.difference(self.known))))
+        learnt.update((word, b"".join([learnt.get(p) or self.known.get(p, b"") for p in ps])) for word, ps in parts.items() if len(ps) > 1)
+        self.known.update(learnt)
+        for i, words in todo:
+            out[i].append(b"".join(map(self.known.__getitem__, words)))
+        for word in [w for w in learnt if len(w) > LONGEST_REMEMBERED]:
+            del self.known[word], learnt[word]
+        self.size += OVERHEAD * len(learnt) + sum(map(len, learnt)) + sum(map(len, learnt.values()))
+        if self.size > self.limit:
             self.known, self.size = {}, 0  # full: start anew, so that later texts profit
-        return out
+
+    def _learn(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Words with their ids. A line of words is encoded at once; the places of its tokens tell the words apart."""
+        for at in range(0, len(words), LINES * LINE_WORDS):
+            lines = [words[i : i + LINE_WORDS] for i in range(at, min(at + LINES * LINE_WORDS, len(words)), LINE_WORDS)]
+            shown = [[w.decode() for w in line] for line in lines]
+            for line, texts, e in zip(lines, shown, self.tokenizer.encode_batch([" ".join(t) for t in shown], add_special_tokens=False)):
+                starts = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+                places = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+                owner = np.searchsorted(starts, places, side="right") - 1
+                ends = (4 * np.cumsum(np.bincount(owner, minlength=len(line)))).tolist()
+                packed = np.array(e.ids, dtype="<u4").tobytes()
+                yield from zip(line, (packed[i:j] for i, j in zip([0, *ends], ends)))
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, capacity: int, spare: int, text: str, doc_id: str) -> DataFrame:
@@ -105,9 +140,9 @@ def encoded(docs: DataFrame, tokenizer_path: str, capacity: int, spare: int, tex
             for part in text_slices(batch, "_text"):
                 encoder = encoder or WordEncoder(vocabulary.value)
                 n, crcs, ids = [], [], []
-                for body, aside in zip(part.column("_text"), part.column("_aside").to_pylist()):
-                    body = body.as_py()
-                    packed = memoryview((encoder.encode(body.encode()) if body else b"") + struct.pack("<I", END_ID))
+                texts = [(t or "").encode() for t in part.column("_text").to_pylist()]
+                for packed, aside in zip(encoder.encode(texts), part.column("_aside").to_pylist()):
+                    packed = memoryview(packed + struct.pack("<I", END_ID))
                     n.append(len(packed) // 4)
                     crcs.append([zlib.crc32(packed[i : i + step]) for i in range(0, len(packed), step)])
                     ids.append([bytes(packed[i : i + step]) for i in range(0, len(packed), step)] if aside else None)

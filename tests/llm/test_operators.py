@@ -70,10 +70,13 @@ def test_bpe_decode_gives_the_text_back(documents):
 
 
 def test_bpe_memory_of_fragments_is_bounded():
-    encoder = bpe.Encoder(open(tokenizer_path()).read(), remembered=4)
-    data = np.frombuffer(b"one two three four five six seven one two", dtype=np.uint8)
-    twice = [encoder.encode(data, np.array([0, len(data)])) for _ in range(2)]
-    assert twice[0] == twice[1] and len(encoder.known) <= 16
+    encoder = bpe.Encoder(open(tokenizer_path()).read(), remembered=1200)
+    unbounded = bpe.Encoder(open(tokenizer_path()).read())
+    for text in ["one two three four five six seven one two", "漢字かな" * 2000, "so so it is"] * 2:
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        offsets = np.array([0, len(data)])
+        assert encoder.encode(data, offsets) == unbounded.encode(data, offsets)
+        assert len(encoder.known) <= 4 and encoder.size <= 1200 and max(map(len, unbounded.known)) <= bpe.LONGEST_REMEMBERED
 
 
 # ---- op2 ----
@@ -122,6 +125,28 @@ def test_mix_of_repeats_and_take(spark, documents):
     assert mixed.count() == n
 
 
+@pytest.mark.parametrize("kind", ["one source, equal sizes", "shares that add up", "equal rows", "two of four words"])
+def test_mix_of_ties(spark, kind):
+    """Exchanges may make both documents whole at once."""
+    rows = {
+        "one source, equal sizes": [(i, "a b c d", "s") for i in range(300)],
+        "shares that add up": [(i, "w " * (i % 5 + 1), "abc"[i % 3]) for i in range(90)],
+        "equal rows": [(7, "a b", None)] * 40,
+        "two of four words": [(1, "a b c d", "s"), (2, "e f g h", "s")],
+    }[kind]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for i, text, source in rows:
+        sizes[source] += len(text.split())
+    targets = brute_targets(sizes)
+    got = mixing.mix(df, block=8).join(df.dropDuplicates(["doc_id"]).select("doc_id", "source"), "doc_id").collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in got)
+    for r in got:
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - targets[s]) <= 2.5 + 1e-6 for s in sizes)
+    assert mixing.take(df).count() == sum(r.copies for r in got)
+
+
 # ---- op3 ----
 
 def brute_spans(text):

@@ -290,10 +290,12 @@ def test_packing_of_equal_and_missing_rows(spark):
 def test_words_are_encoded_as_the_library_does():
     path = tokenizer_path(WORD_TOKENIZER)
     encoder = packing.WordEncoder(open(path).read(), remembered=3000)
-    words = ["a", "Àx", "it's", "1234", "ẞİ", "x y", " z", "Σας", "!?.", "<|startoftext|>q", "\x1c\x85"]
+    words = ["a", "Àx", "it's", "1234", "ẞİ", "x y", " z", "Σας", "!?.", "<|startoftext|>q", "\x1c\x85",
+             "The", "the,", "THE.", "<|ENDOFTEXT|>", "a'LL", "x,'s", "can't.", "q<|", "e\u0301,", "a<\u0338b", "don't<|endoftext|>", "I'", "-a-b-", "_"]
     texts = {i: " ".join(np.random.default_rng(i).choice(words, 50)) for i in range(40)} | {99: "q" * 400 + "\n\t" + "w " * 700_000}
-    for i, ids in ids_of(texts).items():
-        assert list(struct.unpack(f"<{len(ids) - 1}I", encoder.encode(texts[i].encode()))) == ids[:-1]
+    for limited in (encoder, packing.WordEncoder(open(path).read())):
+        for packed, ids in zip(limited.encode([t.encode() for t in texts.values()]), ids_of(texts).values()):
+            assert list(struct.unpack(f"<{len(ids) - 1}I", packed)) == ids[:-1]
 
 
 def knapsack(sizes, values, capacity):

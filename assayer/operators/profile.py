@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from assayer.functions.cells import comparable_text, literal, quoted
 from assayer.functions.types import normalize_spark
+from assayer.session import cut
 from assayer.vocab import CARDINALITY_LIMITS
 
 # Values longer than this are grouped by a SHA-256 of the whole value, so that
@@ -37,6 +40,11 @@ def _family(data_type: T.DataType) -> str:
     return "string"
 
 
+def short_form(value: str, digest: bool | str) -> str:
+    """SQL for what stands for a long text; with its beginning it is longer than any text that stands for itself."""
+    return f"concat(left({value}, {DIGEST_ABOVE}), sha2({value}, 256))" if digest == "beginning" else f"sha2({value}, 256)"
+
+
 class Columns:
     """The columns of several tables, numbered. Cells carry the number instead of three names."""
 
@@ -63,8 +71,11 @@ class Columns:
         looked_up = df.withColumn("place", F.expr(f"element_at({self.listing()}, column_id + 1)"))
         return looked_up.select("place.table_name", "place.column_name", "place.normalized_type", "place.ordinal_position", *others)
 
-    def cells(self, family: str, digest: bool = True) -> DataFrame | None:
-        """(column_id, value) of all columns of one family. Each column of each table is read by one family only."""
+    def cells(self, family: str, digest: bool | str = True) -> DataFrame | None:
+        """(column_id, value) of all columns of one family. Each column of each table is read by one family only.
+
+        Long texts are digests, or with `digest="beginning"` their beginning and digest, or whole.
+        """
         parts = []
         for table, df in self.tables.items():
             numbers = [n for n, (t, _, kind, _) in enumerate(self.entries) if t == table and _family(kind) == family]
@@ -74,13 +85,24 @@ class Columns:
             for _, c, kind, _ in self.entries[numbers[0]:numbers[-1] + 1]:
                 value = f"cast({quoted(c)} as {family})" if family != "string" else comparable_text(c, kind)
                 if family == "string" and digest:
-                    value = f"if(length({value}) > {DIGEST_ABOVE}, sha2({value}, 256), {value})"
+                    value = f"if(length({value}) > {DIGEST_ABOVE}, {short_form(value, digest)}, {value})"
                 values.append(value)
             spread = df.selectExpr(f"posexplode(array({', '.join(values)})) as (place, value)")
             parts.append(spread.selectExpr(f"place + {numbers[0]} as column_id", "value"))
         return reduce(DataFrame.union, parts) if parts else None
 
-    def counts(self, family: str, digest: bool = True) -> DataFrame | None:
+    def long_texts(self) -> DataFrame | None:
+        """(column_id, value, text): long texts next to their beginning and digest, one scan a table."""
+        parts = []
+        for table, df in self.tables.items():
+            numbered = [(n, comparable_text(c, k)) for n, (t, c, k, _) in enumerate(self.entries) if t == table and _family(k) == "string"]
+            if numbered:
+                cells = ", ".join(f"if(length({v}) > {DIGEST_ABOVE}, struct({n} as column_id, {v} as text), null)" for n, v in numbered)
+                parts.append(df.selectExpr(f"inline(array_compact(array({cells})))"))
+        return reduce(DataFrame.union, parts).selectExpr(
+            "column_id", f"{short_form('text', 'beginning')} as value", "text") if parts else None
+
+    def counts(self, family: str, digest: bool | str = True) -> DataFrame | None:
         """(column_id, value, n), NULL being a value. Counted before the shuffle, so a value that
         holds most rows arrives as one row per task."""
         cells = self.cells(family, digest)
@@ -211,27 +233,47 @@ def value_profile(values: DataFrame) -> DataFrame:
 def top_values(tables: dict[str, DataFrame], columns: dict[str, list[str]] | None, k: int) -> DataFrame:
     """The k most frequent non-null values of each column, ties by value.
 
-    Spark keeps only k rows per column and task before the shuffle, so columns
-    with billions of values do not meet in one task.
+    Spark keeps only k rows per column and task before the shuffle, so columns with billions of values do not meet in
+    one task. Long values are counted by their beginning and digest; the values that may be among the k, which are more
+    than k only where they begin alike, are then fetched and ordered in full.
     """
-    counts = value_counts(tables, columns, digest=False).drop("normalized_type")
-    order = Window.partitionBy("table_name", "column_name").orderBy(F.desc("n"), "value")
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def composite_keys(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column_a, column_b, n_rows, n_distinct) for pairs that identify a row where no single column does.
-
-    Columns are sketched first, in one pass. A pair cannot be a key if the product of its distinct counts, with the
-    band of the sketches' error added, is below the row count. The pairs that may be are sketched together in a
-    second pass; those within the band of the row count are then counted exactly.
+    chosen = Columns(tables, columns)
+    counted = [chosen.counts(f, digest="beginning") for f in FAMILIES]
+    counts = reduce(DataFrame.unionByName, [
+        c.where("value is not null").select("column_id", F.col("value").cast("string").alias("value"), "n") for c in counted if c is not None])
+    beginning = F.left("value", F.lit(DIGEST_ABOVE))
+    first = Window.partitionBy("column_id").orderBy(F.desc("n"), beginning)
+    likely = cut(counts.withColumn("place", F.rank().over(first)).where(F.col("place") <= k).drop("place"))  # about k rows a column
+    is_long = F.length("value") > DIGEST_ABOVE
+    texts = chosen.long_texts()
+    fetched = likely.where(~is_long)
+    if texts is not None:
+        whole = texts.join(likely.where(is_long), ["column_id", "value"]).groupBy("column_id", "value").agg(
+            F.first("text").alias("text"), F.first("n").alias("n"))
+        fetched = fetched.unionByName(whole.select("column_id", F.col("text").alias("value"), "n"))
+    order = Window.partitionBy("column_id").orderBy(F.desc("n"), "value")
+    ranked = fetched.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return chosen.named(ranked, "value", "n", "rank").drop("normalized_type", "ordinal_position")
+
+
+SETS_AT_A_TIME = 64  # column sets sketched in one aggregate
+REFUTING_ROWS = 20_000  # rows among which a repeated combination refutes a column set, read from the start of the table
+
+
+def composite_keys(df: DataFrame, columns: list[str] | None = None, size: int = 3) -> DataFrame:
+    """(key_columns, n_rows): the smallest sets of 2 to `size` columns that identify a row where no single column does.
+
+    Level by level: a set is looked at only if none of its subsets is a key, and no key has columns with NULLs. A set
+    cannot be a key if the product of its columns' distinct counts, the sketches' error added, is below the row count,
+    nor if a few rows hold one of its combinations twice. What is left is sketched, SETS_AT_A_TIME in one scan, and the
+    sets within the band of the row count are counted exactly. Maps and variants are no key columns.
     """
     spark = df.sparkSession
-    kept_out = (T.FloatType, T.DoubleType, T.ArrayType, T.MapType)
+    kept_out = (T.MapType, T.VariantType)
     names = columns or [f.name for f in df.schema.fields if not isinstance(f.dataType, kept_out)]
-    empty = "column_a string, column_b string, n_rows bigint, n_distinct bigint"
+    empty = spark.createDataFrame([], "key_columns array<string>, n_rows bigint")
     if not names:
-        return spark.createDataFrame([], empty)
+        return empty
     single = df.agg(
         F.count("*").alias("n_rows"),
         *[F.count(_name(c)).alias(f"c{i}") for i, c in enumerate(names)],
@@ -239,30 +281,32 @@ def composite_keys(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     ).first()
     n_rows = single["n_rows"]
     most = {c: single[f"s{i}"] * (1 + SKETCH_BAND) + 1 for i, c in enumerate(names) if single[f"c{i}"] == n_rows}
-    likely_keys = [c for c, n in most.items() if n >= n_rows]
-    if n_rows == 0 or (likely_keys and has_single_key(df, likely_keys, n_rows)):
-        return spark.createDataFrame([], empty)
-    full = list(most)
-    pairs = [(a, b) for i, a in enumerate(full) for b in full[i + 1:] if most[a] * most[b] >= n_rows]
-    if not pairs:
-        return spark.createDataFrame([], empty)
-    both = df.agg(*[F.approx_count_distinct(F.struct(_name(a), _name(b)), SKETCH_ERROR).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
-    near = [pair for i, pair in enumerate(pairs) if both[f"p{i}"] * (1 + SKETCH_BAND) + 1 >= n_rows]
-    if not near:
-        return spark.createDataFrame([], empty)
-    return reduce(DataFrame.unionByName, [pair_distinct(df, a, b) for a, b in near]).where("n_rows = n_distinct")
-
-
-def has_single_key(df: DataFrame, columns: list[str], n_rows: int) -> bool:
-    counts = [df.select(_name(c)).distinct().agg(F.count("*").alias("n_distinct")) for c in columns]
-    return not reduce(DataFrame.union, counts).where(F.col("n_distinct") == n_rows).isEmpty()
-
-
-def pair_distinct(df: DataFrame, a: str, b: str) -> DataFrame:
-    groups = df.groupBy(_name(a), _name(b)).agg(F.count("*").alias("n"))
-    return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_distinct")).select(
-        F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), "n_rows", "n_distinct"
-    )
+    likely_keys = [(c,) for c, n in most.items() if n >= n_rows]
+    if n_rows == 0 or unique_sets(df, likely_keys):
+        return empty
+    few = cut(df.select(*[_name(c) for c in most]).limit(REFUTING_ROWS)) if most else None
+    keys: list[tuple[str, ...]] = []
+    for level in range(2, size + 1):
+        sets = [s for s in combinations(most, level)
+                if math.prod(most[c] for c in s) >= n_rows and not any(set(k) <= set(s) for k in keys)]
+        sets = unique_sets(few, sets)  # repeated among a few rows, so repeated in the table
+        near = []
+        for at in range(0, len(sets), SETS_AT_A_TIME):
+            some = sets[at : at + SETS_AT_A_TIME]
+            sketched = df.agg(*[F.approx_count_distinct(F.struct(*map(_name, s)), SKETCH_ERROR).alias(f"p{i}") for i, s in enumerate(some)]).first()
+            near += [s for i, s in enumerate(some) if sketched[f"p{i}"] * (1 + SKETCH_BAND) + 1 >= n_rows]
+        keys += unique_sets(df, near)
+    return spark.createDataFrame([(list(k), n_rows) for k in keys], "key_columns array<string>, n_rows bigint") if keys else empty
+
+
+def unique_sets(df: DataFrame, sets: list[tuple[str, ...]]) -> list[tuple[str, ...]]:
+    """The column sets of which no combination occurs twice, exactly; one job for all."""
+    if not sets:
+        return []
+    repeated = [
+        df.groupBy(*map(_name, s)).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(i).alias("i")).limit(1) for i, s in enumerate(sets)]
+    refuted = {r["i"] for at in range(0, len(sets), SETS_AT_A_TIME) for r in reduce(DataFrame.union, repeated[at : at + SETS_AT_A_TIME]).collect()}
+    return [s for i, s in enumerate(sets) if i not in refuted]
 
 
 def time_grains(tables: dict[str, DataFrame]) -> DataFrame:

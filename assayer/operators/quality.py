@@ -5,12 +5,14 @@ severity, title, table_name, column_name, evidence, measured, threshold.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from assayer.functions.jsons import is_json_container
+from assayer.functions.cells import literal, quoted
 from assayer.functions.names import canonical_name
+from assayer.session import cut
 
 FLAG = ["severity", "title", "table_name", "column_name", "evidence", "measured", "threshold"]
 
@@ -116,79 +118,183 @@ def rule_violations(df: DataFrame, rule: str) -> DataFrame:
 
 
 QUARTILES = {"q1": 0.25, "q3": 0.75}
+ACCURACY = 10_000  # of the sketches: ranks are off by one in so many rows at most
+MARGIN = 0.0005  # of the ranks on either side of a quartile that a bracket takes in
 
 
-def quartiles(df: DataFrame, column: str) -> dict[str, float | None]:
-    """Exact q1 and q3: the smallest values with at least that share of rows up to them.
+def _number(column: str) -> str:
+    """SQL for a column as a double; NaN counts as missing."""
+    return f"nullif(cast({quoted(column)} as double), double('NaN'))"
+
+
+def _each_column(tables: dict[str, DataFrame], entries: list[tuple[str, str]], value: Callable[[str], str],
+                 aggregates: Callable[[int], str]) -> DataFrame:
+    """id, table_name, column_name and the aggregates of every entry: one aggregate a table, one job for all.
 
-    A sketch brackets both positions. A bracket's rows are counted; one that misses its position is set anew, and one
-    that holds many distinct values is narrowed by another sketch over these alone. Only few values are put in order.
+    `value` gives SQL for a column, which the SQL of `aggregates` calls x and the entry's number.
     """
-    x = df.select(F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)")
-    n_rows = x.count()
-    if n_rows == 0:
-        return dict.fromkeys(QUARTILES)
-    return {name: _value_at(x, math.ceil(p * n_rows), n_rows) for name, p in QUARTILES.items()}
-
-
-IN_ORDER = 10_000  # distinct values that are put in order at most
-
-
-def _value_at(x: DataFrame, position: int, n_rows: int) -> float:
-    """The smallest value with at least `position` rows up to it."""
-    low, high, before, inside = None, None, 0, n_rows  # the value lies in [low, high]; `before` rows lie below low
-    while True:
-        within = x if low is None else x.where(F.col("x").between(low, high))
-        margin = max(0.001, 2.0 / inside)
-        share = (position - before) / inside
-        cuts = within.agg(F.min("x").alias("least"), F.max("x").alias("most"), F.approx_percentile(
-            "x", [max(share - margin, 0.0), min(share + margin, 1.0)], 10000).alias("cut")).first()
-        a, b = cuts["cut"]
-        counted = within.agg(F.count_if(F.col("x") < a).alias("below"), F.count_if(F.col("x") <= b).alias("upto"),
-                             F.approx_count_distinct(F.when(F.col("x").between(a, b), F.col("x"))).alias("distinct")).first()
-        # a bracket that misses the position gives way to the side on which the position is
-        if before + counted["below"] >= position:
-            low, high = cuts["least"], math.nextafter(a, -math.inf)
-            inside = counted["below"]
-        elif before + counted["upto"] < position:
-            low, high = math.nextafter(b, math.inf), cuts["most"]
-            before, inside = before + counted["upto"], inside - counted["upto"]
+    parts = []
+    for table, df in tables.items():
+        mine = [(i, c) for i, (t, c) in enumerate(entries) if t == table]
+        if mine:
+            rows = ", ".join(
+                f"struct({i} as id, {literal(table)} as table_name, {literal(c)} as column_name, {aggregates(i)})" for i, c in mine)
+            parts.append(df.selectExpr(*[f"{value(c)} as x{i}" for i, c in mine]).selectExpr(f"array({rows}) as every").selectExpr("inline(every)"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _sketches(tables: dict[str, DataFrame], entries: list[tuple[str, str]]) -> dict[int, dict]:
+    """Of each column (by its place in `entries`): rows with a value, least, most, and the ends of both brackets."""
+    shares = ", ".join(str(p + d) for p in QUARTILES.values() for d in (-MARGIN, MARGIN))
+    found = _each_column(tables, entries, _number, lambda i: (
+        f"count(x{i}) as n, min(x{i}) as least, max(x{i}) as most, approx_percentile(x{i}, array({shares}), {ACCURACY}) as cuts"))
+    return {r["id"]: r.asDict() for r in found.collect()}  # a row per column
+
+
+def _brackets(sketch: dict, factor: float) -> list[tuple[float, float]]:
+    """Disjoint ranges that hold both quartiles and both fences, unless the sketch is further off than it may be."""
+    a1, b1, a3, b3 = sketch["cuts"]
+    a3, b3 = max(a3, a1), max(b3, b1)
+    low = (a1 - factor * (b3 - a1), b1 - factor * max(a3 - b1, 0.0))
+    high = (a3 + factor * max(a3 - b1, 0.0), b3 + factor * (b3 - a1))
+    out: list[list[float]] = []
+    for start, end in sorted([low, (a1, b1), (a3, b3), high]):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
         else:
-            smaller = counted["upto"] - counted["below"] < inside
-            low, high, before, inside = a, b, before + counted["below"], counted["upto"] - counted["below"]
-            if counted["distinct"] * 1.5 <= IN_ORDER or not smaller:
-                break
-    counts = x.where(F.col("x").between(low, high)).groupBy("x").agg(F.count("*").alias("n"))
-    reached = counts.withColumn("upto", F.sum("n").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
-    return reached.where(F.col("upto") + before >= position).agg(F.min("x").alias("x")).first()["x"]
+            out.append([start, end])
+    return [tuple(r) for r in out]
+
+
+def _zones(ranges: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """What lies between and beyond the ranges, and they themselves: zone 2 * j is the gap before range j, 2 * j + 1 the range."""
+    out, last = [], -math.inf
+    for start, end in ranges:
+        out += [(last, start), (start, end)]
+        last = end
+    return [*out, (last, math.inf)]
+
+
+def _double(x: float) -> str:
+    return f"double('{x!r}')" if math.isfinite(x) else f"double('{'-' if x < 0 else ''}Infinity')"
+
+
+def _histogram(tables: dict[str, DataFrame], entries: list[tuple[str, str]], ranges: dict[int, list]) -> DataFrame:
+    """(id, zone, value, n): values inside the ranges counted one by one, the others by zone. One scan a table."""
+    parts = []
+    for table, df in tables.items():
+        mine = [(i, c) for i, (t, c) in enumerate(entries) if t == table and i in ranges]
+        if not mine:
+            continue
+        cells = []
+        for i, _ in mine:
+            steps = " ".join(
+                f"when x{i} < {_double(start)} then {2 * j} when x{i} <= {_double(end)} then {2 * j + 1}"
+                for j, (start, end) in enumerate(ranges[i]))
+            cells.append(f"struct({i} as id, case when x{i} is null then null {steps} else {2 * len(ranges[i])} end as zone, x{i} as value)")
+        parts.append(df.selectExpr(*[f"{_number(c)} as x{i}" for i, c in mine]).selectExpr(f"inline(array({', '.join(cells)}))"))
+    placed = reduce(DataFrame.unionByName, parts).where("zone is not null")
+    return placed.groupBy("id", "zone", F.when(F.col("zone") % 2 == 1, F.col("value")).alias("value")).agg(F.count("*").alias("n"))
+
+
+def _running(counts: DataFrame) -> DataFrame:
+    """Adds `before`, the rows of the column with smaller values. Summed by ranges first, so that no task orders a whole column."""
+    parts = cut(counts.repartitionByRange("id", "zone", "value").withColumn("part", F.spark_partition_id()))
+    upto = (Window.unboundedPreceding, -1)
+    sums = parts.groupBy("id", "part").agg(F.sum("n").alias("n")).select(
+        "id", "part", F.coalesce(F.sum("n").over(Window.partitionBy("id").orderBy("part").rowsBetween(*upto)), F.lit(0)).alias("base"))
+    inner = F.sum("n").over(Window.partitionBy("id", "part").orderBy("zone", "value").rowsBetween(*upto))
+    return parts.withColumn("inner", F.coalesce(inner, F.lit(0))).join(sums, ["id", "part"]).withColumn(
+        "before", F.col("base") + F.col("inner")).drop("base", "inner", "part")
+
+
+def _quartile_rows(tables: dict[str, DataFrame], entries: list[tuple[str, str]], sketches: dict[int, dict], factor: float,
+                   ranges: dict[int, list]) -> tuple[list[tuple], list[int]]:
+    """Rows of `outliers` for the columns in `ranges`, and the columns whose ranges missed a quartile."""
+    spark = next(iter(tables.values())).sparkSession
+    counts = cut(_histogram(tables, entries, ranges))
+    wanted = spark.createDataFrame(
+        [(i, name, math.ceil(p * sketches[i]["n"])) for i in ranges for name, p in QUARTILES.items()], "id int, name string, position bigint")
+    reached = _running(counts).join(F.broadcast(wanted), "id").where("before < position and position <= before + n")
+    found: dict[int, dict] = {i: {} for i in ranges}
+    for r in reached.select("id", "name", "value").collect():  # two rows per column
+        found[r["id"]][r["name"]] = r["value"]
+    missed = [i for i, q in found.items() if None in q.values()]
+    fences = []
+    for i, q in found.items():
+        if i not in missed:
+            reach = factor * (q["q3"] - q["q1"])
+            fences.append((i, q["q1"], q["q3"], q["q1"] - reach, q["q3"] + reach))
+    if not fences:
+        return [], missed
+    zones = [(i, z, start, end) for i in ranges for z, (start, end) in enumerate(_zones(ranges[i]))]
+    bounded = counts.join(F.broadcast(spark.createDataFrame(zones, "id int, zone int, start double, end double")), ["id", "zone"])
+    fenced = bounded.join(F.broadcast(spark.createDataFrame(fences, "id int, q1 double, q3 double, low_fence double, high_fence double")), "id")
+    # both fences lie inside ranges, so a gap is beyond them as a whole or not at all
+    beyond = F.coalesce(
+        (F.col("value") < F.col("low_fence")) | (F.col("value") > F.col("high_fence")),
+        (F.col("end") <= F.col("low_fence")) | (F.col("start") >= F.col("high_fence")))
+    summed = fenced.groupBy("id", "q1", "q3", "low_fence", "high_fence").agg(
+        F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(beyond, F.col("n"))), F.lit(0)).alias("n_outliers"))
+    return [tuple(r) for r in summed.collect()], missed  # a row per column
+
+
+OUTLIERS = "q1 double, q3 double, low_fence double, high_fence double, n_rows bigint, n_outliers bigint"
+
+
+def outlier_table(tables: dict[str, DataFrame], columns: dict[str, list[str]], factor: float = 1.5) -> DataFrame:
+    """table_name, column_name, q1, q3, low_fence, high_fence, n_rows, n_outliers of every given column, all exact.
+
+    Two scans a table, whatever the number of columns. The first sketches all columns; a quartile lies in a narrow
+    bracket and so does each fence. The second counts the values inside brackets one by one and all others by zone,
+    which tells quartiles and outliers exactly. A column whose bracket missed is counted again over all its values.
+    A quartile is the smallest value with at least that share of rows up to it; NULL and NaN are left out.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    entries = [(t, c) for t, names in columns.items() for c in names]
+    sketches = _sketches(tables, entries)
+    ranges = {i: _brackets(s, factor) for i, s in sketches.items() if s["n"]}
+    rows = [(i, None, None, None, None, 0, 0) for i, s in sketches.items() if not s["n"]]
+    while ranges:
+        done, missed = _quartile_rows(tables, entries, sketches, factor, ranges)
+        rows += done
+        # the whole column as one range, which cannot miss
+        ranges = {i: [(sketches[i]["least"], sketches[i]["most"])] for i in missed}
+    names = [(*entries[i], *rest) for i, *rest in rows]
+    return spark.createDataFrame(names, f"table_name string, column_name string, {OUTLIERS}")
 
 
-def _outside(column: str, low: float | None, high: float | None) -> list[Column]:
-    x = F.col(column).cast("double")
-    return [
-        F.count(x).alias("n_rows"), F.count(F.when((x < F.lit(low)) | (x > F.lit(high)), 1)).alias("n_outliers"),
-    ]
+def quartiles(df: DataFrame, column: str) -> dict[str, float | None]:
+    """Exact q1 and q3: the smallest values with at least that share of rows up to them."""
+    row = outlier_table({"t": df}, {"t": [column]}).first()
+    return {name: row[name] for name in QUARTILES}
 
 
 def iqr_outliers(df: DataFrame, column: str, factor: float = 1.5) -> DataFrame:
     """One row: quartiles, fences and the rows outside, all exact."""
-    q = quartiles(df, column)
-    reach = None if q["q1"] is None else factor * (q["q3"] - q["q1"])
-    low, high = (None, None) if reach is None else (q["q1"] - reach, q["q3"] + reach)
-    known = {**q, "low_fence": low, "high_fence": high}
-    return df.agg(*_outside(column, low, high)).select(
-        *[F.lit(v).cast("double").alias(k) for k, v in known.items()], "n_rows", "n_outliers"
-    )
+    return outlier_table({"t": df}, {"t": [column]}, factor).drop("table_name", "column_name")
+
+
+def zscore_table(tables: dict[str, DataFrame], columns: dict[str, list[str]], limit: float = 3.0) -> DataFrame:
+    """table_name, column_name, n_rows, n_outliers: rows further than `limit` standard deviations from the mean.
+
+    Two scans a table for all its columns: means and deviations, then the counts.
+    """
+    entries = [(t, c) for t, names in columns.items() for c in names]
+    known = [(r["mean"], r["sd"]) for r in _each_column(
+        tables, entries, _number, lambda i: f"avg(x{i}) as mean, stddev(x{i}) as sd").orderBy("id").collect()]  # a row per column
+
+    def counted(i: int) -> str:
+        mean, sd = known[i]
+        far = f"abs(x{i} - {_double(mean)}) > {_double(limit * sd)}" if sd is not None else "false"
+        return f"count(x{i}) as n_rows, count_if({far}) as n_outliers"
+
+    return _each_column(tables, entries, _number, counted).drop("id")
 
 
 def zscore_outliers(df: DataFrame, column: str, limit: float = 3.0) -> DataFrame:
     """One row: rows, and rows further than `limit` standard deviations from the mean."""
-    x = F.col(column).cast("double")
-    stats = df.agg(F.avg(x).alias("mean"), F.stddev(x).alias("sd")).first()
-    if stats["sd"] is None:
-        return df.agg(*_outside(column, None, None))
-    far = F.abs(x - F.lit(stats["mean"])) > F.lit(limit * stats["sd"])
-    return df.agg(F.count(x).alias("n_rows"), F.count(F.when(far, 1)).alias("n_outliers"))
+    return zscore_table({"t": df}, {"t": [column]}, limit).drop("table_name", "column_name")
 
 
 def empty_tables(counts: DataFrame) -> DataFrame:
@@ -230,9 +336,15 @@ def name_collisions(profiles: DataFrame, base_name: Column) -> DataFrame:
     return grouped.where("n_tables > 1 and (n_types > 1 or disjoint)")
 
 
+def json_shares(tables: dict[str, DataFrame], columns: dict[str, list[str]]) -> DataFrame:
+    """table_name, column_name, n_rows, n_json, json_share: how many non-null strings hold a JSON object or array. One scan a table."""
+    entries = [(t, c) for t, names in columns.items() for c in names]
+    held = "(json_object_keys(x{0}) is not null or json_array_length(x{0}) is not null)"
+    counted = _each_column(tables, entries, lambda c: f"cast({quoted(c)} as string)", lambda i: (
+        f"count(x{i}) as n_rows, count_if({held.format(i)}) as n_json"))
+    return counted.drop("id").withColumn("json_share", F.round(F.try_divide(F.col("n_json"), F.col("n_rows")), 6))
+
+
 def json_share(df: DataFrame, column: str) -> DataFrame:
     """One row: how many non-null strings hold a JSON object or array."""
-    c = F.col(column)
-    return df.agg(F.count(c).alias("n_rows"), F.count(F.when(is_json_container(c), 1)).alias("n_json")).withColumn(
-        "json_share", F.round(F.try_divide(F.col("n_json"), F.col("n_rows")), 6)
-    )
+    return json_shares({"t": df}, {"t": [column]}).drop("table_name", "column_name")

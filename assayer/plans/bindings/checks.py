@@ -10,7 +10,7 @@ from assayer.functions.dates import quarter_label
 from assayer.operators import profile, quality, reconcile
 from assayer.operators.relations import orphans
 from assayer.plans import propose
-from assayer.plans.bindings.base import ORACLE, QUERIES, TABLES, load, query, union_sql
+from assayer.plans.bindings.base import ORACLE, QUERIES, TABLES, fields, load, load_all, query, union_sql
 from assayer.plans.bindings.profiles import NET, net_by_order
 
 LABELLED_SQL = "(select d.lang, d.source, l.quality, l.toxic from documents d left join labels l on l.doc_id = d.doc_id)"
@@ -89,36 +89,31 @@ def formulas(spark, sf_dir):
     ])
 
 
-MEASURED = [("orders", "o_totalprice"), ("lineitem", "l_extendedprice"), ("customer", "c_acctbal"), ("events", "value")]
+# every numeric column of every table
+MEASURED = {t: names for t in TABLES if (names := [c for c, k in fields(t) if k in ("integer", "numeric")])}
 
 
 def iqr_sql(t: str, c: str) -> str:
-    ranked = f"select {c} as x, row_number() over (order by {c}) as rn, count(*) over () as n from {t}"
+    ranked = f"select cast({c} as double) as x, row_number() over (order by {c}) as rn, count(*) over () as n from {t} where {c} is not null"
     return (
         f"select '{t}' as table_name, '{c}' as column_name, q1, q3, q1 - 1.5 * (q3 - q1) as low_fence, q3 + 1.5 * (q3 - q1) as high_fence, "
-        f"(select count(*) from {t}) as n_rows, (select count(*) from {t} where {c} < q1 - 1.5 * (q3 - q1) or {c} > q3 + 1.5 * (q3 - q1)) as n_outliers "
+        f"(select count({c}) from {t}) as n_rows, (select count(*) from {t} where {c} < q1 - 1.5 * (q3 - q1) or {c} > q3 + 1.5 * (q3 - q1)) as n_outliers "
         f"from (select min(x) filter (where rn >= ceil(0.25 * n)) as q1, min(x) filter (where rn >= ceil(0.75 * n)) as q3 from ({ranked}))"
     )
 
 
-@query("dq_5", union_sql(iqr_sql(t, c) for t, c in MEASURED))
+@query("dq_5", union_sql(iqr_sql(t, c) for t, names in MEASURED.items() for c in names))
 def outliers(spark, sf_dir):
-    return reduce(DataFrame.unionByName, [
-        quality.iqr_outliers(load(spark, sf_dir, t), c).select(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), "*")
-        for t, c in MEASURED
-    ])
+    return quality.outlier_table(load_all(spark, sf_dir, list(MEASURED)), MEASURED)
 
 
 @query("dq_5_zscore", union_sql(
-    f"select '{t}' as table_name, '{c}' as column_name, count(*) as n_rows, "
+    f"select '{t}' as table_name, '{c}' as column_name, count({c}) as n_rows, "
     f"count(*) filter (where abs({c} - m) > 2.0 * s) as n_outliers from {t}, (select avg({c}) as m, stddev({c}) as s from {t})"
-    for t, c in MEASURED
+    for t, names in MEASURED.items() for c in names
 ))
 def far_from_mean(spark, sf_dir):
-    return reduce(DataFrame.unionByName, [
-        quality.zscore_outliers(load(spark, sf_dir, t), c, 2.0).select(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), "*")
-        for t, c in MEASURED
-    ])
+    return quality.zscore_table(load_all(spark, sf_dir, list(MEASURED)), MEASURED, 2.0)
 
 
 CANDIDATES = [(t, "true") for t in TABLES] + [("orders", "o_totalprice < 0"), ("lineitem", "l_quantity = 0"), ("events", "event_type = 'refund'")]
@@ -194,20 +189,18 @@ def domain(spark, sf_dir):
     return quality.outside_domain(load(spark, sf_dir, "orders"), "o_orderstatus", load(spark, sf_dir, "lineitem"), "l_linestatus")
 
 
-JSON_COLUMNS = [("events", "props"), ("events", "event_type"), ("documents", "text"), ("conversations", "text"), ("pages", "html")]
+# every text column of every table
+TEXTS = {t: names for t in TABLES if (names := [c for c, k in fields(t) if k == "string"])}
 
 
 @query("jsn_3", union_sql(
     f"select '{t}' as table_name, '{c}' as column_name, count({c}) as n_rows, "
     f"count(*) filter (where json_valid({c}) and left(trim({c}), 1) in ('{{', '[')) as n_json, "
     f"round(count(*) filter (where json_valid({c}) and left(trim({c}), 1) in ('{{', '[')) / count({c}), 6) as json_share from {t}"
-    for t, c in JSON_COLUMNS
+    for t, names in TEXTS.items() for c in names
 ))
 def json_text(spark, sf_dir):
-    return reduce(DataFrame.unionByName, [
-        quality.json_share(load(spark, sf_dir, t), c).select(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), "*")
-        for t, c in JSON_COLUMNS
-    ])
+    return quality.json_shares(load_all(spark, sf_dir, list(TEXTS)), TEXTS)
 
 
 # ---- reconciliation: lines are payments of an order, returned lines are credits ----

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -37,7 +38,7 @@ def sample_key_sql(table: str) -> str:
 def own_tables(spark, sf_dir):
     """The source of the given tables only, whatever else lies in the folder."""
     source = open_source(spark, "parquet", sf_dir, database="warehouse")
-    return source.__class__(source.kind, source.database, [t for t in source.tables if t.name in TABLES], source.reader)
+    return replace(source, tables=[t for t in source.tables if t.name in TABLES])
 
 
 COUNTS = [f"select '{t}' as table_name, count(*) as row_count, {len(fields(t))} as n_columns from {t}" for t in TABLES]

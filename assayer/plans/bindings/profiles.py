@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayer.functions.dates import quarter_label
@@ -24,23 +26,26 @@ def column_profile(spark, sf_dir):
     return full_profile(spark, sf_dir)
 
 
-PAIR_COLUMNS = {"conversations": ["conv_id", "turn", "role"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]}
-PAIRS = [(t, a, b) for t, cs in PAIR_COLUMNS.items() for i, a in enumerate(cs) for b in cs[i + 1:]]
+# every set of two or three columns of every table
+SETS = [(t, names) for t in TABLES for n in (2, 3) for names in combinations([c for c, _ in fields(t)], n)]
 
 
-@query("agg_5", f"""with {profile_sql()}
+@query("agg_5", f"""with {profile_sql()},
+sets as ({union_sql(
+    f"select '{t}' as table_name, ['{"', '".join(cs)}'] as columns, count(*) = count(distinct ({', '.join(cs)})) and count(*) > 0"
+    f" and {' and '.join(f'count(*) = count({c})' for c in cs)} as is_key from {t}" for t, cs in SETS)}),
+found as (select * from sets where is_key and table_name not in (select table_name from prof where is_key))
 select table_name, column_name as key_columns from prof where is_key
 union all
-select p.table_name, p.key_columns from ({union_sql(
-    f"select '{t}' as table_name, '{a},{b}' as key_columns, count(*) as n_distinct, sum(n) as n_rows "
-    f"from (select {a}, {b}, count(*) as n from {t} group by 1, 2)" for t, a, b in PAIRS)}) p
-where p.n_rows = p.n_distinct and not exists (
-  select 1 from prof q where q.is_key and q.table_name = p.table_name and q.column_name in ({", ".join(f"'{c}'" for cs in PAIR_COLUMNS.values() for c in cs)}))""")
+select table_name, array_to_string(columns, ',') from found f
+where not exists (select 1 from found g where g.table_name = f.table_name and len(g.columns) < len(f.columns) and list_has_all(f.columns, g.columns))""")
 def keys(spark, sf_dir):
-    single = full_profile(spark, sf_dir).where("is_key").select("table_name", F.col("column_name").alias("key_columns"))
-    for table, columns in PAIR_COLUMNS.items():
-        pairs = profile.composite_keys(load(spark, sf_dir, table), columns)
-        single = single.unionByName(pairs.select(F.lit(table).alias("table_name"), F.concat_ws(",", "column_a", "column_b").alias("key_columns")))
+    tables = load_all(spark, sf_dir)
+    single = cut(full_profile(spark, sf_dir).where("is_key").select("table_name", F.col("column_name").alias("key_columns")))
+    keyed = {r.table_name for r in single.select("table_name").distinct().collect()}  # table names
+    for table in [t for t in TABLES if t not in keyed]:
+        sets = profile.composite_keys(tables[table])
+        single = single.unionByName(sets.select(F.lit(table).alias("table_name"), F.concat_ws(",", "key_columns").alias("key_columns")))
     return single
 
 
@@ -139,16 +144,17 @@ def grains(spark, sf_dir):
     return profile.time_grains({"orders": orders, "lineitem": load(spark, sf_dir, "lineitem"), "events": load(spark, sf_dir, "events")})
 
 
-TOP_TABLES = ["orders", "customer", "part", "lineitem", "events", "documents", "conversations"]
+# every column but nested ones, whose text form no two engines share
+PLAIN = {t: [c for c, k in fields(t) if k != "json"] for t in TABLES}
 
 
 @query("srt_3", f"""with cells as ({union_sql(
     f"select '{t}' as table_name, '{c}' as column_name, cast({c} as varchar) as value, count(*) as n from {t} where {c} is not null group by 3"
-    for t in TOP_TABLES for c, _ in fields(t))}),
+    for t, names in PLAIN.items() for c in names)}),
 ranked as (select *, row_number() over (partition by table_name, column_name order by n desc, value) as rank from cells)
 select table_name, column_name, value, n, rank from ranked where rank <= 5""")
 def top_values(spark, sf_dir):
-    ranked = profile.top_values(load_all(spark, sf_dir, TOP_TABLES), None, 5)
+    ranked = profile.top_values(load_all(spark, sf_dir), PLAIN, 5)
     return ranked.withColumn("rank", F.col("rank").cast("bigint"))
 
 

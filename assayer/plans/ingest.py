@@ -88,9 +88,23 @@ def structure(spark: SparkSession, source: Source) -> str:
 
 def ingest(spark: SparkSession, source: Source, root: str, scope_id: str | None = None,
            sample_limit: int = DEFAULT_SAMPLE_ROWS, rule_version: str = RULESET_VERSION) -> Outcome:
-    """Store a new snapshot unless the last one of this source has the same structure and rule set."""
-    mark = structure(spark, source)
+    """Store a new snapshot unless the last one of this source has the same structure and rule set.
+
+    Where the source lists its files, an unchanged list tells by itself that the structure is that of the last run; no
+    job runs then. If the list has changed, footers tell the structure.
+    """
     database = source.database if source.tables else ""
+    listing = source.listing()
+    noted = store.read_mark(spark, root, database) if listing else None
+    known = {"listing": listing, "rule_version": rule_version, "scope_id": scope_id}
+    if noted and all(noted.get(k) == v for k, v in known.items()):
+        return Outcome(True, noted["snapshot_id"], datetime.fromisoformat(noted["captured_at"]), 0, 0)
+
+    def note(snapshot_id: str, captured_at: datetime) -> None:
+        if listing:
+            store.write_mark(spark, root, database, {**known, "snapshot_id": snapshot_id, "captured_at": captured_at.isoformat()})
+
+    mark = structure(spark, source)
     try:
         stored = store.read_table(spark, root, "schema_snapshots", store.SNAPSHOTS_DDL)
     except Exception as error:
@@ -101,6 +115,7 @@ def ingest(spark: SparkSession, source: Source, root: str, scope_id: str | None
     previous = snapshots.latest(stored.where(F.col("source_database") == database)).withColumnRenamed("rule_version", "prompt_version")
     decision = snapshots.skip_decisions(current, previous, rule_version).first()
     if decision["skip"]:
+        note(decision["last_snapshot_id"], decision["last_captured_at"])
         return Outcome(True, decision["last_snapshot_id"], decision["last_captured_at"], 0, 0)
     captured = capture(spark, source, sample_limit)
     snapshot_id, now = str(uuid.uuid4()), datetime.now(timezone.utc).replace(tzinfo=None)
@@ -109,5 +124,6 @@ def ingest(spark: SparkSession, source: Source, root: str, scope_id: str | None
         root, head, captured.tables.withColumn("snapshot_id", F.lit(snapshot_id)),
         captured.columns.withColumn("snapshot_id", F.lit(snapshot_id)),
     )
+    note(snapshot_id, now)
     n_columns = inventory.column_inventory(spark, source).count()
     return Outcome(False, snapshot_id, now, len(source.tables), n_columns)

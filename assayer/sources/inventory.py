@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from assayer.functions.types import normalize_native, normalize_spark
 from assayer.sources.readers import Source, TableRef
@@ -21,13 +22,13 @@ def table_inventory(spark: SparkSession, source: Source) -> DataFrame:
     return spark.createDataFrame(rows, TABLES_DDL)
 
 
-def describe(ref: TableRef, df: DataFrame) -> list[tuple]:
+def describe(ref: TableRef, schema: StructType) -> list[tuple]:
     return [
         (
             ref.database, ref.schema, ref.name, f.name, normalize_spark(f.dataType), f.dataType.simpleString(),
             f.nullable, position, f.metadata.get("comment"),
         )
-        for position, f in enumerate(df.schema.fields, start=1)
+        for position, f in enumerate(schema.fields, start=1)
     ]
 
 
@@ -46,7 +47,7 @@ def column_inventory(spark: SparkSession, source: Source) -> DataFrame:
             F.col("ordinal_position").cast("int").alias("ordinal_position"),
             "comment",
         )
-    rows = [row for ref in source.tables for row in describe(ref, source.read(ref))]
+    rows = [row for ref in source.tables for row in describe(ref, source.schema(ref))]
     return spark.createDataFrame(rows, COLUMNS_DDL)
 
 
@@ -63,32 +64,34 @@ def ordered_names(df: DataFrame, keys: list[str], position: str, name: str, alia
     return df.groupBy(*keys).agg(F.transform(pairs, lambda p: p[name]).alias(alias))
 
 
+COUNTS_DDL = "database_name string, schema_name string, table_name string, row_count bigint, is_estimate boolean"
+
+
 def row_counts(spark: SparkSession, source: Source, exact: bool = True) -> DataFrame:
-    """Counted rows, or the warehouse's own estimate (NULL where it has none)."""
-    if not exact:
-        known = table_inventory(spark, source).select("database_name", "schema_name", "table_name")
-        if source.row_estimates is None:
-            known = known.withColumn("row_count", F.lit(None).cast("bigint"))
-        else:
-            known = known.join(
-                source.row_estimates.withColumnRenamed("row_count_estimate", "row_count"), ["schema_name", "table_name"], "left"
-            )
-        return known.withColumn("is_estimate", F.lit(True))
-    counted = [
-        source.read(t).agg(F.count("*").alias("row_count")).select(
-            F.lit(t.database).alias("database_name"),
-            F.lit(t.schema).alias("schema_name"),
-            F.lit(t.name).alias("table_name"),
-            "row_count",
-            F.lit(False).alias("is_estimate"),
-        )
-        for t in source.tables
-    ]
-    if not counted:
-        return spark.createDataFrame(
-            [], "database_name string, schema_name string, table_name string, row_count bigint, is_estimate boolean"
-        )
-    return reduce(DataFrame.unionByName, counted)
+    """Rows per table: from file footers where they tell (exact, no scan), else counted.
+
+    With `exact=False` nothing is scanned: what footers do not tell is the catalogue's statistics or the warehouse's own
+    estimate, or NULL where there is none.
+    """
+    told = {t: source.row_count(t) for t in source.tables}
+    rows = [(t.database, t.schema, t.name, n, False) for t, n in told.items() if n is not None]
+    left = [t for t, n in told.items() if n is None]
+    parts = [spark.createDataFrame(rows, COUNTS_DDL)] if rows or not left else []
+    if not exact and left:
+        known = spark.createDataFrame([(t.database, t.schema, t.name, source.statistics.get(t)) for t in left],
+                                      "database_name string, schema_name string, table_name string, row_count bigint")
+        if source.row_estimates is not None:
+            known = known.drop("row_count").join(
+                source.row_estimates.withColumnRenamed("row_count_estimate", "row_count"), ["schema_name", "table_name"], "left")
+        parts.append(known.select("database_name", "schema_name", "table_name", "row_count", F.lit(True).alias("is_estimate")))
+    elif left:
+        parts += [
+            source.read(t).agg(F.count("*").alias("row_count")).select(
+                F.lit(t.database).alias("database_name"), F.lit(t.schema).alias("schema_name"), F.lit(t.name).alias("table_name"),
+                "row_count", F.lit(False).alias("is_estimate"))
+            for t in left
+        ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def tables_by_schema(tables: DataFrame) -> DataFrame:

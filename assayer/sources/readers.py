@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from assayer.sources.footers import FooterIndex
 from assayer.vocab import SYSTEM_SCHEMAS
 
 
@@ -46,6 +48,21 @@ class Source:
     native_columns: DataFrame | None = None
     primary_keys: DataFrame | None = None
     row_estimates: DataFrame | None = None
+    footers: FooterIndex | None = None
+    schemas: Callable[[TableRef], StructType] | None = None
+    # row counts that a catalogue keeps from its last ANALYZE TABLE
+    statistics: dict[TableRef, int] = field(default_factory=dict)
+
+    def row_count(self, ref: TableRef) -> int | None:
+        """The exact number of rows where the source's metadata tells it without a scan."""
+        return self.footers[ref.qualified].row_count if self.footers else None
+
+    def schema(self, ref: TableRef) -> StructType:
+        return self.schemas(ref) if self.schemas else self.read(ref).schema
+
+    def listing(self) -> str | None:
+        """A digest of the files behind the tables, or None for sources without files."""
+        return self.footers.digest([t.qualified for t in self.tables]) if self.footers else None
 
     def read(self, ref: TableRef) -> DataFrame:
         if ref not in self.tables:
@@ -57,8 +74,13 @@ def _visible(refs: list[TableRef]) -> list[TableRef]:
     return sorted((r for r in refs if r.schema not in SYSTEM_SCHEMAS), key=lambda r: (r.schema, r.name))
 
 
-def parquet_source(spark: SparkSession, location: str, database: str = "files", schema: str = "public") -> Source:
-    """`<location>/<table>[.parquet]`, or `<location>/<schema>/<table>[.parquet]`, in any Hadoop file system."""
+def parquet_source(spark: SparkSession, location: str, database: str = "files", schema: str = "public",
+                   index: str | None = None) -> Source:
+    """`<location>/<table>[.parquet]`, or `<location>/<schema>/<table>[.parquet]`, in any Hadoop file system.
+
+    Schemas of a table's files of several generations are merged. `index` is a folder that keeps what footers told, so
+    that another run reads those of new files only.
+    """
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(location)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -85,20 +107,22 @@ def parquet_source(spark: SparkSession, location: str, database: str = "files",
                 if is_table(inner):
                     ref = TableRef(database, name, inner.getPath().getName().removesuffix(".parquet"))
                     paths[ref] = inner.getPath().toString()
-    schemas: dict[TableRef, StructType] = {}
+    footers = FooterIndex(spark, {ref.qualified: path for ref, path in paths.items()}, index)
 
     def read(ref: TableRef) -> DataFrame:
-        if ref not in schemas:  # looking into the files is a job; once per table is enough
-            # a table may have files of several generations; none of their columns is left out
-            schemas[ref] = spark.read.option("mergeSchema", "true").parquet(paths[ref]).schema
-        return spark.read.schema(schemas[ref]).parquet(paths[ref])
+        return spark.read.schema(footers[ref.qualified].schema).parquet(paths[ref])
+
+    def schema_of(ref: TableRef) -> StructType:
+        # folders named key=value add columns that no footer has
+        partitioned = any("=" in f.path.removeprefix(paths[ref]) for f in footers.files[ref.qualified])
+        return read(ref).schema if partitioned else footers[ref.qualified].schema
 
-    return Source("parquet", database, _visible(list(paths)), read)
+    return Source("parquet", database, _visible(list(paths)), read, footers=footers, schemas=schema_of)
 
 
 def catalog_source(spark: SparkSession, location: str) -> Source:
     """Base tables of every database of a Spark catalogue whose name matches `location` (a pattern)."""
-    refs, comments = [], {}
+    refs, comments, statistics = [], {}, {}
     catalog = spark.catalog.currentCatalog()
     for db in spark.catalog.listDatabases(location):
         for table in spark.catalog.listTables(db.name):
@@ -108,8 +132,12 @@ def catalog_source(spark: SparkSession, location: str) -> Source:
             refs.append(ref)
             if table.description:
                 comments[ref] = table.description
+            kept = spark.sql(f"describe extended `{ref.schema}`.`{ref.name}`").where("col_name = 'Statistics'").first()
+            counted = re.search(r"(\d+) rows", kept["data_type"]) if kept else None
+            if counted:
+                statistics[ref] = int(counted[1])
     return Source(
-        "catalog", catalog, _visible(refs), lambda ref: spark.table(f"`{ref.schema}`.`{ref.name}`"), comments
+        "catalog", catalog, _visible(refs), lambda ref: spark.table(f"`{ref.schema}`.`{ref.name}`"), comments, statistics=statistics
     )
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assayer.functions.jsons import encode_samples
@@ -151,3 +154,32 @@ def persist_definitions(root: str, proposals: DataFrame, snapshot_columns: DataF
 
 def dump_json(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
+
+
+def _mark_file(spark: SparkSession, root: str, name: str):
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root}/source_marks/{hashlib.md5(name.encode()).hexdigest()}.json")
+    return jvm, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def read_mark(spark: SparkSession, root: str, name: str) -> dict | None:
+    """What the last complete run noted about a source; None if there was none. A few bytes, read without a job."""
+    jvm, fs, path = _mark_file(spark, root, name)
+    if not fs.exists(path):
+        return None
+    stream = fs.open(path)
+    try:
+        return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    except ValueError:  # a run ended while it wrote; as if there were none
+        return None
+    finally:
+        stream.close()
+
+
+def write_mark(spark: SparkSession, root: str, name: str, mark: dict) -> None:
+    _, fs, path = _mark_file(spark, root, name)
+    stream = fs.create(path, True)
+    try:
+        stream.write(bytearray(json.dumps(mark).encode()))
+    finally:
+        stream.close()

@@ -1,4 +1,5 @@
 import datetime
+import itertools
 import random
 
 import pytest
@@ -100,7 +101,7 @@ def test_cardinality_edges(spark):
 def test_composite_keys(frame):
     tables = make_tables(frame)
     found = profile.composite_keys(tables["pairs"]).collect()
-    assert [(r.column_a, r.column_b, r.n_distinct) for r in found] == [("a", "b", 16)]
+    assert [(r.key_columns, r.n_rows) for r in found] == [(["a", "b"], 16)]
     assert profile.composite_keys(tables["facts"]).count() == 0  # a single key exists
     assert profile.composite_keys(tables["void"]).count() == 0
 
@@ -108,7 +109,24 @@ def test_composite_keys(frame):
 def test_composite_keys_of_decimals(frame):
     df = frame("a int, b int, c double", [(i, j, 1.0) for i in range(9) for j in range(9)]).selectExpr(
         "cast(a as decimal(10,0)) as a", "cast(b as decimal(10,0)) as b", "c")
-    assert [(r.column_a, r.column_b) for r in profile.composite_keys(df).collect()] == [("a", "b")]
+    assert [r.key_columns for r in profile.composite_keys(df).collect()] == [["a", "b"]]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_composite_keys_equal_brute_force(frame, seed, monkeypatch):
+    """Pairs and triples, minimal ones only, columns with NULLs left out; with and without a few rows that refute."""
+    monkeypatch.setattr(profile, "REFUTING_ROWS", 5 if seed % 2 else 1000)
+    monkeypatch.setattr(profile, "SETS_AT_A_TIME", 3)
+    rng = random.Random(seed)
+    rows = sorted({(rng.randrange(4), rng.randrange(4), rng.randrange(4), rng.choice("xyz"), rng.choice([0.5, 1.5]), rng.choice([1, 2, None])) for _ in range(40)}, key=str)
+    names = "abcdef"
+    got = {tuple(r.key_columns) for r in profile.composite_keys(frame("a int, b int, c int, d string, e double, f int", rows)).collect()}
+    full = [i for i in range(6) if all(r[i] is not None for r in rows)]
+    unique = lambda s: len({tuple(r[i] for i in s) for r in rows}) == len(rows)
+    keys = []
+    for size in (1, 2, 3):
+        keys += [s for s in itertools.combinations(full, size) if unique(s) and not any(set(k) <= set(s) for k in keys)]
+    assert got == ({tuple(names[i] for i in k) for k in keys} if not any(len(k) == 1 for k in keys) else set())
 
 
 @pytest.mark.parametrize("n", [10, 11, 98, 101, 10_150])
@@ -124,6 +142,15 @@ def test_top_values_break_ties_by_value(frame):
     assert [(r.value, r.n, r["rank"]) for r in got] == [("c", 2, 1), ("a", 1, 2)]
 
 
+def test_top_values_of_long_texts(frame):
+    """Texts that begin alike are told apart and ordered by what follows; none is shown as a digest."""
+    alike = "same beginning " * 20
+    texts = [alike + t for t in ("d", "b", "c", "a", "c")] + ["q" * 192, "short", "z" * 500, "z" * 500, None]
+    df = frame("c string, n int", [(t, 1) for t in texts])
+    got = profile.top_values({"t": df}, None, 4).where("column_name = 'c'").orderBy("rank").collect()
+    assert [(r.value, r.n) for r in got] == [(alike + "c", 2), ("z" * 500, 2), ("q" * 192, 1), (alike + "a", 1)]
+
+
 def test_grains(frame):
     d = datetime.date
     rows = [(d(2024, 1, 1), d(2024, 1, 1), d(2024, 4, 1), d(2023, 1, 2), d(2024, 1, 5)), (d(2023, 1, 1), d(2024, 2, 1), d(2024, 1, 1), d(2024, 1, 8), None)]

@@ -17,6 +17,7 @@ taken in buckets, so no key holds all rows. Nothing depends on the order of the
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import struct
@@ -31,6 +32,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayer.llm.ngrams import text_slices
+from assayer.llm.workers import kept
 from assayer.session import cut
 
 # Worker code travels with the query, so workers need not have this package installed.
@@ -131,14 +133,16 @@ class WordEncoder:
 def encoded(docs: DataFrame, tokenizer_path: str, capacity: int, spare: int, text: str, doc_id: str) -> DataFrame:
     """_row (a number of its own), doc_id, n (ids), crcs (of every `capacity` ids), ids (by `capacity`; of spare documents only)."""
     with open(tokenizer_path, encoding="utf-8") as file:
-        vocabulary = docs.sparkSession.sparkContext.broadcast(file.read())  # one file of fixed size
+        tokenizer_json = file.read()
+    digest = hashlib.md5(tokenizer_json.encode()).hexdigest()
+    vocabulary = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # one file of fixed size
     step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in batches:
             for part in text_slices(batch, "_text"):
-                encoder = encoder or WordEncoder(vocabulary.value)
+                encoder = encoder or kept(f"words {digest}", lambda: WordEncoder(vocabulary.value))
                 n, crcs, ids = [], [], []
                 texts = [(t or "").encode() for t in part.column("_text").to_pylist()]
                 for packed, aside in zip(encoder.encode(texts), part.column("_aside").to_pylist()):

@@ -11,6 +11,8 @@ import string
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from assayer.llm.groups import by_place
+
 SALTS = 64  # one bit each of a 64-bit mask
 
 GROUP_KEY = ["_digest", "_check", "_salt"]
@@ -71,13 +73,13 @@ def copy_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows that copy_groups keeps, with all their columns."""
-    columns = docs.columns
-    keepers = copy_classes(docs, text, doc_id).select(
+    """The rows that copy_groups keeps, with all their columns, whatever their names. An empty table stays empty."""
+    plain, (text, doc_id) = by_place(docs, text, doc_id)
+    keepers = copy_classes(plain, text, doc_id).select(
         F.coalesce("keep_id", F.lit(0)).alias("_keep"), F.col("keep_id").isNull().alias("_null"), "_digest", "_check")
-    rows = _keyed(docs, text, doc_id).drop("_text", "_salt").withColumns(
+    rows = _keyed(plain, text, doc_id).drop("_text", "_salt").withColumns(
         {"_keep": F.coalesce(F.col(doc_id), F.lit(0)), "_null": F.col(doc_id).isNull()})
     key = ["_keep", "_null", "_digest", "_check"]
     kept = rows.join(keepers, key, "left_semi")
     repeat = F.row_number().over(Window.partitionBy(*key).orderBy(*key))
-    return kept.withColumn("_repeat", repeat).where("_repeat = 1").select(*[F.col(f"`{c}`") for c in columns])
+    return kept.withColumn("_repeat", repeat).where("_repeat = 1").select(*plain.columns).toDF(*docs.columns)

@@ -7,6 +7,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 SALTS = 64  # one bit each of a 64-bit mask
 
 
+def by_place(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """The table with its columns named c0, c1, ... and the new names of some of them, so that no name of a user's column
+    clashes with one of an operator's own. `toDF(*docs.columns)` gives the names back."""
+    lowered = [c.lower() for c in docs.columns]
+    plain = docs.toDF(*[f"c{i}" for i in range(len(lowered))])
+    return plain, [f"c{docs.columns.index(n) if n in docs.columns else lowered.index(n.lower())}" for n in names]
+
+
 def text_key(text: Column) -> Column:
     """Tells rows of one doc_id with different texts apart; null counts as empty."""
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from assayer.llm.groups import by_place
 from assayer.session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -198,13 +199,16 @@ def take(
     docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_COPIES,
     text: str = "text", doc_id: str = "doc_id", source: str = "source", block: int = BLOCK,
 ) -> DataFrame:
-    """The mix itself: every row as often as the mix takes it, with its own columns."""
-    columns = docs.columns
-    picked = _mixed(docs, weights, share, most, text, doc_id, source, block).where("copies > 0").select(
+    """The mix itself: every row as often as the mix takes it, with its own columns, whatever their names.
+
+    Nulls, texts without words, repeated rows and empty tables are treated as in `mix`.
+    """
+    plain, (text, doc_id, source) = by_place(docs, text, doc_id, source)
+    picked = _mixed(plain, weights, share, most, text, doc_id, source, block).where("copies > 0").select(
         F.col("doc_id").alias("_mix_id"), F.col("_row").alias("_mix_number"), F.col("copies").alias("_mix_copies"))
     # numbered as in `measured`; rows that agree in source and size may change places there, the text orders them here
-    repeat = F.row_number().over(Window.partitionBy(F.col(f"`{doc_id}`")).orderBy(
-        F.col(f"`{source}`"), word_count(F.col(f"`{text}`")), F.xxhash64(F.col(f"`{text}`"))))
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_row") == F.col("_mix_number"))
-    return docs.withColumn("_mix_row", repeat).join(picked, same).withColumn(
-        "_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in columns])
+    repeat = F.row_number().over(Window.partitionBy(F.col(doc_id)).orderBy(
+        F.col(source), word_count(F.col(text)), F.xxhash64(F.col(text))))
+    same = F.col(doc_id).eqNullSafe(F.col("_mix_id")) & (F.col("_mix_row") == F.col("_mix_number"))
+    return plain.withColumn("_mix_row", repeat).join(picked, same).withColumn(
+        "_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*plain.columns).toDF(*docs.columns)

@@ -9,8 +9,10 @@ their weighted Jaccard similarity.
 
 Texts with equal shingle sets are one vertex. Signatures are joined by bands. Within a band's bucket the members are
 compared with a few hubs, not with one another; texts whose similarity, computed exactly on the shingles, is at least
-the threshold are linked. Buckets whose members are not yet in one class get more hubs, in a few turns. What is then
-left is compared pair by pair, across classes only, so no candidate is lost. Classes are the connected components.
+the threshold are linked. Buckets whose members are not yet in one class get more hubs, in a few turns. Members of
+buckets that are still open then meet across classes, but only where they share one of their rarest shingles, as every
+pair at the threshold must; so no link is lost, and a crowd around one template does not meet as a square of pairs.
+Classes are the connected components.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from assayer.llm.groups import by_salt, salt_of, salted_totals, text_key
+from assayer.llm.groups import by_place, by_salt, salt_of, salted_totals, text_key
 from assayer.llm.ngrams import Words, mix, ngram_hashes, text_slices
 from assayer.operators.components import components
 from assayer.session import cut
@@ -37,6 +39,8 @@ SIMILARITY = 0.8
 # 25 bands of 5: a pair at the threshold shares a band with probability 1 - (1 - 0.8^5)^25 > 0.9999
 BANDS, ROWS = 25, 5
 HUBS = (1, 4, 16)  # hubs of a bucket, turn by turn; members of one class meet no further ones
+SIZE_RATIO = 1.05  # between the bands of sizes in the join for what hubs leave
+ORDERED_BY, COMMON = 16, 1 << 20  # one set in so many tells which cells are common; so many are told at most
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -217,7 +221,7 @@ def _placed(docs: DataFrame, similarity: float, shingle: int, bands: int, rows:
         links = new if links is None else links.union(new)
         if new.count() or roots is None:
             roots = components(links)
-    rest = cut(_pairs_across(members, roots, similarity).join(tried, ["a", "b"], "left_anti"))
+    rest = cut(_pairs_across(members, roots, cell_sets, similarity).join(tried, ["a", "b"], "left_anti"))
     new = cut(linked(rest, cell_sets, similarity))
     if new.count():
         roots = components(links.union(new))
@@ -275,28 +279,99 @@ def _pairs_with_hubs(members: DataFrame, roots: DataFrame | None, turn: int, n_h
     return met.select(*_ordered("doc_id", "hub.id")).distinct()
 
 
-def _pairs_across(members: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """The pairs of an open bucket that lie in different classes."""
-    rows = _open_members(members, roots).select("band", "key", "doc_id", "n_cells", "root")
-    other = rows.toDF("band", "key", "_id", "_size", "_root")
-    return rows.join(other, ["band", "key"]).where(
-        (F.col("root") < F.col("_root")) & _close_in_size("n_cells", "_size", similarity)
-    ).select(*_ordered("doc_id", "_id")).distinct()
+def least_overlap(x, y, similarity: float):
+    """Cells that sets of x and y cells share at least if they are similar enough."""
+    return np.ceil(similarity / (1 + similarity) * (np.asarray(x) + y) - 1e-9)
+
+
+def size_band(size) -> np.ndarray:
+    return np.floor(np.log(size) / np.log(SIZE_RATIO) + 1e-9).astype(np.int64)
+
+
+def rare_prefixes(cell: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, band, place) of the rows that stand for a set in the join for pairs; place is negative in a partner's role.
+
+    In one order of all cells, rare ones first, similar sets share a cell among the first few: with x <= y cells and an
+    overlap of a, one of the first x - a + 1 of the smaller and the first y - a + 1 of the larger. As the smaller, a set
+    offers the cells that suffice for a partner of its own size, in its own band of sizes; as the larger, it asks with
+    each cell in the bands of those smaller sizes that the place of the cell still allows.
+    """
+    y = len(cell)
+    at = np.searchsorted(common, cell)
+    known = common[np.minimum(at, len(common) - 1)] == cell if len(common) else np.zeros(y, dtype=bool)
+    ordered = cell[np.lexsort((cell, known))]
+    offered = int(y - least_overlap(y, y, similarity)) + 1
+    low = int(np.ceil(similarity * y - 1e-9))
+    asked = np.arange(int(y - least_overlap(low, y, similarity)) + 1)
+    # the largest x with place <= y - least_overlap(x, y)
+    high = np.minimum(np.floor((y - asked) * (1 + similarity) / similarity + 1e-9) - y, y)
+    first, last = size_band(low), size_band(np.maximum(high, low))
+    n = np.where(high >= low, last - first + 1, 0)
+    place = np.repeat(asked, n)
+    band = first + np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
+    return (np.concatenate([ordered[:offered], ordered[place]]),
+            np.concatenate([np.full(offered, size_band(y)), band]),
+            np.concatenate([np.arange(offered), -1 - place]))
+
+
+def _common_cells(sets: DataFrame) -> np.ndarray:
+    """Cells that many sets hold, sorted; at most COMMON, known from a share of the sets.
+
+    They only put cells in order: any order gives the same pairs, and this one keeps what a crowd shares out of the join.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cells_of in batch.column("cells"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(cells_of.as_py(), dtype=np.int64))], names=["cell"])
+
+    some = sets.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(ORDERED_BY)) == 0).select("cells")
+    counted = some.mapInArrow(run, "cell bigint").groupBy("cell").count().where("count > 1").orderBy(F.desc("count"), "cell").limit(COMMON)
+    return np.sort(np.array([r["cell"] for r in counted.select("cell").collect()], dtype=np.int64).view(np.uint64))
+
+
+def _pairs_across(members: DataFrame, roots: DataFrame, cell_sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of members of open buckets that lie in different classes and may be similar enough.
+
+    Not the pairs of a bucket, of which a crowd around one template would have the square: pairs must share a rare cell.
+    """
+    open_ones = _open_members(members, roots).groupBy("doc_id").agg(F.first("root").alias("root"))
+    sets = cut(open_ones.join(cell_sets, "doc_id"))
+    common = sets.sparkSession.sparkContext.broadcast(_common_cells(sets))  # at most COMMON numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, root, packed in zip(*[batch.column(c) for c in ("doc_id", "root", "cells")]):
+                cell = np.frombuffer(packed.as_py(), dtype=np.uint64)
+                token, band, place = rare_prefixes(cell, common.value, similarity)
+                n = len(token)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(token.view(np.int64)), pa.array(band), pa.array(place), pa.array(np.full(n, doc_id.as_py())),
+                    pa.array(np.full(n, root.as_py())), pa.array(np.full(n, len(cell)))], names=["token", "band", "place", "id", "root", "size"])
+
+    rows = cut(sets.mapInArrow(run, "token bigint, band bigint, place bigint, id bigint, root bigint, size bigint"))
+    smaller = rows.where("place >= 0").toDF("token", "band", "place", "a_id", "a_root", "a_size")
+    larger = rows.where("place < 0").select("token", "band", (-1 - F.col("place")).alias("b_place"), F.col("id").alias("b_id"),
+                                            F.col("root").alias("b_root"), F.col("size").alias("b_size"))
+    overlap = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("a_size") + F.col("b_size")) - 1e-9)
+    return smaller.join(larger, ["token", "band"]).where(
+        (F.col("a_root") != F.col("b_root")) & (F.col("a_size") <= F.col("b_size")) & _close_in_size("a_size", "b_size", similarity)
+        & (F.col("place") <= F.col("a_size") - overlap) & (F.col("b_place") <= F.col("b_size") - overlap)
+    ).select(*_ordered("a_id", "b_id")).distinct()
 
 
 def drop_near_copies(
     docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS,
     weighted: bool = False, text: str = "text", doc_id: str = "doc_id",
 ) -> DataFrame:
-    """One document of each class, the one with the smallest number; all its columns. Rows without a number all stay.
+    """One document of each class, the one with the smallest number; all its columns, whatever their names.
 
-    Of texts that share this number the one with the smallest digest stays; rows that repeat number and text stay together.
+    Of texts that share this number the one with the smallest digest stays; rows that repeat number and text stay
+    together. Rows without a number all stay. An empty table stays empty.
     """
-    columns = docs.columns
-    if len(set(columns)) < len(columns):
-        raise ValueError("column names repeat")
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    plain, (text, doc_id) = by_place(docs, text, doc_id)
+    narrow = plain.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     others = _placed(narrow, similarity, shingle, bands, rows, weighted).where("not stays").select(
         F.col("doc_id").alias("_other"), F.col("_key").alias("_other_key")).distinct()
-    same = (F.col(f"`{doc_id}`") == F.col("_other")) & (text_key(F.col(f"`{text}`")) == F.col("_other_key"))
-    return docs.join(others, same, "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+    same = (F.col(doc_id) == F.col("_other")) & (text_key(F.col(text)) == F.col("_other_key"))
+    return plain.join(others, same, "left_anti").toDF(*docs.columns)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from assayer.llm.groups import text_key
+from assayer.llm.groups import by_place, text_key
 from assayer.llm.ngrams import Words, text_slices
 from assayer.session import cut
 
@@ -218,8 +218,12 @@ def keep_good(
     docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", doc_id: str = "doc_id",
     features: int = FEATURES, ridge: float = RIDGE, threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """The rows that are not rejected, with all their columns, each judged by its own text. Rows without a number all stay."""
-    rejected = _scored(docs, labels, label, text, doc_id, features, ridge, threshold, keyed=True).where("predicted = 0").select(
+    """The rows that are not rejected, with all their columns, whatever their names, each judged by its own text.
+
+    Rows without a number all stay; rows that repeat number and text share their fate. An empty table stays empty.
+    """
+    plain, (text, doc_id) = by_place(docs, text, doc_id)
+    rejected = _scored(plain, labels, label, text, doc_id, features, ridge, threshold, keyed=True).where("predicted = 0").select(
         F.col("doc_id").alias("_rejected"), F.col("_key").alias("_rejected_key")).distinct()
-    same = (F.col(f"`{doc_id}`") == F.col("_rejected")) & (text_key(F.col(f"`{text}`")) == F.col("_rejected_key"))
-    return docs.join(rejected, same, "left_anti")
+    same = (F.col(doc_id) == F.col("_rejected")) & (text_key(F.col(text)) == F.col("_rejected_key"))
+    return plain.join(rejected, same, "left_anti").toDF(*docs.columns)

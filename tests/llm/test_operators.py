@@ -450,6 +450,48 @@ def test_components_of_long_chains(spark):
     assert set(got.values()) == {0, 5000} and len(got) == 2 * n + 4
 
 
+@pytest.mark.parametrize("similarity", [0.5, 0.8])
+def test_similar_sets_meet_at_a_rare_cell(similarity):
+    """Every similar pair shares a row of `rare_prefixes` in the roles that its sizes give; pairs of a template alone do not."""
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 2**60, 60, dtype=np.uint64))
+    sets = [base[:k] for k in (1, 2, 5, 40, 60)]
+    for _ in range(150):
+        kept = base[rng.random(len(base)) < rng.uniform(0.6, 1)]
+        sets.append(np.unique(np.concatenate([kept, rng.integers(0, 2**60, rng.integers(0, 25), dtype=np.uint64)])))
+    sets = [s for s in sets if len(s)]
+    for common in (np.zeros(0, dtype=np.uint64), base, base[::2]):
+        offered, asked = [], []
+        for s in sets:
+            token, band, place = near_dedup.rare_prefixes(s, common, similarity)
+            rows = list(zip(token.tolist(), band.tolist(), place.tolist()))
+            offered.append({(t, b): p for t, b, p in rows if p >= 0})
+            asked.append({(t, b): -1 - p for t, b, p in rows if p < 0})
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                shared = len(np.intersect1d(a, b))
+                if i != j and len(a) <= len(b) and shared >= similarity * (len(a) + len(b) - shared) - 1e-9:
+                    least = near_dedup.least_overlap(len(a), len(b), similarity)
+                    assert any(offered[i][k] <= len(a) - least and asked[j][k] <= len(b) - least for k in offered[i].keys() & asked[j].keys())
+    # 12 cells of its own of 100 each: similarity 0.786, no pair at all
+    template = np.arange(88, dtype=np.uint64)
+    crowd = [np.concatenate([template, np.uint64(1000 + 100 * i) + np.arange(12, dtype=np.uint64)]) for i in range(40)]
+    keys = [{(t, b) for t, b, p in zip(*near_dedup.rare_prefixes(c, template, 0.8)) if p >= 0} for c in crowd]
+    assert len(set().union(*keys)) == sum(map(len, keys))
+
+
+@pytest.mark.parametrize("own", [10, 14, 15])
+def test_near_dedup_of_a_crowd_around_a_template(spark, own, monkeypatch):
+    """Texts that share a template at a similarity just below, at or above the threshold, and copies of some of them."""
+    monkeypatch.setattr(near_dedup, "HUBS", (1,))
+    template = " ".join(f"t{i}" for i in range(104 - own))
+    rows = {i: template + " " + " ".join(f"w{i}x{j}" for j in range(own)) for i in range(150)}
+    rows |= {1000 + i: rows[i].replace(f"w{i}x0", "changed") for i in range(0, 150, 10)}
+    df = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(df).collect()}
+    assert got == brute_classes(rows)
+
+
 # ---- op10 ----
 
 def test_exact_dedup(spark, documents):
@@ -542,3 +584,18 @@ def test_take_of_rows_with_one_number_and_without(spark):
         for i, text, _ in rows:
             got[i, len(text.split())].append(seen[i, text])
         assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in copies.items()}
+
+
+INTERNAL = ["_text", "_salt", "_digest", "_check", "_keep", "_null", "_repeat", "_rejected", "_rejected_key", "_other", "_other_key", "_key",
+            "_mix_id", "_mix_number", "_mix_copies", "_mix_row", "_mix_copy", "_row", "c0", "c1", "C7", "score", "predicted", "digest", "a b.c"]
+
+
+def test_stages_keep_every_column_of_the_user(documents, labels):
+    """Names that operators use inside are columns like others: rows come out with the values they came in with."""
+    docs = documents.limit(60).select("*", *[F.concat(F.lit(f"{c} of "), F.col("doc_id")).alias(c) for c in INTERNAL])
+    given = {r["doc_id"]: tuple(r) for r in docs.collect()}
+    for stage in (exact_dedup.drop_copies, lambda d: quality.keep_good(d, labels), near_dedup.drop_near_copies, mixing.take):
+        got = stage(docs)
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert rows and all(tuple(r) == given[r["doc_id"]] for r in rows)

@@ -10,27 +10,29 @@ from assayer.session import scratch_path, tune
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality classifier rejects."""
+    """Without the documents that the quality classifier rejects. Null and empty texts are judged like others; extra columns stay."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts, the one with the largest number; null and empty texts are equal. Extra columns stay."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, the one with the smallest number; texts without words all stay, as do rows
+    without a number. Extra columns stay."""
     return near_dedup.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it: texts without words never, repeated rows each on its own. Extra columns stay."""
     return mixing.take(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as token ids, with digests of the ids and of the text they decode to."""
+    """The documents as token ids, with digests of the ids and of the text they decode to; null and empty texts have no ids.
+    Of the columns, doc_id, lang and source stay."""
     return bpe.token_digests(docs, tokenizer_path(), keep=["doc_id", "lang", "source"])
 
 

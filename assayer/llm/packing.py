@@ -44,85 +44,90 @@ CLASSES = 96
 SPARE = 32
 GAP = 1e-3  # of the linear program, against its optimum
 GRID = 256  # gaps and spare ids meet within cells of so many ids
-REMEMBERED_BYTES = 96 << 20
+REMEMBERED_BYTES = 128 << 20  # a slice of text may go beyond it once
 LINES, LINE_WORDS = 64, 128
 LONGEST_REMEMBERED = 256
-PIECE_BYTES = 1 << 20
-WHITE = re.compile(rb"[ \t-\r]")
-LETTERS_END = re.compile(rb"[a-z](?=[!-/:-@\[-`{-~])")
-SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
+SLICE_BYTES = 4 << 20  # text encoded at a time; a longer text is a slice of its own
+LETTERS_END = re.compile(r"[a-z](?=[!-/:-@\[-`{-~])")
+SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 OVERHEAD = 250  # bytes that an entry of a table takes besides its own
 
 
-def lowered(text: bytes) -> bytes:
-    """A-Z in lower case, as the tokenizer has it anyway; only the names of special tokens must not come about by it."""
-    low = text.lower()
-    return low if b"<|" not in low or all(low.count(t) == text.count(t) for t in SPECIAL) else text
+def lowered(texts: pa.Array) -> pa.Array:
+    """A-Z in lower case, as the tokenizer has them anyway; only the names of special tokens must not come about by it."""
+    low = pa.compute.ascii_lower(texts)
+    odd = pa.compute.indices_nonzero(pa.compute.match_substring(texts, "<|")).to_pylist()
+    if not odd:
+        return low
+    out = low.to_pylist()
+    for i in odd:
+        text = texts[i].as_py()
+        if any(out[i].count(t) != text.count(t) for t in SPECIAL):
+            out[i] = text
+    return pa.array(out, pa.large_string())
 
 
-def word_parts(word: bytes) -> tuple[bytes, ...]:
+def word_parts(word: str) -> tuple[str, ...]:
     """The word, cut before the first mark behind a letter a-z, where a run of letters ends whatever follows."""
     at = LETTERS_END.search(word)
-    if at is None or b"<|" in word:
+    if at is None or "<|" in word:
         return (word,)
     return word[: at.end()], word[at.end() :]
 
 
 class WordEncoder:
-    """Ids of whole texts, packed as little-endian unsigned 32-bit integers.
+    """Ids of whole texts.
 
     The tokenizer drops white space and joins nothing across it, so a text's ids are those of its words, one behind the
-    other. Short words are remembered, up to REMEMBERED_BYTES in all.
+    other. The distinct words of many texts are looked up once each and put in place in arrays. Short words are
+    remembered, up to REMEMBERED_BYTES in all, from task to task of a worker.
     """
 
     def __init__(self, tokenizer_json: str, remembered: int = REMEMBERED_BYTES):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.limit, self.size, self.known = remembered, 0, {}
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.limit, self.size, self.known = remembered, 0, {}
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        out: list[list[bytes]] = [[] for _ in texts]
-        todo, size = [], 0
-        for i, text in enumerate(map(lowered, texts)):
-            start = 0
-            while start < len(text):
-                end = start + PIECE_BYTES
-                space = WHITE.search(text, end) if end < len(text) else None
-                end = space.start() if space else len(text)
-                todo.append((i, text[start:end].split()))
-                size += end - start
-                start = end
-                if size >= PIECE_BYTES:
-                    self._words(todo, out)
-                    todo, size = [], 0
-        self._words(todo, out)
-        return [b"".join(parts) for parts in out]
-
-    def _words(self, todo: list[tuple[int, list[bytes]]], out: list[list[bytes]]) -> None:
-        missing = set().union(*[words for _, words in todo]).difference(self.known)
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's ids start and end)"""
+        words = pa.compute.ascii_split_whitespace(lowered(texts.cast(pa.large_string()).fill_null("")))
+        per_text = pa.compute.list_value_length(words).to_numpy(zero_copy_only=False)
+        each = words.flatten().dictionary_encode()
+        packed = self._ids(each.dictionary.to_pylist())
+        size = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
+        place = each.indices.to_numpy(zero_copy_only=False)
+        n = size[place]
+        end = np.cumsum(n)
+        first = (np.cumsum(size) - size)[place]
+        flat = np.frombuffer(b"".join(packed), dtype="<u4")
+        ids = flat[np.repeat(first - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+        return ids, np.append(0, end)[np.append(0, np.cumsum(per_text))]
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        found = list(map(self.known.get, words))
+        missing = [w for w, ids in zip(words, found) if ids is None]
+        if not missing:
+            return found
         parts = {word: word_parts(word) for word in missing}
         learnt = dict(self._learn(list({p for ps in parts.values() for p in ps}.difference(self.known))))
-        learnt.update((word, b"".join([learnt.get(p) or self.known.get(p, b"") for p in ps])) for word, ps in parts.items() if len(ps) > 1)
-        self.known.update(learnt)
-        for i, words in todo:
-            out[i].append(b"".join(map(self.known.__getitem__, words)))
-        for word in [w for w in learnt if len(w) > LONGEST_REMEMBERED]:
-            del self.known[word], learnt[word]
-        self.size += OVERHEAD * len(learnt) + sum(map(len, learnt)) + sum(map(len, learnt.values()))
-        if self.size > self.limit:
-            self.known, self.size = {}, 0  # full: start anew, so that later texts profit
-
-    def _learn(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        learnt.update((word, b"".join([learnt[p] if p in learnt else self.known[p] for p in ps])) for word, ps in parts.items() if len(ps) > 1)
+        found = [learnt[w] if ids is None else ids for w, ids in zip(words, found)]
+        if self.size < self.limit:  # once full it stays: the words met first are the frequent ones
+            short = {w: ids for w, ids in learnt.items() if len(w) <= LONGEST_REMEMBERED}
+            self.known.update(short)
+            self.size += OVERHEAD * len(short) + sum(map(len, short)) + sum(map(len, short.values()))
+        return found
+
+    def _learn(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """Words with their ids. A line of words is encoded at once; the places of its tokens tell the words apart."""
         for at in range(0, len(words), LINES * LINE_WORDS):
             lines = [words[i : i + LINE_WORDS] for i in range(at, min(at + LINES * LINE_WORDS, len(words)), LINE_WORDS)]
-            shown = [[w.decode() for w in line] for line in lines]
-            for line, texts, e in zip(lines, shown, self.tokenizer.encode_batch([" ".join(t) for t in shown], add_special_tokens=False)):
-                starts = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+            for line, e in zip(lines, self.tokenizer.encode_batch([" ".join(line) for line in lines], add_special_tokens=False)):
+                starts = np.cumsum([0] + [len(w) + 1 for w in line[:-1]])
                 places = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
                 owner = np.searchsorted(starts, places, side="right") - 1
                 ends = (4 * np.cumsum(np.bincount(owner, minlength=len(line)))).tolist()
@@ -141,12 +146,13 @@ def encoded(docs: DataFrame, tokenizer_path: str, capacity: int, spare: int, tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in batches:
-            for part in text_slices(batch, "_text"):
+            for part in text_slices(batch, "_text", SLICE_BYTES):
                 encoder = encoder or kept(f"words {digest}", lambda: WordEncoder(vocabulary.value))
                 n, crcs, ids = [], [], []
-                texts = [(t or "").encode() for t in part.column("_text").to_pylist()]
-                for packed, aside in zip(encoder.encode(texts), part.column("_aside").to_pylist()):
-                    packed = memoryview(packed + struct.pack("<I", END_ID))
+                found, bounds = encoder.encode(part.column("_text"))
+                found, bounds = memoryview(found.tobytes()), (4 * bounds).tolist()
+                for a, b, aside in zip(bounds, bounds[1:], part.column("_aside").to_pylist()):
+                    packed = memoryview(bytes(found[a:b]) + struct.pack("<I", END_ID))
                     n.append(len(packed) // 4)
                     crcs.append([zlib.crc32(packed[i : i + step]) for i in range(0, len(packed), step)])
                     ids.append([bytes(packed[i : i + step]) for i in range(0, len(packed), step)] if aside else None)

@@ -9,6 +9,7 @@ from collections import defaultdict
 from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_operators import clashing, sha
@@ -294,8 +295,16 @@ def test_words_are_encoded_as_the_library_does():
              "The", "the,", "THE.", "<|ENDOFTEXT|>", "a'LL", "x,'s", "can't.", "q<|", "e\u0301,", "a<\u0338b", "don't<|endoftext|>", "I'", "-a-b-", "_"]
     texts = {i: " ".join(np.random.default_rng(i).choice(words, 50)) for i in range(40)} | {99: "q" * 400 + "\n\t" + "w " * 700_000}
     for limited in (encoder, packing.WordEncoder(open(path).read())):
-        for packed, ids in zip(limited.encode([t.encode() for t in texts.values()]), ids_of(texts).values()):
-            assert list(struct.unpack(f"<{len(ids) - 1}I", packed)) == ids[:-1]
+        for _ in range(2):
+            found, bounds = limited.encode(pa.array(list(texts.values())))
+            assert [found[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [ids[:-1] for ids in ids_of(texts).values()]
+        assert max(map(len, limited.known)) <= packing.LONGEST_REMEMBERED
+    size = encoder.size
+    encoder.encode(pa.array(["words that are new to it"]))
+    assert encoder.size == size  # it is full
+    found, bounds = encoder.encode(pa.array([None, "", " \n "], pa.string()))
+    assert not len(found) and bounds.tolist() == [0, 0, 0, 0]
+    assert encoder.encode(pa.array([], pa.string()))[1].tolist() == [0]
 
 
 def knapsack(sizes, values, capacity):

@@ -38,7 +38,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 # 25 bands of 5: a pair at the threshold shares a band with probability 1 - (1 - 0.8^5)^25 > 0.9999
 BANDS, ROWS = 25, 5
-HUBS = (1, 4, 16)  # hubs of a bucket, turn by turn; members of one class meet no further ones
+HUBS = (1, 4)  # hubs of a bucket, turn by turn; members of one class meet no further ones
 SIZE_RATIO = 1.05  # between the bands of sizes in the join for what hubs leave
 ORDERED_BY, COMMON = 16, 1 << 20  # one set in so many tells which cells are common; so many are told at most
 

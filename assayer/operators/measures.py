@@ -7,7 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from assayer.functions.cells import quoted
 from assayer.functions.dates import relative_difference, truncate
+from assayer.operators.lifecycle import resolve_names
 from assayer.vocab import AGGREGATIONS, FORMAT_HINTS
 
 
@@ -37,7 +39,8 @@ class Measure:
 
 
 def simple_measure(name: str, aggregation: str, column: str, table: str, **options) -> Measure:
-    """The standard expression of every aggregation but `custom`."""
+    """The standard expression of every aggregation but `custom`. `column` is a column's name, or * for a count."""
+    column = column if column == "*" else quoted(column)
     inner = {"count_distinct": f"COUNT(DISTINCT {column})"}.get(aggregation, f"{aggregation.upper()}({column})")
     return Measure(name, aggregation, inner, (table,), **options)
 
@@ -88,6 +91,35 @@ def _one_scan(df: DataFrame, measures: list[Measure], groups: list[Column]) -> D
     return rows.groupBy(*groups).agg(*aggregates)
 
 
+class MeasureRegistry:
+    """Measures by name, as the stored definitions have them when a query is made.
+
+    definitions: id, name, status, approved_at, aggregation, sql_expression, source_tables ARRAY<STRING>,
+    filter_expression, format_hint; statuses as the fold of the decision log gives them. Of a name's versions the newest
+    approved one counts. A name that has none is refused, whatever the caller says of it.
+    """
+
+    def __init__(self, definitions: DataFrame):
+        self.definitions = definitions
+
+    def measures(self, names: list[str]) -> list[Measure]:
+        chosen = resolve_names(self.definitions.where(F.col("name").isin(names)))
+        found = {
+            r["name"]: Measure(r["name"], r["aggregation"], r["sql_expression"], tuple(r["source_tables"]), r["filter_expression"],
+                               r["format_hint"], r["status"])
+            for r in chosen.collect()  # a row per name asked for
+        }
+        lost = [n for n in names if n not in found]
+        if lost:
+            raise NotApproved(f"only approved definitions can be queried; not approved or unknown: {lost}")
+        return [found[n] for n in names]
+
+    def evaluate(self, df: DataFrame, names: list[str], dimensions: list[str | Column] = (),
+                 time: tuple[str, str] | None = None) -> DataFrame:
+        """`evaluate` of the measures of these names."""
+        return evaluate(df, self.measures(names), dimensions, time, approved_only=True)
+
+
 def compare_variants(df: DataFrame, base: str, variants: list[str], tolerance: float = 0.0) -> DataFrame:
     """Adds, per variant, its relative difference from `base` and whether the two disagree."""
     for v in variants:

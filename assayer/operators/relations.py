@@ -149,11 +149,16 @@ def orphans(child: DataFrame, child_key: str | Column, parent: DataFrame, parent
 
 def missing_counterparts(source: DataFrame, key: str | Column, other: DataFrame, other_key: str | Column,
                          condition: str | None = None) -> DataFrame:
-    """Whole source rows (optionally filtered) with no row of that key in the sibling system."""
+    """Whole source rows (optionally filtered) with no row of that key in the sibling system.
+
+    Rows without a key have no counterpart; they bypass the join, in which they would all meet in one task.
+    """
     rows = source.where(condition) if condition else source
     left = F.col(key) if isinstance(key, str) else key
     present = key_counts(other, other_key, "__key").select("__key")
-    return rows.withColumn("__key", left).join(present, "__key", "left_anti").drop("__key")
+    keyed = rows.withColumn("__key", left)
+    lost = keyed.where("__key is not null").join(present, "__key", "left_anti").drop("__key")
+    return lost.unionByName(keyed.where("__key is null").drop("__key"))
 
 
 def spellings(df: DataFrame, name: str | Column) -> DataFrame:

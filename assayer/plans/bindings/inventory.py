@@ -344,6 +344,28 @@ def approved_only(spark, sf_dir):
     return measures.evaluate(order_definitions(spark, sf_dir), [gate, unique], ["display_name"], approved_only=True)
 
 
+NEWEST_SQL = f"""{DEFINITIONS_SQL},
+newest as (select name, display_name, row_number() over (partition by name order by approved_at desc, id) as rn,
+    count(*) over (partition by name) as versions from defs where status = 'approved'),
+asked as (select name, display_name from newest where rn = 1 order by versions desc, name limit 3)"""
+
+
+@query("flt_3_registry", f"""with {NEWEST_SQL}
+select o_orderstatus, name, count(*) filter (where o_orderpriority = display_name) as n_orders from orders, asked group by 1, 2""")
+def approved_by_name(spark, sf_dir):
+    """The three names with the most approved versions, each evaluated as its newest one has it: orders of that version's priority."""
+    orders = load(spark, sf_dir, "orders")
+    versions = order_definitions(spark, sf_dir).select(
+        "id", "name", "status", "approved_at", F.lit("count").alias("aggregation"), F.lit("COUNT(*)").alias("sql_expression"),
+        F.array(F.lit("orders")).alias("source_tables"), F.format_string("o_orderpriority = '%s'", "display_name").alias("filter_expression"),
+        F.lit(None).cast("string").alias("format_hint"))
+    asked = versions.where("status = 'approved'").groupBy("name").count().orderBy(F.desc("count"), "name").limit(3)
+    names = [r["name"] for r in asked.collect()]
+    found = measures.MeasureRegistry(versions).evaluate(orders, names, ["o_orderstatus"])
+    rows = F.array(*[F.struct(F.lit(n).alias("name"), F.coalesce(F.col(n), F.lit(0)).alias("n_orders")) for n in names])
+    return found.select("o_orderstatus", F.inline(rows))
+
+
 @query("flt_4", """select count(*) as n_lines, cast(sum(cast(l_extendedprice as decimal(18,2))) as double) as amount
 from lineitem where l_returnflag = 'R' and l_quantity > 25""")
 def measure_filter(spark, sf_dir):

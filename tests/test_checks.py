@@ -186,3 +186,25 @@ def test_measure_filter_reaches_the_scan(spark, tmp_path, capsys):
     measures.evaluate(spark.read.parquet(f"file://{tmp_path}/t"), [measure]).explain()
     plan = capsys.readouterr().out
     assert "PushedFilters: [IsNotNull(g), EqualTo(g,1)]" in plan and "ReadSchema: struct<id:bigint,g:bigint>" in plan
+
+
+def test_registry_resolves_names_when_asked(spark):
+    ddl = "id int, name string, status string, approved_at string, aggregation string, sql_expression string, source_tables array<string>, filter_expression string, format_hint string"
+    versions = [
+        (1, "total", "approved", "2024-01-01", "sum", "SUM(x)", ["t"], None, None), (2, "total", "approved", "2024-02-01", "sum", "SUM(x)", ["t"], "x > 1", None),
+        (3, "total", "proposed", None, "sum", "SUM(x) * 100", ["t"], None, None), (4, "draft", "proposed", None, "count", "COUNT(*)", ["t"], None, None),
+        (5, "gone", "rejected", None, "count", "COUNT(*)", ["t"], None, None),
+    ]
+    registry = measures.MeasureRegistry(spark.createDataFrame(versions, ddl))
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 5)], "k string, x int")
+    assert sorted(map(tuple, registry.evaluate(df, ["total"], ["k"]).collect())) == [("a", 2), ("b", 5)]
+    for name in ("draft", "gone", "nothing"):
+        with pytest.raises(measures.NotApproved, match=name):
+            registry.evaluate(df, ["total", name])
+
+
+def test_simple_measures_quote_their_columns(spark):
+    df = spark.createDataFrame([(1, 2.0), (1, 3.0)], "`order no` int, `net amount` double")
+    found = measures.evaluate(df, [measures.simple_measure("net", "sum", "net amount", "t"), measures.simple_measure("orders", "count_distinct", "order no", "t"),
+                                   measures.simple_measure("n", "count", "*", "t")]).first()
+    assert tuple(found) == (5.0, 1, 2)

@@ -210,36 +210,3 @@ TIME_COLUMNS = [(t, c) for t in TABLES for c, k in fields(t) if k in ("date", "t
 def time_proposals(spark, sf_dir):
     tables = load_all(spark, sf_dir, sorted({t for t, _ in TIME_COLUMNS}))
     return propose.time_dimensions(profile.profile(tables), profile.time_grains(tables))
-
-
-@query("agg_11", f"""with {profile_sql()}, k as (
-  select 'measures' as kind, (select 4 * count(*) from prof where normalized_type = 'numeric' and not is_key)
-    + (select count(*) from prof where is_key and normalized_type in ('integer', 'string')) + (select count(distinct table_name) from prof) as n
-  union all select 'dimensions', count(*) from prof where {DIMENSION_FILTER}
-  union all select 'time_dimensions', count(*) from prof where normalized_type in ('date', 'timestamp')
-  union all select 'tables', count(distinct table_name) from prof
-  union all select 'columns', count(*) from prof)
-select kind, cast(n as bigint) as n from k
-union all select 'total', cast(sum(n) as bigint) from k where kind in ('measures', 'dimensions', 'time_dimensions')""")
-def run_summary(spark, sf_dir):
-    profiles = cut(full_profile(spark, sf_dir))
-    proposals = propose.summary({
-        "measures": propose.measures(profiles), "dimensions": propose.dimensions(profiles),
-        "time_dimensions": profiles.where("normalized_type in ('date', 'timestamp')"),
-    })
-    extent = profiles.agg(F.count_distinct("table_name").alias("tables"), F.count("*").alias("columns"))
-    rows = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("n")) for c in ("tables", "columns")])
-    return proposals.unionByName(extent.select(F.inline(rows)))
-
-
-@query("set_5", f"""with {profile_sql()}
-select 'dimension' as kind, table_name, column_name, cardinality as cardinality_hint, cast(null as varchar) as aggregation from prof where {DIMENSION_FILTER}
-union all select 'measure', table_name, column_name, null, a.aggregation
-  from prof, (values ('sum'), ('avg'), ('min'), ('max')) a(aggregation) where normalized_type = 'numeric' and not is_key
-union all select 'measure', table_name, column_name, null, 'count_distinct' from prof where is_key and normalized_type in ('integer', 'string')
-union all select distinct 'measure', table_name, null, null, 'count' from prof""")
-def categories(spark, sf_dir):
-    profiles = cut(full_profile(spark, sf_dir))
-    dims = propose.dimensions(profiles).select(F.lit("dimension").alias("kind"), "table_name", "column_name", "cardinality_hint")
-    found = propose.measures(profiles).select(F.lit("measure").alias("kind"), "table_name", "column_name", "aggregation")
-    return dims.unionByName(found, allowMissingColumns=True)

@@ -54,6 +54,16 @@ def link_inputs(spark, sf_dir):
     return tables, counted.where("value is not null"), cut(profile.value_profile(counted))
 
 
+class Links:
+    """What relationship and entity proposals are made from, each part worked out once."""
+
+    def __init__(self, spark, sf_dir):
+        self.tables, self.values, self.profiles = link_inputs(spark, sf_dir)
+        self.found = cut(relations.inclusions(self.values, self.profiles))
+        self.inside = cut(discovery.reference_links(self.tables, self.values, self.profiles))
+        self.close = cut(discovery.fuzzy_links(self.values))
+
+
 def inclusions_sql(minimum: float) -> str:
     """CTE `incl`; without pruning, since pruning may not change the answer."""
     return f"""{PROFILE_SQL}, {VALUES_SQL},
@@ -276,8 +286,11 @@ final as (select case when short = '' then replace(entity, '.', '_') else short
 select name, 'What ' || members || ' refer to.' as description, members as source_columns, evidence, case rank when 3 then 'high' else 'medium' end as confidence from final""")
 def entities(spark, sf_dir):
     """Columns tied by inclusions whose names agree, by references inside texts, and by names spelled differently."""
-    tables, values, profiles = link_inputs(spark, sf_dir)
-    named = named_links(relations.inclusions(values, profiles))
+    return entity_rows(Links(spark, sf_dir))
+
+
+def entity_rows(links: Links) -> DataFrame:
+    named = named_links(links.found)
     place = [F.concat_ws(".", f"{side}_table", f"{side}_column") for side in ("from", "to")]
     held = named.select(
         "from_table", "from_column", "to_table", "to_column",
@@ -287,10 +300,10 @@ def entities(spark, sf_dir):
         return F.concat(F.col(count).cast("string"), F.lit(" of "), F.col(total).cast("string"), F.lit(f" {what} in "), place[0], F.lit(f" {relation} "), place[1])
 
     ends = ["from_table", "from_column", "to_table", "to_column"]
-    inside = discovery.reference_links(tables, values, profiles).select(
+    inside = links.inside.select(
         *ends, shown("n_linked", "n_references", "references", "are in").alias("evidence"),
         F.when(F.col("n_linked") == F.col("n_references"), "high").otherwise("medium").alias("confidence"))
-    close = discovery.fuzzy_links(values).select(
+    close = links.close.select(
         *ends, shown("n_matched", "n_names", "names", "are close to names in").alias("evidence"), F.lit("medium").alias("confidence"))
     proposed = propose.entities(cut(held.unionByName(inside).unionByName(close)))
     members = F.transform("source_columns", lambda c: F.concat_ws(".", c["table"], c["column"]))
@@ -316,13 +329,16 @@ union all select from_table, from_column, to_table, to_column, relationship_type
 union all select from_table, from_column, to_table, to_column, 'derived', case when n_linked = n_references then 'high' else 'medium' end from inside
 union all select from_table, from_column, to_table, to_column, 'fuzzy_match', 'medium' from loose""")
 def relationship_proposals(spark, sf_dir):
-    tables, values, profiles = link_inputs(spark, sf_dir)
-    found = cut(relations.inclusions(values, profiles))
+    return relationship_rows(Links(spark, sf_dir))
+
+
+def relationship_rows(links: Links) -> DataFrame:
+    found, values, profiles = links.found, links.values, links.profiles
     loose = unlinked(values, profiles, named_links(found)).withColumn("confidence", F.lit("medium"))
     cards = relations.cardinalities(values.where(F.col("normalized_type").isin(*LINK_TYPES)), propose.base_name(F.col("column_name"))).withColumn("confidence", F.lit("high"))
-    inside = discovery.reference_links(tables, values, profiles).withColumns({
+    inside = links.inside.withColumns({
         "relationship_type": F.lit("derived"), "confidence": F.when(F.col("n_linked") == F.col("n_references"), "high").otherwise("medium")})
-    close = discovery.fuzzy_links(values).withColumns({"relationship_type": F.lit("fuzzy_match"), "confidence": F.lit("medium")})
+    close = links.close.withColumns({"relationship_type": F.lit("fuzzy_match"), "confidence": F.lit("medium")})
     return propose.relationships(propose.exact_relationships(found), loose, cards, inside, close)
 
 

@@ -94,7 +94,9 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's ids start and end)"""
-        words = pa.compute.ascii_split_whitespace(lowered(texts.cast(pa.large_string()).fill_null("")))
+        # copied: ascii_lower misreads the offsets of a slice of a longer array
+        texts = pa.array([t or "" for t in texts.to_pylist()], pa.large_string())
+        words = pa.compute.ascii_split_whitespace(lowered(texts))
         per_text = pa.compute.list_value_length(words).to_numpy(zero_copy_only=False)
         each = words.flatten().dictionary_encode()
         packed = self._ids(each.dictionary.to_pylist())

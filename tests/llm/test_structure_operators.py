@@ -300,6 +300,10 @@ def test_words_are_encoded_as_the_library_does():
             assert [found[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [ids[:-1] for ids in ids_of(texts).values()]
         assert max(map(len, limited.known)) <= packing.LONGEST_REMEMBERED
     size = encoder.size
+    whole = pa.array(list(texts.values()))
+    for at in range(0, len(texts), 7):  # slices of a longer array
+        found, bounds = encoder.encode(whole.slice(at, 7))
+        assert [found[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [ids[:-1] for ids in ids_of(dict(list(texts.items())[at : at + 7])).values()]
     encoder.encode(pa.array(["words that are new to it"]))
     assert encoder.size == size  # it is full
     found, bounds = encoder.encode(pa.array([None, "", " \n "], pa.string()))

@@ -77,3 +77,24 @@ def test_references_of_long_texts_and_nothing(frame):
     tables = {"t": frame("a string, b int", [])}
     values, profiles = counted(tables)
     assert discovery.reference_links(tables, values, profiles).isEmpty() and discovery.fuzzy_links(values).isEmpty()
+
+
+def test_close_names_are_not_broadcast(frame, capsys):
+    """Their keys are many times larger than the files that tell Spark what a table weighs, and would all meet in the driver."""
+    names = frame("table_name string, column_name string, block string, canonical string", [(t, "c", "NAME", f"NAME{i:03d}") for t in "pq" for i in range(0, 300, 7)])
+    pairs = frame("from_table_name string, from_column_name string, to_table_name string, to_column_name string", [("p", "c", "q", "c")])
+    sent = []
+
+    def watched(df):
+        df.explain()
+        plan = capsys.readouterr().out
+        sent.extend(line for line in plan.split("\n") if "BroadcastHashJoin" in line and ("canonical" in line or "key#" in line))
+        return kept(df)
+
+    kept, discovery.cut = discovery.cut, watched
+    try:
+        found = watched(discovery.close_names(names, pairs))
+    finally:
+        discovery.cut = kept
+    assert [(r.n_matched, r.n_names) for r in found.collect()] == [(43, 43)]
+    assert not [line for line in sent if "block" in line]

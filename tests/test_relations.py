@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from assayer.operators import profile, relations
 from assayer.plans import propose
+from assayer.session import cut
 
 
 def edit_distance(a, b):
@@ -109,6 +110,15 @@ def test_cardinalities_of_one_name(frame):
     assert {(r.from_table, r.to_table): r.relationship_type for r in got} == {("a", "b"): "many_to_many", ("a", "c"): "one_to_many"}
 
 
+def test_cardinalities_are_not_broadcast(frame, capsys):
+    """The values of columns of one name grow with the tables."""
+    tables = {t: frame("a_key int", [(i,) for i in range(9)]) for t in ("p", "q")}
+    found = relations.cardinalities(cut(profile.value_counts(tables)), propose.base_name(F.col("column_name")))
+    found.explain()
+    assert "BroadcastHashJoin" not in capsys.readouterr().out
+    assert [(r.n_shared_keys, r.max_from, r.max_to) for r in found.collect()] == [(9, 1, 1)]
+
+
 def test_confidence_needs_names_or_coverage(frame):
     df = frame("ratio double, coverage double, agree boolean", [(1.0, 0.1, True), (1.0, 0.95, False), (1.0, 0.5, False), (0.7, 0.5, True), (0.7, 1.0, False)])
     got = [r[0] for r in df.select(propose.confidence(F.col("ratio"), F.col("coverage"), F.col("agree"))).collect()]

@@ -192,12 +192,19 @@ def resolve_names(definitions: DataFrame) -> DataFrame:
     return approved.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
 
 
+# Chains of at most so many versions are followed by doubling alone; of longer ones, one version in MARK_ONE_IN is a mark.
+FEW_VERSIONS = 100_000
+MARK_ONE_IN = 4
+
+
 def supersession_roots(definitions: DataFrame) -> DataFrame:
     """(id, root_id, depth): the first version behind each definition, by pointer doubling over supersedes_id.
 
-    Each round doubles the distance covered, so a chain of a million versions
-    takes twenty joins; lineage is cut every round. What still moves when as many
-    versions as there are have been passed is a cycle.
+    Doubling over all versions would shuffle each of them once a round. So every version is followed to the next mark only,
+    which takes few rounds and soon leaves few versions; the marks, a quarter, are then followed in the same way, and
+    what they find is handed to the others. All rounds together shuffle a few times the input, however long a chain is.
+    Ids that repeat are followed by doubling alone. What still moves when as many versions as there are have been
+    passed is a cycle.
     """
     hops = definitions.select(
         "id", F.col("supersedes_id").alias("next"), F.when(F.col("supersedes_id").isNotNull(), 1).otherwise(0).alias("depth")
@@ -207,6 +214,16 @@ def supersession_roots(definitions: DataFrame) -> DataFrame:
         "id", F.when(F.col("exists"), F.col("next")).alias("next"), F.when(F.col("exists"), F.col("depth")).otherwise(0).alias("depth")
     )
     paths = cut(hops.select("id", F.coalesce("next", "id").alias("root_id"), "depth"))
+    repeated = paths.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        return _doubled(paths)
+    # a first version without an id is its own root, which nothing can name
+    ended = paths.where("root_id is not null").withColumn("ended", F.col("depth") == 0)
+    return _followed(ended, 0).select("id", "root_id", "depth")
+
+
+def _doubled(paths: DataFrame) -> DataFrame:
+    """Every round doubles the distance of all; lineage is cut every round."""
     for _ in range(paths.count().bit_length() + 1):
         ahead = paths.select(F.col("id").alias("root_id"), F.col("root_id").alias("far"), F.col("depth").alias("more"))
         stepped = cut(paths.join(ahead, "root_id").select("id", F.col("far").alias("root_id"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")))
@@ -216,6 +233,39 @@ def supersession_roots(definitions: DataFrame) -> DataFrame:
     raise ValueError("supersession chains contain a cycle")
 
 
+def _followed(paths: DataFrame, level: int) -> DataFrame:
+    """id, root_id, depth, ended: every version at its root, where it has ended. Ids are distinct; pointers lead to ids that are there."""
+    n = paths.count()
+    marked = n > FEW_VERSIONS
+
+    def is_mark(version: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(version).cast("string"), F.lit(level)), F.lit(MARK_ONE_IN)) == 0 if marked else F.lit(False)
+
+    moving = ~F.col("ended") & ~is_mark("root_id")
+    there, rest, left = paths.where(~moving), paths.where(moving), n
+    for _ in range(n.bit_length() + 1):
+        left = rest.count()
+        if not left:
+            break
+        # versions grow with the tables and are merged; a few that are left are sent to the others
+        few = rest.hint("broadcast" if left <= FEW_VERSIONS and n > FEW_VERSIONS else "merge")
+        ahead = there.union(rest).where(~is_mark("id")).select(
+            F.col("id").alias("root_id"), F.col("root_id").alias("far"), F.col("depth").alias("more"), F.col("ended").alias("over"))
+        stepped = cut(few.join(ahead, "root_id").select(
+            "id", F.col("far").alias("root_id"), (F.col("depth") + F.col("more")).alias("depth"), F.col("over").alias("ended")))
+        there, rest = there.union(stepped.where(~moving)), stepped.where(moving)
+    if left:
+        raise ValueError("supersession chains contain a cycle")
+    if not marked:
+        return there
+    solved = cut(_followed(cut(there.where(is_mark("id"))), level + 1))
+    others = there.where(~is_mark("id") | F.col("id").isNull())
+    ahead = solved.select(F.col("id").alias("root_id"), F.col("root_id").alias("far"), F.col("depth").alias("more"))
+    handed = others.where(~F.col("ended")).join(ahead.hint("merge"), "root_id").select(
+        "id", F.col("far").alias("root_id"), (F.col("depth") + F.col("more")).alias("depth"), F.lit(True).alias("ended"))
+    return solved.union(others.where("ended")).union(handed)
+
+
 def edited_fields(definitions: DataFrame, fields: list[str] = EDITABLE_FIELDS) -> DataFrame:
     """(id, parent_id, field, original, current) for every field that differs from the parent proposal."""
     parent = definitions.select(F.col("id").alias("parent_id"), F.struct(*fields).alias("before"))

@@ -6,6 +6,7 @@ import sys
 
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from assayer.operators import lifecycle
 from assayer.streaming import decisions
@@ -119,6 +120,54 @@ def test_chains_and_edit_diff(spark):
     assert {(r.field, r.original, r.current) for r in diff} == {("display_name", "A", "B"), ("rationale", None, "why"), ("confidence", "low", "high")}
 
 
+@pytest.mark.parametrize("few", [0, 7, 10_000])
+def test_chains_over_marks_equal_a_walk(spark, monkeypatch, few):
+    """Branching chains of all lengths, first versions, versions whose predecessor is gone or that have no id."""
+    monkeypatch.setattr(lifecycle, "FEW_VERSIONS", max(few, 2))
+    rng = random.Random(few)
+    before = {i: rng.choice([i - 1, i - 1, i - 1, i - 7, None, 5000 + i]) for i in range(1, 400)} | {0: None}
+    rows = [(str(i), *"ndurls", 0, None if j is None else str(j), None) for i, j in before.items()] + [(None, *"ndurls", 0, "20", None), (None, *"ndurls", 0, None, None)]
+    got = {(r.id, r.root_id, r.depth) for r in lifecycle.supersession_roots(spark.createDataFrame(rows, DEFINITIONS)).collect()}
+
+    def walk(i):
+        depth = 0
+        while before.get(i) in before:
+            i, depth = before[i], depth + 1
+        return str(i), depth
+
+    of_20 = walk(20)
+    assert got == {(str(i), *walk(i)) for i in before} | {(None, of_20[0], of_20[1] + 1)}
+
+
+def test_rounds_of_chains_grow_shorter(spark, monkeypatch):
+    """What all rounds write stays a few times the input, on one chain of many versions too."""
+    monkeypatch.setattr(lifecycle, "FEW_VERSIONS", 20)
+    rows, kept = [], lifecycle.cut
+
+    def watched(df):
+        done = kept(df)
+        rows.append(done.count())
+        return done
+
+    monkeypatch.setattr(lifecycle, "cut", watched)
+    n = 3000
+    chain = [(str(i), *"ndurls", 0, str(i - 1) if i else None, None) for i in range(n)]
+    assert lifecycle.supersession_roots(spark.createDataFrame(chain, DEFINITIONS)).agg(F.max("depth")).first()[0] == n - 1
+    assert sum(rows) < 8 * n
+
+
+def test_repeated_versions_stay_as_they_were(spark):
+    rows = [(str(i), *"ndurls", 0, str(i - 1) if i else None, None) for i in range(3)] * 2
+    assert {r.id: (r.root_id, r.depth) for r in lifecycle.supersession_roots(spark.createDataFrame(rows, DEFINITIONS)).collect()} == {str(i): ("0", i) for i in range(3)}
+
+
+def test_cycles_over_marks_are_reported(spark, monkeypatch):
+    monkeypatch.setattr(lifecycle, "FEW_VERSIONS", 2)
+    rows = [(str(i), *"ndurls", 0, str((i + 1) % 40), None) for i in range(40)]
+    with pytest.raises(ValueError):
+        lifecycle.supersession_roots(spark.createDataFrame(rows, DEFINITIONS))
+
+
 def test_cycles_are_reported(spark):
     rows = [("a", "n", "", "", "", "low", "approved", 1, "b", None), ("b", "n", "", "", "", "low", "approved", 1, "a", None)]
     with pytest.raises(ValueError):

@@ -151,6 +151,23 @@ def test_top_values_of_long_texts(frame):
     assert [(r.value, r.n) for r in got] == [(alike + "c", 2), ("z" * 500, 2), ("q" * 192, 1), (alike + "a", 1)]
 
 
+def test_top_values_are_dealt_by_cells(frame, spark, monkeypatch):
+    """As many tasks sort the values as their cells ask for, whatever the shuffle is made to weigh; the session's settings stay."""
+    monkeypatch.setattr(profile, "CELLS_A_TASK", 50)
+    seen, kept = [], profile.cut
+
+    def watched(df):
+        seen.append((spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")))
+        return kept(df)
+
+    monkeypatch.setattr(profile, "cut", watched)
+    before = [spark.conf.get(f"spark.sql.{x}") for x in ("shuffle.partitions", "adaptive.coalescePartitions.enabled")]
+    got = profile.top_values({"t": frame("a int, b string", [(i % 400, str(i)) for i in range(500)])}, None, 2).orderBy("column_name", "rank").collect()
+    assert [(r.column_name, r.value, r.n) for r in got] == [("a", "0", 2), ("a", "1", 2), ("b", "0", 1), ("b", "1", 1)]
+    assert seen == [("20", "false")]
+    assert [spark.conf.get(f"spark.sql.{x}") for x in ("shuffle.partitions", "adaptive.coalescePartitions.enabled")] == before
+
+
 def test_grains(frame):
     d = datetime.date
     rows = [(d(2024, 1, 1), d(2024, 1, 1), d(2024, 4, 1), d(2023, 1, 2), d(2024, 1, 5)), (d(2023, 1, 1), d(2024, 2, 1), d(2024, 1, 1), d(2024, 1, 8), None)]

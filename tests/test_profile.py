@@ -129,6 +129,24 @@ def test_composite_keys_equal_brute_force(frame, seed, monkeypatch):
     assert got == ({tuple(names[i] for i in k) for k in keys} if not any(len(k) == 1 for k in keys) else set())
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_key_sets_of_large_tables(frame, seed, monkeypatch):
+    """By slices and by parts that seldom repeat, or often; the same sets as when all combinations are grouped."""
+    rng = random.Random(seed)
+    rows = [(i // 3, rng.randrange(400), rng.randrange(5), rng.choice("xyz"), (i % 3, rng.randrange(3))[seed % 2]) for i in range(300)]
+    df = frame("a int, mark int, c int, d string, e int", rows)
+    sets = [s for n in (2, 3) for s in itertools.combinations(df.columns, n)]
+    want = profile.unique_sets(df, sets)
+    grouped, plain = [], profile.unique_sets
+    monkeypatch.setattr(profile, "unique_sets", lambda some, s: grouped.append(some.count()) or plain(some, s))
+    for name, value in (("WHOLE_ROWS", 10), ("SLICES", 4), ("RARE_ROWS", 12), ("FEW_REPEATED", 100 if seed < 3 else 1)):
+        monkeypatch.setattr(profile, name, value)
+    repeats = {}
+    assert profile.key_sets(df, sets, len(rows), repeats) == want and want
+    assert set(repeats) >= set(sets) and not any(repeats[s] for s in want)
+    assert seed == 3 or all(n < 200 for n in grouped)
+
+
 @pytest.mark.parametrize("n", [10, 11, 98, 101, 10_150])
 def test_sketched_buckets_are_right_at_their_edges(spark, n):
     df = spark.range(n * 3).selectExpr(f"id % {n} as v")

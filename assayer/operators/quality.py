@@ -55,7 +55,7 @@ def spelling_variants(columns: list[tuple[str, str, DataFrame]]) -> DataFrame:
         for t, c, df in columns
     ]
     # a name of punctuation alone has no canonical form and is a variant of nothing
-    counted = reduce(DataFrame.unionByName, parts).withColumn("canonical", canonical_name(F.col("raw"))).where("canonical is not null")
+    counted = cut(reduce(DataFrame.unionByName, parts).withColumn("canonical", canonical_name(F.col("raw"))).where("canonical is not null"))
     per_spelling = counted.groupBy("canonical", "raw").agg(F.sum("n").alias("n"))
     per_place = counted.groupBy("canonical").agg(F.count_distinct("place").alias("n_columns"))
     return (
@@ -76,7 +76,8 @@ def code_variants(df: DataFrame, column: str) -> DataFrame:
     letters that exactly one longer value begins with.
     """
     counted = df.select(F.col(column).alias("raw")).where("raw is not null").groupBy("raw").agg(F.count("*").alias("n"))
-    folded = counted.withColumn("folded", F.regexp_replace(F.upper("raw"), r"[^\p{L}\p{N}]", ""))
+    # cut, as it is used twice, and as Spark would carry the expression behind the column through all conditions below
+    folded = cut(counted).withColumn("folded", F.regexp_replace(F.upper("raw"), r"[^\p{L}\p{N}]", ""))
     longer = folded.where(F.length("folded") > ABBREVIATION).select("folded").distinct().withColumnRenamed("folded", "long")
     beginnings = F.explode(F.transform(F.sequence(F.lit(1), F.lit(ABBREVIATION)), lambda n: F.left("long", n)))
     short = longer.select("long", beginnings.alias("folded")).groupBy("folded").agg(
@@ -144,11 +145,15 @@ def _each_column(tables: dict[str, DataFrame], entries: list[tuple[str, str]], v
 
 
 def _sketches(tables: dict[str, DataFrame], entries: list[tuple[str, str]]) -> dict[int, dict]:
-    """Of each column (by its place in `entries`): rows with a value, least, most, and the ends of both brackets."""
+    """Of each column (by its place in `entries`): rows with a value, least, most, and the ends of both brackets.
+
+    Table by table, so that the driver holds one plan and its jobs at a time.
+    """
     shares = ", ".join(str(p + d) for p in QUARTILES.values() for d in (-MARGIN, MARGIN))
-    found = _each_column(tables, entries, _number, lambda i: (
+    found = [_each_column({table: tables[table]}, entries, _number, lambda i: (
         f"count(x{i}) as n, min(x{i}) as least, max(x{i}) as most, approx_percentile(x{i}, array({shares}), {ACCURACY}) as cuts"))
-    return {r["id"]: r.asDict() for r in found.collect()}  # a row per column
+        for table in dict.fromkeys(t for t, _ in entries)]
+    return {r["id"]: r.asDict() for df in found for r in df.collect()}  # a row per column
 
 
 def _brackets(sketch: dict, factor: float) -> list[tuple[float, float]]:
@@ -340,8 +345,9 @@ def json_shares(tables: dict[str, DataFrame], columns: dict[str, list[str]]) ->
     """table_name, column_name, n_rows, n_json, json_share: how many non-null strings hold a JSON object or array. One scan a table."""
     entries = [(t, c) for t, names in columns.items() for c in names]
     held = "(json_object_keys(x{0}) is not null or json_array_length(x{0}) is not null)"
-    counted = _each_column(tables, entries, lambda c: f"cast({quoted(c)} as string)", lambda i: (
-        f"count(x{i}) as n_rows, count_if({held.format(i)}) as n_json"))
+    # written table by table, so that the driver holds one plan and its jobs at a time
+    counted = reduce(DataFrame.unionByName, [cut(_each_column({table: tables[table]}, entries, lambda c: f"cast({quoted(c)} as string)", lambda i: (
+        f"count(x{i}) as n_rows, count_if({held.format(i)}) as n_json"))) for table in dict.fromkeys(t for t, _ in entries)])
     return counted.drop("id").withColumn("json_share", F.round(F.try_divide(F.col("n_json"), F.col("n_rows")), 6))
 
 

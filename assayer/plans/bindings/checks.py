@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -12,6 +13,7 @@ from assayer.operators.relations import orphans
 from assayer.plans import propose
 from assayer.plans.bindings.base import ORACLE, QUERIES, TABLES, fields, load, load_all, query, union_sql
 from assayer.plans.bindings.profiles import NET, net_by_order
+from assayer.session import cut
 
 LABELLED_SQL = "(select d.lang, d.source, l.quality, l.toxic from documents d left join labels l on l.doc_id = d.doc_id)"
 
@@ -67,7 +69,10 @@ c as (select coalesce(long, folded) as code, s from f left join a on short = fol
 select code, count(distinct s) as n_spellings, count(*) as n_rows, min(s) as first_spelling, max(s) as last_spelling
 from c group by 1 having count(distinct s) > 1""")
 def codes(spark, sf_dir):
-    return quality.code_variants(load(spark, sf_dir, "orders").select(F.expr(STATUS_CASE).alias("s")), "s")
+    # upper-cased constants are written out: to fold them, the driver would load all collation tables of Spark
+    folded = "case o_orderstatus when 'O' then 'OPEN' when 'F' then 'FILLED' else 'PENDING' end"
+    spelled = STATUS_CASE[:STATUS_CASE.index("upper(")] + folded + " end"
+    return quality.code_variants(load(spark, sf_dir, "orders").select(F.expr(spelled).alias("s")), "s")
 
 
 @query("dq_4", """select 'documents' as table_name, count(*) as n_rows, count(*) filter (where n_chars <> length(text)) as n_violations,
@@ -125,14 +130,9 @@ CANDIDATES = [(t, "true") for t in TABLES] + [("orders", "o_totalprice < 0"), ("
     for t, w in CANDIDATES
 ))
 def dead_tables(spark, sf_dir):
-    """Tables and selections of them without a row."""
-    counts = [
-        load(spark, sf_dir, t).where(w).agg(F.count("*").alias("row_count")).select(
-            F.lit(f"{t}: {w.replace(chr(39), '')}").alias("table_name"), "row_count"
-        )
-        for t, w in CANDIDATES
-    ]
-    return quality.empty_tables(reduce(DataFrame.unionByName, counts))
+    """Tables and selections of them without a row; one number each, counted in turn."""
+    counts = [(f"{t}: {w.replace(chr(39), '')}", load(spark, sf_dir, t).where(w).count()) for t, w in CANDIDATES]
+    return quality.empty_tables(spark.createDataFrame(counts, "table_name string, row_count bigint"))
 
 
 DATED = [("orders", "o_orderdate"), ("lineitem", "l_shipdate"), ("events", "ts")]
@@ -369,12 +369,22 @@ def flags_sql() -> str:
 
 @query("prp_6", flags_sql())
 def flags(spark, sf_dir):
-    """The union of all checks in one shape."""
-    parts = [
-        quality.flags_of(QUERIES[name](spark, sf_dir), condition, severity, title, F.expr(table), F.expr(column), evidence, measured, threshold)
-        for name, condition, severity, title, table, column, evidence, measured, threshold in FLAGS
-    ]
-    lost = quality.flags_of(
+    return flag_rows(spark, sf_dir)
+
+
+def flag_rows(spark, sf_dir, *columns: str) -> DataFrame:
+    """The union of all checks in one shape, or some columns of it.
+
+    Each check is written before the next one is planned, so the driver holds the plan and the jobs of one at a time.
+    """
+    return propose.quality_flags(*[cut(part.select(*columns) if columns else part) for part in flag_parts(spark, sf_dir)])
+
+
+def flag_parts(spark, sf_dir) -> Iterator[DataFrame]:
+    yield null_flags(spark, sf_dir)
+    yield dead_tables(spark, sf_dir)
+    yield quality.flags_of(
         orphans(load(spark, sf_dir, "documents"), "doc_id", load(spark, sf_dir, "labels"), "doc_id"), "n_orphan_rows > 0",
         "warning", "Orphaned rows", "documents", "doc_id", "n_orphan_rows || ' rows without a label'", "orphan_ratio", 0.0)
-    return propose.quality_flags(null_flags(spark, sf_dir), dead_tables(spark, sf_dir), lost, *parts)
+    for name, condition, severity, title, table, column, evidence, measured, threshold in FLAGS:
+        yield quality.flags_of(QUERIES[name](spark, sf_dir), condition, severity, title, F.expr(table), F.expr(column), evidence, measured, threshold)

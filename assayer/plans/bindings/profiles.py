@@ -184,7 +184,11 @@ select table_name, column_name, cardinality as cardinality_hint, n_distinct, sam
 from prof join tops using (table_name, column_name) where {DIMENSION_FILTER}""")
 def dimension_proposals(spark, sf_dir):
     tables = load_all(spark, sf_dir)
-    proposed = cut(propose.dimensions(profile.profile(tables)))
+    return dimension_rows(tables, profile.profile(tables))
+
+
+def dimension_rows(tables: dict[str, DataFrame], profiled: DataFrame) -> DataFrame:
+    proposed = cut(propose.dimensions(profiled))
     candidates: dict[str, list[str]] = {}
     for row in proposed.select("table_name", "column_name").collect():  # column names only
         candidates.setdefault(row.table_name, []).append(row.column_name)
@@ -209,4 +213,8 @@ TIME_COLUMNS = [(t, c) for t in TABLES for c, k in fields(t) if k in ("date", "t
 ))
 def time_proposals(spark, sf_dir):
     tables = load_all(spark, sf_dir, sorted({t for t, _ in TIME_COLUMNS}))
-    return propose.time_dimensions(profile.profile(tables), profile.time_grains(tables))
+    return time_rows(tables, profile.profile(tables))
+
+
+def time_rows(tables: dict[str, DataFrame], profiled: DataFrame) -> DataFrame:
+    return propose.time_dimensions(profiled, profile.time_grains({t: tables[t] for t in sorted({t for t, _ in TIME_COLUMNS})}))

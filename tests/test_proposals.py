@@ -15,7 +15,7 @@ TYPES = {"integer": "bigint", "numeric": "double", "string": "string", "timestam
 
 @pytest.fixture(scope="module")
 def small(spark, tmp_path_factory):
-    """Twelve rows a table; the names of parts repeat in other cases, a customer's region in none."""
+    """Twelve rows a table; the first column is a key, other whole numbers repeat, texts are written in two ways."""
     folder = tmp_path_factory.mktemp("small")
 
     def value(kind, i, column):
@@ -23,7 +23,7 @@ def small(spark, tmp_path_factory):
                 "string": f"{'Steel' if i % 2 else 'STEEL'} {column[2:]} {i // 2}"}[kind]
 
     for t in TABLES:
-        rows = [tuple(value(k, i, c) for c, k in fields(t)) for i in range(12)]
+        rows = [tuple(value(k, i % 4 if n and k == "integer" else i, c) for n, (c, k) in enumerate(fields(t))) for i in range(12)]
         spark.createDataFrame(rows, ", ".join(f"{c} {TYPES[k]}" for c, k in fields(t))).coalesce(1).write.parquet(f"{folder}/{t}.parquet")
     return str(folder)
 

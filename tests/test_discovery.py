@@ -98,3 +98,51 @@ def test_close_names_are_not_broadcast(frame, capsys):
         discovery.cut = kept
     assert [(r.n_matched, r.n_names) for r in found.collect()] == [(43, 43)]
     assert not [line for line in sent if "block" in line]
+
+
+def spelled_apart(seed=3):
+    """Twelve names with a slip in common, the other names of both tables long and without any piece in common."""
+    rng = random.Random(seed)
+    word = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+    common = [word(9) for _ in range(12)]
+    slip = lambda n: n[:6] + ("Z" if n[6] != "Z" else "Y") + n[7:]
+    return common + [word(110) for _ in range(10)], [slip(n) for n in common] + [word(110) for _ in range(9)]
+
+
+def test_names_among_unlike_others_are_found(frame):
+    """What most of the names are made of does not decide: each is looked at."""
+    ours, theirs = spelled_apart()
+    values, _ = counted({"p": frame("name string", [(n,) for n in ours]), "q": frame("label string", [(n,) for n in theirs])})
+    got = [(r.from_table, r.to_table, r.n_names, r.n_matched) for r in discovery.fuzzy_links(values).collect()]
+    assert got == [("q", "p", 21, 12)]
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_fuzzy_links_equal_all_pairs(frame):
+    """Names of all lengths, with accents and surrogate pairs, in more columns than a word has bits; in blocks of their own and shared ones."""
+    rng = random.Random(8)
+    alphabet = "AB1é𝒜"
+    columns = {f"t{i}": sorted({rng.choice(["NAME", "NAMES", "OTHE", f"BL{'CDE'[i % 3]}K"]) + "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 5)))
+                                for _ in range(rng.randint(1, 12))}) for i in range(70)}
+    columns["few"] = ["IBM", "7"]
+    values = frame("table_name string, column_name string, normalized_type string, value string", [(t, "c", "string", v) for t, vs in columns.items() for v in vs])
+    block = lambda v: "".join(c for c in v.upper() if "A" <= c <= "Z")[:4]
+    names = {t: {(block(v), v.upper()) for v in vs if len(block(v)) == 4} for t, vs in columns.items()}
+    for d in (0, 1, 2):
+        close = {x: {y for y in set().union(*names.values()) if x[0] == y[0] and distance(x[1], y[1]) <= d} for x in set().union(*names.values())}
+        expected = {}
+        for a in columns:
+            for b in columns:
+                matched = sum(bool(close[x] & names[b]) for x in names[a])
+                if a != b and matched and round(matched / len(names[a]), 6) >= 0.6 and not set(columns[a]) <= set(columns[b]):
+                    expected.setdefault(frozenset((a, b)), []).append((-round(matched / len(names[a]), 6), a, b, len(names[a]), matched))
+        got = {(r.from_table, r.to_table, r.n_names, r.n_matched) for r in discovery.fuzzy_links(values, minimum=0.6, max_distance=d).collect()}
+        assert got == {min(found)[1:] for found in expected.values()} and (d == 0 or got)

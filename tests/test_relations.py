@@ -170,3 +170,17 @@ def test_measures_quote_names(frame):
     df = frame("`net amount` double, plain double", [(1.0, 2.0), (1.0, 2.0)])
     names = {r.sql_expression for r in propose.measures(profile.profile({"t": df})).collect()}
     assert {"SUM(`net amount`)", "SUM(plain)"} <= names
+
+
+def test_cardinalities_leave_out_names_of_one_table(frame, monkeypatch, capsys):
+    """What no other table can share is not shuffled; the rest is merged, and only column names are broadcast."""
+    tables = {"a": frame("o_key int, o_note string, o_day string", [(1, "x", "u"), (1, "y", "v"), (2, None, None)]),
+              "b": frame("l_key int, l_day int, l_rate double, b_key int", [(1, 1, 0.5, 1), (2, 2, 0.5, 1)]), "c": frame("key string", [("1",)])}
+    written = []
+    kept = relations.cut
+    monkeypatch.setattr(relations, "cut", lambda df: df.explain() or written.append(kept(df)) or written[-1])
+    got = relations.cardinalities(profile.value_counts(tables), propose.base_name(F.col("column_name"))).collect()
+    assert sorted(tuple(r) for r in got) == [("a", "o_key", "b", "b_key", 1, 2, 2, "many_to_many"), ("a", "o_key", "b", "l_key", 2, 2, 1, "one_to_many")]
+    assert {(r.table_name, r.column_name) for r in written[-2].collect()} == {("a", "o_key"), ("b", "l_key"), ("b", "b_key")}
+    joins = [line for line in capsys.readouterr().out.split("\n") if "Join" in line and "value#" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)

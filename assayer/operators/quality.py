@@ -344,7 +344,9 @@ def name_collisions(profiles: DataFrame, base_name: Column) -> DataFrame:
 def json_shares(tables: dict[str, DataFrame], columns: dict[str, list[str]]) -> DataFrame:
     """table_name, column_name, n_rows, n_json, json_share: how many non-null strings hold a JSON object or array. One scan a table."""
     entries = [(t, c) for t, names in columns.items() for c in names]
-    held = "(json_object_keys(x{0}) is not null or json_array_length(x{0}) is not null)"
+    # A JSON object or array begins with its bracket. Other texts are not parsed, as every failure costs an exception.
+    held = ("case left(trim(leading ' \t\n\r\ufeff' from x{0}), 1) when '{{' then json_object_keys(x{0}) is not null "
+            "when '[' then json_array_length(x{0}) is not null else false end")
     # written table by table, so that the driver holds one plan and its jobs at a time
     counted = reduce(DataFrame.unionByName, [cut(_each_column({table: tables[table]}, entries, lambda c: f"cast({quoted(c)} as string)", lambda i: (
         f"count(x{i}) as n_rows, count_if({held.format(i)}) as n_json"))) for table in dict.fromkeys(t for t, _ in entries)])

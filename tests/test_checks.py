@@ -208,3 +208,20 @@ def test_simple_measures_quote_their_columns(spark):
     found = measures.evaluate(df, [measures.simple_measure("net", "sum", "net amount", "t"), measures.simple_measure("orders", "count_distinct", "order no", "t"),
                                    measures.simple_measure("n", "count", "*", "t")]).first()
     assert tuple(found) == (5.0, 1, 2)
+
+
+def test_only_texts_with_a_bracket_are_parsed(frame, monkeypatch, capsys):
+    """Every text that is no JSON would cost an exception."""
+    texts = ['{"a": 1}', " \t\r\n[1, 2]", "[", "{", '{"a": }', "[1] x", '{"a": 1} x', '"{}"', "12", "null", "", " ", " {}", "\x0b[]", "﻿{}", "a {}", "{}", "[]", "[{}]", "plain", None]
+    df = frame("s string", [(t,) for t in texts])
+    always = df.selectExpr("count(s)", "count_if(json_object_keys(s) is not null or json_array_length(s) is not null)").first()
+    kept = quality.cut
+
+    def watched(written):
+        written.explain()
+        return kept(written)
+
+    monkeypatch.setattr(quality, "cut", watched)
+    assert tuple(quality.json_share(df, "s").first())[:2] == tuple(always)
+    plan = capsys.readouterr().out
+    assert 0 < plan.count("jsonObjectKeys(") == plan.count("THEN isnotnull(static_invoke(JsonExpressionUtils.jsonObjectKeys(")

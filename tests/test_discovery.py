@@ -1,6 +1,7 @@
 """Links that are found without naming a column: other spellings of a name, references inside texts."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -146,3 +147,22 @@ def test_fuzzy_links_equal_all_pairs(frame):
                     expected.setdefault(frozenset((a, b)), []).append((-round(matched / len(names[a]), 6), a, b, len(names[a]), matched))
         got = {(r.from_table, r.to_table, r.n_names, r.n_matched) for r in discovery.fuzzy_links(values, minimum=0.6, max_distance=d).collect()}
         assert got == {min(found)[1:] for found in expected.values()} and (d == 0 or got)
+
+
+def test_only_numbers_are_sorted_by_label(frame, capsys):
+    """A token is one reference; what it is not counted for again is neither sorted nor shuffled again."""
+    texts = ["INV-7 x INV-07", "AB-7", "ab-7 7", "x", None, "", "INV-7", "a1b", "C#007 C#7 D#7"]
+    found = discovery.references({"t": frame("a string, b int", [(t, 1) for t in texts])})
+    expected = {}
+    for text in texts:
+        for token in set(re.findall(discovery.TOKEN, text or "")):
+            if re.search("[0-9]", token):
+                shape = re.sub("[0-9]+", "9", re.sub("[A-Za-z]+", "A", token))
+                number = re.search("([0-9]+)$", token)
+                for reference, is_number in [(token, False), *([(str(int(number[1])), True)] if number else [])]:
+                    expected.setdefault((shape, reference, is_number), []).append(re.match("[A-Za-z]*", token)[0].lower())
+    got = {(r.shape, r.reference, r.is_number): (r.n, r.label, r.last_label) for r in found.collect()}
+    assert got == {k: (len(v), min(v), max(v)) for k, v in expected.items()}
+    found.explain()
+    sorts = [line for line in capsys.readouterr().out.split("\n") if " Sort [" in line or "+- Sort [" in line]
+    assert sorts and all("Sort [_groupingexpression#" in line for line in sorts)  # by a hash
